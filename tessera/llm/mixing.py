@@ -46,7 +46,7 @@ def source_targets(units: DataFrame) -> DataFrame:
         F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("open"),
     )
     level = (F.col("total") - F.col("filled")) / F.col("open")
-    first_open = F.min(F.when(level * F.col("w") <= F.col("cap"), level)).over(everything)
+    first_open = F.max(F.when(level * F.col("w") <= F.col("cap"), level)).over(everything)
     target = F.least(F.col("cap"), F.coalesce(first_open, F.lit(0.0)) * F.col("w"))
     return ranked.select("source", "source_size", target.alias("target")).withColumn("due", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(0.0))
 
