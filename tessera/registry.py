@@ -1,9 +1,46 @@
 """All queries of the engine and their SQL, by name."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from tessera.plans.dialect import DUCK, SPARK, run
 
-def oracles():
-    return {}
+_QUERIES: dict[str, Callable] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def sql(make: Callable) -> Callable:
+    """Register a query given as one text for both dialects; make.__name__ is its key."""
+    _QUERIES[make.__name__] = lambda spark, sf_dir: run(spark, sf_dir, make(SPARK))
+    _ORACLES[make.__name__] = make(DUCK)
+    return make
+
+
+def frame(oracle: str | None = None) -> Callable:
+    """Register a query given as a function (spark, sf_dir) -> DataFrame, with its oracle if SQL has one."""
+
+    def put(make: Callable) -> Callable:
+        _QUERIES[make.__name__] = make
+        if oracle:
+            _ORACLES[make.__name__] = oracle
+        return make
+
+    return put
+
+
+def _load() -> None:
+    from tessera.functions import metadata, text  # noqa: F401
+    from tessera.operators import chunking, evaluation, finding, incremental, retrieval, rewriting, sequential  # noqa: F401
+    from tessera.sources import files  # noqa: F401
+    from tessera.streaming import windows  # noqa: F401
+
+
+def queries() -> dict[str, Callable]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    _load()
+    return dict(_ORACLES)
