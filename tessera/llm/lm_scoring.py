@@ -5,7 +5,9 @@ Tables hold every word, and the longer n-grams found at least min_count times in
 characters, A-Z in lower case; n-grams stay inside a document.
 
 The count tables are partitioned by a hash of the n-gram. The n-grams of a document are exploded inside its batch, where
-equal ones fold to one entry with their number, and joined to the tables by that hash; sums are by document.
+equal ones fold to one entry with their number, and joined to the tables by that hash; sums are by document. Words and pairs are
+counted first; a longer n-gram is asked for only where both n-grams of one word less that it holds are in the table, since
+it cannot be found more often than they are.
 
 Nulls: a null or empty text has 0 words, log_score 0 and null means. Rows that repeat are counted as often as they occur and
 score alike. An empty table gives an empty result. All documents are counted; nothing is sampled.
@@ -31,8 +33,9 @@ def _grams(data: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.nd
     parts, sizes = [], []
     for x in data:
         words = x.lower().split() if x else []
-        for w in set(words) - hashes.keys():
-            hashes[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in hashes:
+                hashes[w] = xxhash.xxh3_64_intdigest(w)
         parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
         sizes.append(len(words))
     lengths = np.array(sizes, np.int64)
@@ -46,23 +49,69 @@ def _grams(data: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.nd
     return lengths, keys
 
 
+def _packed(distinct: np.ndarray, number: np.ndarray, at: int, n_shards: int, level: int) -> pa.Table:
+    """The batch's keys of one level, a row a shard."""
+    number = np.minimum(number, 2**32 - 1).astype("<u4")
+    held, starts = np.unique(_shard(distinct, n_shards), return_index=True)
+    cuts = [*starts.tolist(), len(distinct)]
+    spans = list(zip(cuts, cuts[1:], strict=False))
+    return pa.table(
+        {
+            "shard": pa.array(held.astype(np.int32), pa.int32()),
+            "level": pa.array([level] * len(held), pa.int32()),
+            "batch": pa.array([at] * len(held), pa.int32()),
+            "keys": pa.array([planes(distinct[a:b]) for a, b in spans], pa.binary()),
+            "number": pa.array([_byte_planes(number[a:b]) for a, b in spans], pa.binary()),
+        }
+    )
+
+
+def _byte_planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _known(keys: list[np.ndarray], answers: pa.Table, levels: list[int], min_count: int) -> list[np.ndarray]:
+    """Corpus counts of the n-grams that end at each word, for n up to the last of levels; longer than a word: 0 below min_count."""
+    packed: dict[int, list] = {}
+    for level, shard, counts in zip(answers.column("level").to_pylist(), answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True):
+        packed.setdefault(level, []).append((shard, counts))
+    out: list[np.ndarray] = []
+    for level in levels:
+        asked = keys[:level] if level <= 2 else [_eligible(keys, out, level)]
+        flat = np.concatenate(asked)
+        distinct = np.unique(flat[flat != 0])
+        lists = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel() for _, x in sorted(packed.get(level, []))]
+        counts = np.concatenate([np.zeros(0, np.uint64), *lists]).astype(np.int64)
+        if len(counts) != len(distinct):
+            raise RuntimeError("a shard's answer is missing")
+        for own in asked:
+            at = np.searchsorted(distinct, own)
+            found = np.where(own != 0, counts[np.minimum(at, len(counts) - 1)], 0) if len(counts) else np.zeros(len(own), np.int64)
+            out.append(found if not out else np.where(found >= min_count, found, 0))
+    return out
+
+
+def _eligible(keys: list[np.ndarray], known: list[np.ndarray], n: int) -> np.ndarray:
+    """Keys of the n-grams whose two (n-1)-grams are both in the table; 0 for the others."""
+    shorter = known[n - 2] > 0
+    before = np.concatenate([[False], shorter[:-1]])[: len(shorter)]
+    return np.where(shorter & before, keys[n - 1], np.uint64(0))
+
+
 def _requests(batch_at: str, text: str, n_shards: int, order: int):
     def requests(batch: pa.Table) -> pa.Table:
-        _, keys = _grams(texts(batch, text), order)
+        _, keys = _grams(texts(batch, text), min(order, 2))
         flat = np.concatenate(keys)
-        distinct, number = np.unique(flat[flat != 0], return_counts=True)
-        number = np.minimum(number, 2**32 - 1).astype("<u4")
-        cuts = _cuts(distinct, n_shards)
-        at = batch.column(batch_at)[0].as_py()
-        held = [s for s in range(n_shards) if cuts[s] < cuts[s + 1]] if n_shards <= len(distinct) else np.unique(_shard(distinct, n_shards)).tolist()
-        return pa.table(
-            {
-                "shard": pa.array(held, pa.int32()),
-                "batch": pa.array([at] * len(held), pa.int32()),
-                "keys": pa.array([planes(distinct[cuts[s] : cuts[s + 1]]) for s in held], pa.binary()),
-                "number": pa.array([np.ascontiguousarray(number[cuts[s] : cuts[s + 1]].view(np.uint8).reshape(-1, 4).T).tobytes() for s in held], pa.binary()),
-            }
-        )
+        return _packed(*np.unique(flat[flat != 0], return_counts=True), batch.column(batch_at)[0].as_py(), n_shards, min(order, 2))
+
+    return requests
+
+
+def _longer_requests(batch_at: str, text: str, n_shards: int, n: int, min_count: int):
+    def requests(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        _, keys = _grams(texts(batch, text), n)
+        asked = _eligible(keys, _known(keys, answers, list(range(2, n)), min_count), n)
+        return _packed(*np.unique(asked[asked != 0], return_counts=True), batch.column(batch_at)[0].as_py(), n_shards, n)
 
     return requests
 
@@ -72,10 +121,6 @@ def _shard(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
 
 
-def _cuts(distinct: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(_shard(distinct, n), np.arange(n + 1, dtype=np.uint64))
-
-
 def _answers(min_count: int):
     def answers(asked: pa.Table) -> pa.Table:
         """One shard of the count table, and its counts in the order of each batch's keys."""
@@ -89,25 +134,15 @@ def _answers(min_count: int):
         back[order] = totals[np.cumsum(new) - 1]
         cuts = np.cumsum([len(x) for x in lists])[:-1]
         found = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in np.split(back, cuts)]
-        return pa.table({"batch": asked.column("batch"), "shard": asked.column("shard"), "counts": pa.array(found, pa.binary())})
+        return pa.table({"batch": asked.column("batch"), "shard": asked.column("shard"), "level": asked.column("level"), "counts": pa.array(found, pa.binary())})
 
     return answers
 
 
-def _scored(doc_id: str, text: str, order: int, words: int, min_count: int, backoff: float):
+def _scored(doc_id: str, text: str, order: int, levels: list[int], words: int, min_count: int, backoff: float):
     def scored(batch: pa.Table, answers: pa.Table) -> pa.Table:
         lengths, keys = _grams(texts(batch, text), order)
-        flat = np.concatenate(keys)
-        distinct = np.unique(flat[flat != 0])
-        packed = sorted(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel() for _, x in packed)]).astype(np.int64)
-        if len(counts) != len(distinct):
-            raise RuntimeError("a shard's answer is missing")
-        of = []
-        for n, own in enumerate(keys, 1):
-            at = np.searchsorted(distinct, own)
-            found = np.where(own != 0, counts[np.minimum(at, max(len(counts) - 1, 0))], 0) if len(counts) else np.zeros(len(own), np.int64)
-            of.append(found if n == 1 else np.where(found >= min_count, found, 0))
+        of = _known(keys, answers, levels, min_count)
         score = np.log10(np.maximum(of[0], 1) / max(words, 1))
         backed = np.zeros(len(score), np.int64)
         for n in range(2, order + 1):
@@ -139,10 +174,15 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     at = fresh("batch_no", own.columns)
     rows = dealt(own, size, "doc_id", at)
     groups = rows.groupBy(at)
-    asked = groups.applyInArrow(_requests(at, "text", shards(size, 8 << 20), order), "shard int, batch int, keys binary, number binary")
-    answers = asked.groupBy("shard").applyInArrow(_answers(min_count), "batch int, shard int, counts binary")
+    n_shards, levels = shards(size, 8 << 20), [min(order, 2), *range(3, order + 1)]
+    asked_as, answered_as = "shard int, level int, batch int, keys binary, number binary", "batch int, shard int, level int, counts binary"
+    asked = groups.applyInArrow(_requests(at, "text", n_shards, order), asked_as)
+    answers = asked.groupBy("shard").applyInArrow(_answers(min_count), answered_as)
+    for n in levels[1:]:
+        asked = groups.cogroup(answers.groupBy("batch")).applyInArrow(_longer_requests(at, "text", n_shards, n, min_count), asked_as)
+        answers = answers.unionByName(asked.groupBy("shard").applyInArrow(_answers(min_count), answered_as))
     kind = own.schema["doc_id"].dataType.simpleString()
-    out = rows.groupBy(at).cogroup(answers.groupBy("batch")).applyInArrow(_scored("doc_id", "text", order, int(words), min_count, backoff), f"doc_id {kind}, n_words long, log_score double, n_backoff long")
+    out = groups.cogroup(answers.groupBy("batch")).applyInArrow(_scored("doc_id", "text", order, levels, int(words), min_count, backoff), f"doc_id {kind}, n_words long, log_score double, n_backoff long")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return out.withColumn("mean_log_score", mean).withColumn("perplexity", F.pow(F.lit(10.0), -mean))
 
