@@ -33,9 +33,9 @@ def date_sets(d):
     """Created if it is trusted, else modified; an unknown date passes."""
     o, li = d.table("orders"), d.table("lineitem")
     return f"""WITH c AS (SELECT l_orderkey AS doc, min(l_shipdate) AS created, max(l_tax) AS conf FROM {li} GROUP BY l_orderkey),
-x AS (SELECT o_orderkey AS doc, CASE WHEN conf >= 0.07 THEN created ELSE o_orderdate END AS at, o_orderdate, created FROM {o} LEFT JOIN c ON c.doc = o_orderkey)
+x AS (SELECT o_orderkey AS doc, CASE WHEN conf >= 0.07 THEN created ELSE o_orderdate END AS moment, o_orderdate, created FROM {o} LEFT JOIN c ON c.doc = o_orderkey)
 SELECT doc, CASE WHEN created >= TIMESTAMP '1995-01-01 00:00:00' AND created < TIMESTAMP '1996-01-01 00:00:00' THEN 1.0 ELSE 0.5 END AS boost
-FROM x WHERE at IS NULL OR (at >= TIMESTAMP '1995-01-01 00:00:00' AND at < TIMESTAMP '1996-01-01 00:00:00')"""
+FROM x WHERE moment IS NULL OR (moment >= TIMESTAMP '1995-01-01 00:00:00' AND moment < TIMESTAMP '1996-01-01 00:00:00')"""
 
 
 @sql

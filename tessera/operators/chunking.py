@@ -54,9 +54,9 @@ def chunk_fixed(d):
     step = SIZE - OVERLAP
     starts = d.sequence("0", f"greatest(n - 1 - {OVERLAP}, 0)", str(step))
     return f"""WITH w AS (SELECT doc_id, {d.words('text')} AS t FROM {d.table('documents')}), s AS (SELECT doc_id, t, {d.size('t')} AS n FROM w),
-c AS (SELECT doc_id, t, n, {d.each(starts, 'at')} FROM s WHERE n > 0)
-SELECT doc_id, CAST(at AS BIGINT) AS start, CAST(least({SIZE}, n - at) AS BIGINT) AS n_words, md5({d.join(d.slice('t', 'CAST(at AS INT) + 1', SIZE), ' ')}) AS chunk_md5
-FROM c WHERE least({SIZE}, n - at) >= {LEAST} OR at = 0"""
+c AS (SELECT doc_id, t, n, {d.each(starts, 'pos0')} FROM s WHERE n > 0)
+SELECT doc_id, CAST(pos0 AS BIGINT) AS start, CAST(least({SIZE}, n - pos0) AS BIGINT) AS n_words, md5({d.join(d.slice('t', 'CAST(pos0 AS INT) + 1', SIZE), ' ')}) AS chunk_md5
+FROM c WHERE least({SIZE}, n - pos0) >= {LEAST} OR pos0 = 0"""
 
 
 @sql

@@ -83,8 +83,8 @@ SELECT h, doc_id AS keeper, n FROM r WHERE k = 1 AND n > 1"""
 @sql
 def passage_scores(d):
     """Windows of 420 characters, 210 apart: digits for each root of the length."""
-    return f"""WITH w AS (SELECT doc_id, text, {d.each(d.sequence('0', 'greatest(length(text) - 210, 0)', '210'), 'at')} FROM {d.table('documents')} WHERE length(text) > 0), p AS (SELECT doc_id, at, substring(text, CAST(at AS INT) + 1, 420) AS p FROM w)
-SELECT doc_id, CAST(at AS BIGINT) AS at, round({d.size(d.rx_all('p', '[0-9]'))} / sqrt(length(p)), 6) AS score FROM p"""
+    return f"""WITH w AS (SELECT doc_id, text, {d.each(d.sequence('0', 'greatest(length(text) - 210, 0)', '210'), 'pos0')} FROM {d.table('documents')} WHERE length(text) > 0), p AS (SELECT doc_id, pos0, substring(text, CAST(pos0 AS INT) + 1, 420) AS p FROM w)
+SELECT doc_id, CAST(pos0 AS BIGINT) AS start, round({d.size(d.rx_all('p', '[0-9]'))} / sqrt(length(p)), 6) AS score FROM p"""
 
 
 @sql

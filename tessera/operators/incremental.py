@@ -87,8 +87,8 @@ SELECT n.path FROM new n WHERE NOT EXISTS (SELECT 1 FROM roots r WHERE {d.starts
 @sql
 def progress_rate(d):
     ts = d.epoch("ts")
-    return f"""WITH w AS (SELECT event_id, user_id, {ts} AS at, count(*) OVER p AS n, min({ts}) OVER p AS since FROM {d.table('events')} WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-SELECT event_id, n, CASE WHEN at > since THEN round(CAST(n AS DOUBLE) / CAST(at - since AS DOUBLE), 6) END AS rate FROM w"""
+    return f"""WITH w AS (SELECT event_id, user_id, {ts} AS secs, count(*) OVER p AS n, min({ts}) OVER p AS since FROM {d.table('events')} WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT event_id, n, CASE WHEN secs > since THEN round(CAST(n AS DOUBLE) / CAST(secs - since AS DOUBLE), 6) END AS rate FROM w"""
 
 
 @sql

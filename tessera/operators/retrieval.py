@@ -237,7 +237,7 @@ def pick_rerank(d):
     """The first four distinct bodies of at least 50 characters are scored; copies of one share its score."""
     t = d.table("documents")
     return f"""WITH {ranked(d)}, b AS (SELECT qid, cid, rk, CASE WHEN length(x.text) >= 50 THEN md5({d.rx_sub('x.text', chr(92) + 's+', '')}) END AS body FROM r JOIN {t} x ON x.doc_id = cid),
-f AS (SELECT qid, body, min(rk) AS at FROM b WHERE body IS NOT NULL GROUP BY qid, body), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY at) AS body_no FROM f)
+f AS (SELECT qid, body, min(rk) AS first_rk FROM b WHERE body IS NOT NULL GROUP BY qid, body), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_rk) AS body_no FROM f)
 SELECT b.qid, b.cid, CAST(n.body_no AS BIGINT) AS body_no FROM b JOIN n ON n.qid = b.qid AND n.body = b.body WHERE n.body_no <= 4"""
 
 
