@@ -116,7 +116,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gen DESC) AS k F
 def conv_search(d):
     """Search inside each conversation with that conversation's own statistics."""
     c = d.table("conversations")
-    return f"""WITH tok AS (SELECT conv_id, turn, {d.size(d.words('text'))} AS dl, {d.each(d.words('lower(text)'), 'term')} FROM {c}),
+    return f"""WITH w AS (SELECT conv_id, turn, {d.words('lower(text)')} AS w FROM {c}), tok AS (SELECT conv_id, turn, {d.size('w')} AS dl, {d.each('w', 'term')} FROM w),
 st AS (SELECT conv_id, count(*) AS n, avg({d.size(d.words('text'))}) AS avgdl FROM {c} GROUP BY conv_id),
 q AS (SELECT DISTINCT conv_id, term FROM tok WHERE turn = 0), p AS (SELECT conv_id, turn, dl, term, count(*) AS tf FROM tok GROUP BY conv_id, turn, dl, term),
 df AS (SELECT conv_id, term, count(*) AS df FROM p GROUP BY conv_id, term),

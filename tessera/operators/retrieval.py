@@ -39,7 +39,8 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     Only postings of query terms leave the scan: their table is semi-joined by the broadcast terms before it is aggregated.
     """
     asked = small(queries.select("query_id", F.explode("terms").alias("term")))
-    tokens = chunks.select("chunk_id", F.size(words(F.col("text"))).alias("dl"), F.explode(words(F.col("text"))).alias("term"))
+    # Split below the generator: a length taken beside explode() would be computed for every term.
+    tokens = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     stats = chunks.select(F.size(words(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     wanted = tokens.join(small(asked.select("term").distinct()), "term", "left_semi")
     postings = wanted.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
