@@ -19,7 +19,7 @@ UNION ALL SELECT DISTINCT l_orderkey, concat('p', CAST(l_partkey % 200 AS STRING
 def people_sets(d):
     """Documents of both asked people; boost: the best role of each, added up."""
     return f"""WITH {people(d)}, b AS (SELECT doc, name, max(CASE role WHEN 'author' THEN 1.5 WHEN 'editor' THEN 0.8 ELSE 0.3 END) AS boost FROM ppl WHERE name IN ('p7', 'p11') GROUP BY doc, name)
-SELECT doc, round(CAST(sum(boost) AS DOUBLE), 6) AS boost FROM b GROUP BY doc HAVING count(*) >= 1"""
+SELECT doc, round(CAST(sum(boost) AS DOUBLE), 6) AS boost FROM b GROUP BY doc HAVING count(*) = 2"""
 
 
 @sql
