@@ -94,6 +94,9 @@ class Spark:
     def epoch(self, ts):
         return f"unix_micros(CAST({ts} AS TIMESTAMP)) / 1000000"
 
+    def hour(self, ts):
+        return f"CAST(date_trunc('hour', {ts}) AS TIMESTAMP_NTZ)"
+
     def days(self, d, n):
         return f"date_add({d}, {n})"
 
@@ -195,6 +198,9 @@ class Duck(Spark):
     def epoch(self, ts):
         return f"epoch_us({ts}) / 1000000"
 
+    def hour(self, ts):
+        return f"date_trunc('hour', {ts})"
+
     def days(self, d, n):
         return f"({d} + CAST({n} AS INTEGER))"
 

@@ -21,7 +21,8 @@ SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(event_id)
 
 @sql
 def tumbling_counts(d):
-    return f"SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {d.table('events')} GROUP BY date_trunc('hour', ts), event_type"
+    hour = d.hour("ts")
+    return f"SELECT {hour} AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {d.table('events')} GROUP BY {hour}, event_type"
 
 
 @sql
