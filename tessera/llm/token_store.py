@@ -17,12 +17,16 @@ Nulls: a null or empty text is the end id alone. Rows that repeat a doc_id follo
 
 from __future__ import annotations
 
-import bisect
+import functools
+import os
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,37 +121,63 @@ class Encoder:
     """
 
     HELD = 400_000
+    BATCH_BYTES, BATCH_RUNS = 1 << 20, 8192
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Entry 0 is the end id."""
         self.known: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
+        self.flat, self.sizes, self.starts = np.array([END_ID], np.uint32), np.ones(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self, runs: list[bytes]) -> None:
+        for k in range(0, len(runs), self.BATCH_RUNS):
+            own = runs[k : k + self.BATCH_RUNS]
+            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in own], add_special_tokens=False)]
+            self.known.update(zip(own, range(len(self.sizes), len(self.sizes) + len(own))))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+
+    def batches(self, texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+        """Texts in lists of about BATCH_BYTES; a longer text is alone."""
+        held, size = [], 0
+        for x in texts:
+            if held and size + len(x) > self.BATCH_BYTES:
+                yield held
+                held, size = [], 0
+            held.append(x)
+            size += len(x)
+        if held:
+            yield held
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each text."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.known) > self.HELD:
-            self.known, self.ids = {}, []
+            self._forget()
         runs = [x.split() for x in texts]
-        new = list({w for r in runs for w in r if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = len(self.ids)
-            self.ids.append(e.ids)
-        sizes = np.array([len(x) for x in self.ids] + [1], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.array([t for x in self.ids for t in x] + [END_ID], np.uint32)
-        end, get = len(self.ids), self.known.__getitem__
-        at: list[int] = []
-        for r in runs:
-            at.extend(map(get, r))
-            at.append(end)
-        words = np.array(at, np.int64)
-        lengths = sizes[words]
+        self._learn(list(set(chain.from_iterable(runs)).difference(self.known)))
+        counts = np.fromiter(map(len, runs), np.int64, len(runs))
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(runs)), np.int64, int(counts.sum()))
+        words = np.insert(words, np.cumsum(counts), 0)
+        lengths = self.sizes[words]
         ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts[words] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        last = np.cumsum([len(r) + 1 for r in runs]) - 1
-        return ids, np.diff(np.concatenate([[0], ends[last]])) if len(runs) else np.zeros(0, np.int64)
+        ids = self.flat[np.repeat(self.starts[words] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        return ids, np.diff(ends[np.cumsum(counts + 1) - 1], prepend=0)
+
+
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
 
 
 # Writing and reading
@@ -156,23 +186,16 @@ class Encoder:
 def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the documents' ids to path in ascending doc_id.
 
-    Parts are ranges of doc_id of about equal numbers, bounded by percentiles of the ids alone; a part is one task's, cut into segments.
+    Parts are ranges of doc_id of about equal numbers; a part is one task's, cut into segments.
     """
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, size = text_size(own)
     parts = max(1, min(-(-size // PART_BYTES), rows))
-    bounds = own.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-
-    @F.pandas_udf("int")
-    def part_of(ids):
-        import pandas as pd
-
-        return pd.Series([bisect.bisect_left(bounds, x) for x in ids.tolist()], dtype="int32")
 
     def run(batches):
-        encoder = Encoder(tokenizer)
-        part, number, ids, names, sizes, held = None, 0, [], [], [], 0
+        encoder = encoder_of(tokenizer)
+        part = TaskContext.get().partitionId()
+        number, ids, names, sizes, held = 0, [], [], [], 0
 
         def segment():
             nonlocal number, ids, names, sizes, held
@@ -183,18 +206,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
             return out
 
         for batch in batches:
-            found, n = encoder.encode(batch.column("text").cast(pa.large_binary()).to_pylist())
-            for p, name, own_ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), np.split(found, np.cumsum(n)[:-1]), strict=True):
-                if held and (p != part or held >= SEGMENT_IDS):
-                    yield segment()
-                if p != part:
-                    part, number = p, 0
-                ids.append(own_ids), names.append(name), sizes.append(len(own_ids))
-                held += len(own_ids)
+            left = iter(batch.column("doc_id").to_pylist())
+            column = batch.column("text").cast(pa.large_binary())
+            for texts in encoder.batches(x.as_py() for x in column):
+                found, n = encoder.encode(texts)
+                for own_ids in np.split(found, np.cumsum(n)[:-1]):
+                    if held >= SEGMENT_IDS:
+                        yield segment()
+                    ids.append(own_ids), names.append(next(left)), sizes.append(len(own_ids))
+                    held += len(own_ids)
         if held:
             yield segment()
 
-    dealt = own.select("doc_id", "text", part_of("doc_id").alias("part")).repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "doc_id", "text")
+    dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, "part int, segment long, first_id long, last_id long, n_ids long, payload binary").write.parquet(path)
 
 
