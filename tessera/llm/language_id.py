@@ -14,17 +14,20 @@ can be predicted, and is not trained on. Rows that repeat get equal predictions.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import uniform
 from tessera.llm.packed import texts
 
 PER_LANGUAGE, MIN_ROWS = 1500, 5
 SLOTS = 1 << 15
+BLOCK_ROWS = 256
 EPOCHS, RATE, DECAY = 60, 2.0, 1e-5
 AMBIGUOUS = 0.1
 UND = "und"
@@ -95,11 +98,12 @@ class Model:
 def learned(rows: DataFrame) -> Model | None:
     """A model from rows (doc_id, text, lang)."""
     usable = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    from pyspark.sql import Window
-
-    # Candidates by id first, so that texts of the chosen rows alone move; the number kept before ranking is pruned a task.
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(23)).alias("h"))
-    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= PER_LANGUAGE)
+    # Candidates by id first, so that texts of the chosen rows alone move. A share of each language's ids, by their hash and of about
+    # twice the number wanted, is ranked: no task gets all ids of a frequent language.
+    ids = usable.select("doc_id", "lang").distinct().withColumn("u", uniform(F.col("doc_id"), F.lit(23)))
+    numbers = ids.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    few = ids.join(numbers, F.col("lang") == F.col("of")).where(F.col("u") * F.col("n") < 2 * PER_LANGUAGE)
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))).where(F.col("r") <= PER_LANGUAGE)
     chosen = ranked.select(F.col("doc_id").alias("chosen_id")).distinct()
 
     def rates(batches):
@@ -112,28 +116,53 @@ def learned(rows: DataFrame) -> Model | None:
             yield from pa.table({"doc_id": t.column("doc_id"), "lang": t.column("lang"), "at": pa.array([x[0] for x in out], pa.binary()), "rate": pa.array([x[1] for x in out], pa.binary())}).to_batches()
 
     taken = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"), "left_semi")
+    # A doc_id that many rows share is trained on once.
+    taken = taken.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("doc_id", "one.text", "one.lang")
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = taken.mapInArrow(rates, f"doc_id {kind}, lang string, at binary, rate binary").orderBy("lang", F.xxhash64("doc_id"), "doc_id").toArrow().to_pydict()
-    lang = [x for x, at in zip(found["lang"], found["at"], strict=True) if at]
-    languages = sorted({x for x in lang if lang.count(x) >= MIN_ROWS})
+    seen = Counter(x for x, at in zip(found["lang"], found["at"], strict=True) if at)
+    languages = sorted(x for x, n in seen.items() if n >= MIN_ROWS)
     if not languages:
         return None
-    rows_at = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(r, "<f4"), languages.index(x)) for x, a, r in zip(found["lang"], found["at"], found["rate"], strict=True) if a and x in languages]
-    code = codewords(len(languages))
-    y = np.array([x[2] for x in rows_at])
-    x = np.zeros((len(rows_at), SLOTS), np.float32)
-    for k, (at, rate, _) in enumerate(rows_at):
-        x[k, at] = np.sqrt(1.0) * rate
-    scale = 1.0 / np.maximum(np.sqrt((x * x).mean(axis=0)), 1e-4)  # rates of frequent and rare n-grams on one scale
-    x *= scale
+    use = [k for k, (x, at) in enumerate(zip(found["lang"], found["at"], strict=True)) if at and x in languages]
+    y = np.array([languages.index(found["lang"][k]) for k in use])
+    sizes = np.array([len(found["at"][k]) // 2 for k in use])
+    at = np.frombuffer(b"".join([found["at"][k] for k in use]), "<u2")
+    rate = np.frombuffer(b"".join([found["rate"][k] for k in use]), "<f4").copy()
+    del found
+    return fitted(languages, y, sizes, at, rate)
+
+
+def fitted(languages: list[str], y: np.ndarray, sizes: np.ndarray, at: np.ndarray, rate: np.ndarray) -> Model:
+    """A model from the n-gram rates of rows one after the other; sizes: the n-grams of each row. The rates stay sparse: BLOCK_ROWS rows are dense at a time."""
+    code, ends = codewords(len(languages)), np.concatenate([[0], np.cumsum(sizes)])
+
+    def blocks():
+        for a in range(0, len(y), BLOCK_ROWS):
+            b = min(a + BLOCK_ROWS, len(y))
+            own = slice(ends[a], ends[b])
+            x = np.zeros((b - a, SLOTS), np.float32)
+            x[np.repeat(np.arange(b - a), sizes[a:b]), at[own]] = rate[own]
+            yield slice(a, b), x
+
+    squares = np.zeros(SLOTS)
+    for _, x in blocks():
+        squares += np.einsum("ij,ij->j", x, x)
+    scale = (1.0 / np.maximum(np.sqrt(squares / len(y)), 1e-4)).astype(np.float32)  # rates of frequent and rare n-grams on one scale
+    for a in range(0, len(rate), 1 << 20):
+        rate[a : a + (1 << 20)] *= scale[at[a : a + (1 << 20)]]
     share = 1.0 / np.bincount(y, minlength=len(languages))[y]
-    weights, bias = np.zeros((SLOTS, code.shape[1])), np.zeros(code.shape[1])
+    weights, bias = np.zeros((SLOTS, code.shape[1]), np.float32), np.zeros(code.shape[1])
     target = code[y]
-    norm = float(np.mean((x * x).sum(axis=1)))
+    norm = float(squares @ (scale.astype(float) ** 2)) / len(y)
     for _ in range(EPOCHS):  # full-batch logistic regression of all bits at once, each language weighing the same
-        miss = target / (1 + np.exp(np.clip(target * (x @ weights + bias), -30, 30))) * share[:, None] / share.sum()
-        weights += RATE * 8 / norm * (x.T @ miss) - DECAY * weights
-        bias += 0.1 * miss.sum(axis=0)
+        slope, shift = np.zeros_like(weights), np.zeros_like(bias)
+        for own, x in blocks():
+            miss = target[own] / (1 + np.exp(np.clip(target[own] * (x @ weights + bias), -30, 30))) * share[own, None] / share.sum()
+            slope += x.T @ miss.astype(np.float32)
+            shift += miss.sum(axis=0)
+        weights += np.float32(RATE * 8 / norm) * slope - np.float32(DECAY) * weights
+        bias += 0.1 * shift
     return Model(languages, code, np.ascontiguousarray(weights * scale[:, None], np.float32), bias)
 
 
