@@ -18,7 +18,9 @@ Nulls: a null or empty text is the end id alone. Rows that repeat a doc_id follo
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -113,37 +115,75 @@ class Segment:
 # Tokenizing
 
 
+#: Runs of these characters alone, and without the opening of a special token, are parted here as the vocabulary's normalizers and pre-tokenizer would.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The vocabulary's own pattern over those characters in lower case; a line end parts runs.
+_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+")
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary's pre-tokenizer drops white space and never joins what it parts, so the ids of a text are those of its space-free runs in turn.
-    Each distinct run is encoded by the library once; held runs are forgotten beyond a bound of memory.
+    A plain run is parted into pieces here, and the library's model tokenizes each distinct piece; the library encodes each other distinct run as a
+    whole. Held runs and pieces are forgotten beyond a bound of memory.
     """
 
     HELD = 400_000
     BATCH_BYTES, BATCH_RUNS = 1 << 20, 8192
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        said = json.loads(self.tokenizer.to_str())
+        shape = [said["normalizer"], said["pre_tokenizer"]]
+        # Another vocabulary may part plain runs otherwise: then all runs go to the library as a whole.
+        self.parts = "Lowercase" in str(shape[0]) and "|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(shape[1]).replace("\\\\", "\\")
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.to_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self._forget()
 
     def _forget(self) -> None:
-        """Entry 0 is the end id."""
+        """Entry 0 is the end id; runs and pieces share the entries' numbers apart."""
         self.known: dict[bytes, int] = {}
+        self.pieces: dict[str, int] = {}
         self.flat, self.sizes, self.starts = np.array([END_ID], np.uint32), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.piece_flat, self.piece_sizes, self.piece_starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, runs: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(runs, range(len(self.sizes), len(self.sizes) + len(runs))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
 
     def _learn(self, runs: list[bytes]) -> None:
-        for k in range(0, len(runs), self.BATCH_RUNS):
-            own = runs[k : k + self.BATCH_RUNS]
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in own], add_special_tokens=False)]
-            self.known.update(zip(own, range(len(self.sizes), len(self.sizes) + len(own))))
+        plain, other = [], []
+        for w in runs:
+            x = w.decode("utf-8", "replace")
+            (plain if self.parts and _PLAIN.fullmatch(x) and "<|" not in x else other).append((w, x))
+        if plain:
+            found = _PIECES.findall("\n".join(x for _, x in plain).lower())
+            new = list(set(found).difference(self.pieces))
+            tokens = [[] if x == "\n" else [t.id for t in self.model.tokenize(x if x.isascii() else x.translate(self.to_level))] for x in new]
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
+            self.piece_starts = np.concatenate([self.piece_starts, len(self.piece_flat) + np.cumsum(sizes) - sizes])
+            self.piece_sizes = np.concatenate([self.piece_sizes, sizes])
+            self.piece_flat = np.concatenate([self.piece_flat, np.fromiter(chain.from_iterable(tokens), np.uint32, int(sizes.sum()))])
+            at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+            lengths = self.piece_sizes[at]
+            ends = np.cumsum(lengths)
+            flat = self.piece_flat[np.repeat(self.piece_starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+            last = np.append(np.flatnonzero(at == self.pieces.get("\n", -1)), len(at) - 1)
+            self._add([w for w, _ in plain], flat, np.diff(ends[last], prepend=0))
+        for k in range(0, len(other), self.BATCH_RUNS):
+            own = other[k : k + self.BATCH_RUNS]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([x for _, x in own], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+            self._add([w for w, _ in own], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
 
     def batches(self, texts: Iterable[bytes]) -> Iterator[list[bytes]]:
         """Texts in lists of about BATCH_BYTES; a longer text is alone."""
@@ -161,7 +201,7 @@ class Encoder:
         """Ids of all texts, each with the end id, and the number of ids of each text."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.known) > self.HELD:
+        if max(len(self.known), len(self.pieces)) > self.HELD:
             self._forget()
         runs = [x.split() for x in texts]
         self._learn(list(set(chain.from_iterable(runs)).difference(self.known)))
