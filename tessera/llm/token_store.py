@@ -59,17 +59,21 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, before: np.ndarray, percentile:
     # An exception may not cost more than the bits it saves.
     over = (rest >> np.minimum(width, 31)[:, None].astype(np.uint32)) * (width < 32)[:, None]
     patched = over > 0
+    number = patched.sum(axis=1)
+    cuts = np.cumsum(number) - number
+    block, place = np.nonzero(patched)
+    places, uppers = place.astype(np.uint8).tobytes(), over[block, place].astype("<u4").tobytes()
     parts: list[bytes] = [b""] * blocks
     for w in np.unique(width).tolist():
         own = np.flatnonzero(width == w)
         bits = ((rest[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8).reshape(len(own), -1)
         data = np.packbits(bits, axis=1, bitorder="little") if w else np.zeros((len(own), 0), np.uint8)
-        for b, line in zip(own.tolist(), data, strict=True):
-            place = np.flatnonzero(patched[b])
-            parts[b] = line.tobytes() + place.astype(np.uint8).tobytes() + over[b, place].astype("<u4").tobytes()
+        packed, each = data.tobytes(), data.shape[1]
+        for k, (b, c, m) in enumerate(zip(own.tolist(), cuts[own].tolist(), number[own].tolist(), strict=True)):
+            parts[b] = packed[k * each : k * each + each] + places[c : c + m] + uppers[4 * c : 4 * (c + m)]
     starts = np.cumsum([0, *map(len, parts)])[:-1] if blocks else np.zeros(0, np.int64)
     index = np.zeros(blocks, [("start", "<u4"), ("low", "<u4"), ("width", "u1"), ("over", "u1")])
-    index["start"], index["low"], index["width"], index["over"] = starts, low, width, patched.sum(axis=1)
+    index["start"], index["low"], index["width"], index["over"] = starts, low, width, number
     docs = np.zeros(len(doc_ids), [("id", "<i8"), ("before", "<u8")])
     docs["id"], docs["before"] = doc_ids, before
     return _HEAD.pack(b"TPFR", 1, BLOCK, len(docs), n, blocks) + docs.tobytes() + index.tobytes() + b"".join(parts)
@@ -121,6 +125,37 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+")
 
 
+def _laid(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lists end to end, their sizes and where each starts."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes, np.cumsum(sizes) - sizes
+
+
+def _spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at, end to end, and where each ends."""
+    lengths = sizes[at]
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))], ends
+
+
+class Numbers(dict):
+    """Numbers of keys in the order in which they were first asked for; new: the keys since it was last emptied."""
+
+    def __init__(self, count: int = 0):
+        super().__init__()
+        self.count, self.new = count, []
+
+    def __missing__(self, key):
+        self[key] = at = self.count
+        self.count += 1
+        self.new.append(key)
+        return at
+
+    def taken(self) -> list:
+        new, self.new = self.new, []
+        return new
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -138,52 +173,49 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # no piece is tokenized twice
         said = json.loads(self.tokenizer.to_str())
         shape = [said["normalizer"], said["pre_tokenizer"]]
         # Another vocabulary may part plain runs otherwise: then all runs go to the library as a whole.
         self.parts = "Lowercase" in str(shape[0]) and "|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(shape[1]).replace("\\\\", "\\")
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.to_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self._forget()
+        self._forget_runs(), self._forget_pieces()
 
-    def _forget(self) -> None:
-        """Entry 0 is the end id; runs and pieces share the entries' numbers apart."""
-        self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = {}
+    def _forget_runs(self) -> None:
+        """Entry 0 is the end id."""
+        self.known = Numbers(1)
         self.flat, self.sizes, self.starts = np.array([END_ID], np.uint32), np.ones(1, np.int64), np.zeros(1, np.int64)
-        self.piece_flat, self.piece_sizes, self.piece_starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _add(self, runs: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(runs, range(len(self.sizes), len(self.sizes) + len(runs))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
+    def _forget_pieces(self) -> None:
+        self.pieces = Numbers()
+        self.piece_flat, self.piece_sizes, self.piece_starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, runs: list[bytes]) -> None:
-        plain, other = [], []
-        for w in runs:
-            x = w.decode("utf-8", "replace")
-            (plain if self.parts and _PLAIN.fullmatch(x) and "<|" not in x else other).append((w, x))
-        if plain:
-            found = _PIECES.findall("\n".join(x for _, x in plain).lower())
-            new = list(set(found).difference(self.pieces))
-            tokens = [[] if x == "\n" else [t.id for t in self.model.tokenize(x if x.isascii() else x.translate(self.to_level))] for x in new]
-            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-            self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
-            self.piece_starts = np.concatenate([self.piece_starts, len(self.piece_flat) + np.cumsum(sizes) - sizes])
-            self.piece_sizes = np.concatenate([self.piece_sizes, sizes])
-            self.piece_flat = np.concatenate([self.piece_flat, np.fromiter(chain.from_iterable(tokens), np.uint32, int(sizes.sum()))])
-            at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
-            lengths = self.piece_sizes[at]
-            ends = np.cumsum(lengths)
-            flat = self.piece_flat[np.repeat(self.piece_starts[at] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
-            last = np.append(np.flatnonzero(at == self.pieces.get("\n", -1)), len(at) - 1)
-            self._add([w for w, _ in plain], flat, np.diff(ends[last], prepend=0))
+        """Add the ids of runs, which follow the known ones."""
+        read = [w.decode("utf-8", "replace") for w in runs]
+        plain = np.fromiter((self.parts and _PLAIN.fullmatch(x) is not None and "<|" not in x for x in read), bool, len(read))
+        lists: list[list[int]] = []
+        other = [read[k] for k in np.flatnonzero(~plain)]
         for k in range(0, len(other), self.BATCH_RUNS):
-            own = other[k : k + self.BATCH_RUNS]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([x for _, x in own], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._add([w for w, _ in own], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(other[k : k + self.BATCH_RUNS], add_special_tokens=False)]
+        flat, sizes, starts = _laid(lists)
+        places = np.zeros(len(read), np.int64)
+        lengths = np.zeros(len(read), np.int64)
+        places[~plain], lengths[~plain] = starts, sizes
+        if plain.any():
+            found = _PIECES.findall("\n".join([read[k] for k in np.flatnonzero(plain)]).lower())
+            at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+            new, add = _laid([[] if x == "\n" else [t.id for t in self.model.tokenize(x if x.isascii() else x.translate(self.to_level))] for x in self.pieces.taken()]), len(self.piece_flat)
+            self.piece_flat, self.piece_sizes = np.concatenate([self.piece_flat, new[0]]), np.concatenate([self.piece_sizes, new[1]])
+            self.piece_starts = np.concatenate([self.piece_starts, new[2] + add])
+            own, ends = _spread(self.piece_flat, self.piece_starts, self.piece_sizes, at)
+            last = np.append(np.flatnonzero(at == self.pieces["\n"]) if plain.sum() > 1 else np.zeros(0, np.int64), len(at) - 1)
+            lengths[plain] = n = np.diff(ends[last], prepend=0)
+            places[plain] = len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, own])
+        self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + places]), np.concatenate([self.sizes, lengths])
+        self.flat = np.concatenate([self.flat, flat])
 
     def batches(self, texts: Iterable[bytes]) -> Iterator[list[bytes]]:
         """Texts in lists of about BATCH_BYTES; a longer text is alone."""
@@ -201,16 +233,16 @@ class Encoder:
         """Ids of all texts, each with the end id, and the number of ids of each text."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if max(len(self.known), len(self.pieces)) > self.HELD:
-            self._forget()
+        if len(self.known) > self.HELD:
+            self._forget_runs()
+        if len(self.pieces) > self.HELD:
+            self._forget_pieces()
         runs = [x.split() for x in texts]
-        self._learn(list(set(chain.from_iterable(runs)).difference(self.known)))
         counts = np.fromiter(map(len, runs), np.int64, len(runs))
         words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(runs)), np.int64, int(counts.sum()))
-        words = np.insert(words, np.cumsum(counts), 0)
-        lengths = self.sizes[words]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[words] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        if new := self.known.taken():
+            self._learn(new)
+        ids, ends = _spread(self.flat, self.starts, self.sizes, np.insert(words, np.cumsum(counts), 0))
         return ids, np.diff(ends[np.cumsum(counts + 1) - 1], prepend=0)
 
 
