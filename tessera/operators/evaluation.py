@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
 from tessera.operators.retrieval import BM25_SQL, bm25_topk, read
 from tessera.registry import frame, sql
 from pyspark.sql import functions as F
@@ -56,11 +59,81 @@ def gram_coverage(d):
 SELECT item_id, count(*) AS n, round(CAST({d.at_least_count('u.g IS NOT NULL')} AS DOUBLE) / count(*), 6) AS coverage FROM g LEFT JOIN u ON u.g = g.g GROUP BY item_id"""
 
 
-@sql
-def ctx_hit(d):
-    """A document holds an item in full or its middle thirty characters: candidates share its middle eight-word group or its opening."""
-    return f"""WITH b AS (SELECT item_id, text, substring(text, CAST(floor(length(text) / 2.0) AS INT) - 14, 30) AS middle FROM {d.table('benchmark')})
-SELECT b.item_id, {d.at_least_count('contains(x.text, b.text)')} AS whole, {d.at_least_count('contains(x.text, b.middle)')} AS middle FROM b JOIN {d.table('documents')} x ON x.doc_id % 40 = b.item_id % 40 GROUP BY b.item_id"""
+@frame("""WITH b AS (SELECT item_id, text, CASE WHEN length(text) < 30 THEN text ELSE substring(text, CAST(floor(length(text) / 2.0) AS INT) - 14, 30) END AS middle FROM benchmark)
+SELECT b.item_id, count(*) FILTER (contains(x.text, b.text)) AS whole, count(*) FILTER (contains(x.text, b.middle)) AS middle FROM b LEFT JOIN documents x ON contains(x.text, b.middle) GROUP BY b.item_id""")
+def ctx_hit(spark, d):
+    """Documents that hold an item in full, and its middle thirty characters (all of an item shorter than that); every item has a row.
+
+    Candidates come from all documents, by a hashed window of bytes of the middle, and are verified by containment.
+    """
+    text = F.col("text")
+    n = F.length(text)
+    middle = F.when(n < 30, text).otherwise(F.substring(text, F.floor(n / 2).cast("int") - 14, F.lit(30)))
+    items = read(spark, d, "benchmark").select("item_id", text.cast("binary").alias("whole"), middle.cast("binary").alias("middle"))
+    wanted = items.where("middle IS NOT NULL").toArrow()  # the items are the small side
+    ids, whole, middle = (wanted.column(c).to_pylist() for c in ("item_id", "whole", "middle"))
+    hits = read(spark, d, "documents").where("text IS NOT NULL").select(F.col("text").cast("binary").alias("text")).mapInArrow(held(ids, whole, middle), "item_id long, whole long, middle long")
+    counts = hits.groupBy("item_id").agg(F.sum("whole").alias("whole"), F.sum("middle").alias("middle"))
+    at = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return items.select("item_id").distinct().join(counts, "item_id", "left").select("item_id", at("whole"), at("middle"))
+
+
+#: Bytes of text searched at once.
+BLOCK = 1 << 20
+
+
+def windows(data: bytes, width: int) -> np.ndarray:
+    """A hash of the width (8 or 24) bytes from every place of data on."""
+    n = len(data) - 7
+    w = np.empty(max(n, 0), np.uint64)
+    for s in range(min(8, max(n, 0))):
+        w[s::8] = np.frombuffer(data, "<u8", (len(data) - s) // 8, s)
+    if width == 24:
+        w = w[:-16] + w[8:-8] * np.uint64(0xC2B2AE3D27D4EB4F) + w[16:] * np.uint64(0x165667B19E3779F9) if n > 16 else w[:0]
+    return w * np.uint64(0x9E3779B97F4A7C15)
+
+
+def held(ids: list, whole: list[bytes], middle: list[bytes]):
+    """Batches of texts to item_id and the numbers of texts that hold the item's whole and middle."""
+    tables, any_text = [], [k for k, m in enumerate(middle) if len(m) < 8]
+    for width, own in ((24, [k for k, m in enumerate(middle) if len(m) >= 24]), (8, [k for k, m in enumerate(middle) if 8 <= len(m) < 24])):
+        if own:
+            keys = np.concatenate([windows(middle[k][:width], width) for k in own])
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(1 << 20, bool)
+            seen[keys >> np.uint64(44)] = True
+            tables.append((width, keys[order], np.array(own)[order], seen))
+
+    def candidates(block: list[bytes]) -> set[tuple[int, int]]:
+        data = b"".join(block)
+        ends = np.cumsum([len(x) for x in block])
+        out = {(k, t) for k in any_text for t in range(len(block))}
+        for width, keys, own, seen in tables:
+            w = windows(data, width)
+            at = np.flatnonzero(seen[w >> np.uint64(44)])
+            first, last = np.searchsorted(keys, w[at], "left"), np.searchsorted(keys, w[at], "right")
+            for p, a, b in zip(at[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
+                t = int(np.searchsorted(ends, p, "right"))
+                out.update((int(k), t) for k in own[a:b])
+        return out
+
+    def run(batches):
+        for batch in batches:
+            found, block, size = {}, [], 0
+            texts = batch.column(0).to_pylist()
+            for i, text in enumerate(texts):
+                block.append(text)
+                size += len(text)
+                if size >= BLOCK or i + 1 == len(texts):
+                    for k, t in candidates(block):
+                        if middle[k] in block[t]:
+                            n = found.setdefault(k, [0, 0])
+                            n[0] += whole[k] in block[t]
+                            n[1] += 1
+                    block, size = [], 0
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array([ids[k] for k in found], pa.int64()), "whole": pa.array([n[0] for n in found.values()], pa.int64()), "middle": pa.array([n[1] for n in found.values()], pa.int64())})
+
+    return run
 
 
 @sql
