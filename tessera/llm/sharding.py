@@ -4,21 +4,24 @@ Documents lie in the order of (hash of the text, doc_id), equal texts side by si
 equal bytes. Splitters are found without sorting: count the exact bytes below candidate boundaries over all partitions,
 keep the interval in which a shard's share of the bytes is reached, and probe that interval more finely, until a boundary
 between groups of equal texts lies within tolerance of the share. Where a single group is too large for that, its
-doc_ids are probed in the same way, so that a group of any size is split and the others stay whole. Then rows move once.
+doc_ids are probed in the same way, so that a group of any size is split and the others stay whole. Then whole rows move once,
+by the splitters found, and are written as files in a folder for each shard.
 
 Row counts get splitters too: together they cut shards into pieces of bounded bytes and rows, and a piece is numbered by one
-task; slots are the piece's start and the place in it.
+task; slots are the piece's start and the place in it. The query's sizes and checksums are those of the rows in the shards' files.
 
 Nulls: a null text is no bytes and lies with the empty texts apart from them by hash; a null doc_id lies before all others. Rows that repeat lie
-side by side, in one piece. An empty table gives an empty result. Extra columns are ignored.
+side by side, in one piece. An empty table gives an empty result. Extra columns move along.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import store
+from tessera.llm.common import fresh, shared_dir, store
 
 SHARDS = 24
 #: Of a shard's share of the bytes.
@@ -97,44 +100,50 @@ def splitters(slim: DataFrame, weight, total: float, parts: int, tolerance: floa
     return sorted(out)
 
 
-def _below(keys: list[tuple[int, int]]):
+def _below(keys: list[tuple[int, int]], h, doc_id):
     """Number of keys that a row's key reaches."""
     if not keys:
         return F.lit(0)
-    known = F.array(*(F.struct(F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("d")) for h, d in keys))
-    return F.size(F.filter(known, lambda s: (s["h"] < F.col("h")) | ((s["h"] == F.col("h")) & (s["d"] <= F.col("doc_id")))))
-
-
-def sharded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
-    t = F.col(text)
-    slim = store(
-        docs.select(
-            F.col(doc_id).cast("long").alias("id"),
-            F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("doc_id"),
-            (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"),
-            F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
-            F.xxhash64(t).alias("h"),
-        ),
-        "sizes",
-    )
+    known = F.array(*(F.struct(F.lit(a).cast("long").alias("h"), F.lit(b).cast("long").alias("d")) for a, b in keys))
+    return F.size(F.filter(known, lambda s: (s["h"] < h) | ((s["h"] == h) & (s["d"] <= doc_id))))
+
+
+def _size(text):
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
+
+
+def sharded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, str]:
+    """The rows of docs with the columns shard and slot (longer names where docs has these), read from the shards' files, and their folder."""
+    t, key, h = F.col(text), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)), F.xxhash64(F.col(text))
+    slim = store(docs.select(key.alias("doc_id"), _size(t).alias("size"), h.alias("h")), "sizes")
     rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     by_bytes = splitters(slim, F.col("size"), float(total), shards, tolerance) if rows else []
     by_rows = splitters(slim, F.lit(1), float(rows), PIECES, 0.2) if rows else []
     pieces = sorted(set(by_bytes) | set(by_rows))
-    placed = slim.withColumn("piece", _below(pieces))
-    counts = {r["piece"]: r["n"] for r in placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards + PIECES rows
+    piece = _below(pieces, F.col("h"), F.col("doc_id"))
+    counts = {r["piece"]: r["n"] for r in slim.groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards + PIECES rows
     shard_of, start_of, shard, start, cut = [], [], 0, 0, 0
-    for piece in range(len(pieces) + 1):
-        key = pieces[piece - 1] if piece else None
-        while cut < len(by_bytes) and key is not None and by_bytes[cut] <= key:
+    for k in range(len(pieces) + 1):
+        first = pieces[k - 1] if k else None
+        while cut < len(by_bytes) and first is not None and by_bytes[cut] <= first:
             cut, shard, start = cut + 1, shard + 1, 0
         shard_of.append(shard), start_of.append(start)
-        start += counts.get(piece, 0)
-    number = F.row_number().over(Window.partitionBy("piece").orderBy("h", "doc_id", "size", "text_crc32"))
-    at = lambda values, kind: F.element_at(F.array(*map(F.lit, values)), F.col("piece") + 1).cast(kind)
-    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), at(shard_of, "int").alias("shard"), (at(start_of, "long") + number - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        start += counts.get(k, 0)
+    names = docs.columns
+    shard_at, slot_at, piece_at, h_at, key_at = (fresh(x, names) for x in ("shard", "slot", "piece_no", "text_hash", "order_id"))
+    at = lambda values, kind: F.element_at(F.array(*map(F.lit, values)), F.col(piece_at) + 1).cast(kind)
+    placed = docs.withColumns({h_at: h, key_at: key}).withColumn(piece_at, _below(pieces, F.col(h_at), F.col(key_at))).withColumn(shard_at, at(shard_of, "int"))
+    number = F.row_number().over(Window.partitionBy(shard_at, piece_at).orderBy(h_at, key_at))
+    laid = placed.withColumn(slot_at, at(start_of, "long") + number - 1).select(*(F.col(f"`{x}`") for x in names), slot_at, shard_at)
+    path = f"{shared_dir(docs.sparkSession)}/tessera/shards-{uuid.uuid4().hex}"
+    laid.write.partitionBy(shard_at).parquet(path)
+    return docs.sparkSession.read.schema(laid.schema).parquet(path), path
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return sharded(docs)
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row in the shards' files."""
+    rows, _ = sharded(docs)
+    t = F.col("text")
+    crc = F.crc32(F.coalesce(t, F.lit("")).cast("binary"))
+    shard, slot = (F.col(fresh(x, docs.columns)) for x in ("shard", "slot"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), _size(t).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
