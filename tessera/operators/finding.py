@@ -66,12 +66,12 @@ def page_text(d):
 
 
 def source_chunks(d):
-    """Evenly spaced chunks of each source document, 8 at most, against all chunks."""
+    """Evenly spaced chunks of each source document (numbers floor(k * n / 32), at most 32), against all chunks of the others."""
     e, t = d.table("embeddings"), d.table("documents")
     return f"""c AS (SELECT x.source AS doc, e.vec_id, e.embedding, row_number() OVER (PARTITION BY x.source ORDER BY e.vec_id) - 1 AS i, count(*) OVER (PARTITION BY x.source) AS n FROM {e} e JOIN {t} x ON x.doc_id = e.vec_id),
-q AS (SELECT doc, vec_id, embedding FROM c WHERE n <= 8 OR i % greatest(CAST(ceil(n / 8.0) AS INT), 1) = 0),
+q AS (SELECT doc, vec_id, embedding FROM c WHERE (32 * i) % n = 0 OR n - (32 * i) % n < 32),
 nq AS (SELECT doc, count(*) AS k FROM q GROUP BY doc),
-best AS (SELECT q.doc AS a, c.doc AS b, q.vec_id AS qv, max(round({d.dot('q.embedding', 'c.embedding')}, 6)) AS s FROM q JOIN c ON q.doc <> c.doc AND q.doc IN ('src0', 'src1', 'src2') GROUP BY q.doc, c.doc, q.vec_id)"""
+best AS (SELECT q.doc AS a, c.doc AS b, q.vec_id AS qv, max(round({d.dot('q.embedding', 'c.embedding')}, 6)) AS s FROM q JOIN c ON q.doc <> c.doc GROUP BY q.doc, c.doc, q.vec_id)"""
 
 
 @sql
