@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tessera.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session without a cluster gets a temporary one."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.tessera.dir", None)
     if not found:
+        if not (conf.get("spark.master") or "").startswith("local") or (conf.get("spark.master") or "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.tessera.dir", found)
     return found.rstrip("/")

@@ -1,16 +1,16 @@
-"""Stupid-backoff scores of documents under the n-gram counts of their own corpus.
+"""Stupid-backoff scores of documents under the n-gram counts of the corpus they lie in.
 
 S(w | c) = count(c w) / count(c) if the table holds c w, else BACKOFF * S(w | c without its first word); S(w) = count(w) / words.
-Tables hold every word, and the longer n-grams found at least min_count times in the whole corpus. Words are runs of non-space
-characters, A-Z in lower case; n-grams stay inside a document.
+The counts that score a document are those of all other documents: its own occurrences are taken off, since a table that holds
+the document itself would never back off. A word that no other document has counts once. Words are runs of non-space characters,
+A-Z in lower case; n-grams stay inside a document. Every n-gram of the corpus is in the tables, whatever its count.
 
 The count tables are partitioned by a hash of the n-gram. The n-grams of a document are exploded inside its batch, where
-equal ones fold to one entry with their number, and joined to the tables by that hash; sums are by document. Words and pairs are
-counted first; a longer n-gram is asked for only where both n-grams of one word less that it holds are in the table, since
-it cannot be found more often than they are.
+equal ones fold to one entry with their number, and joined to the tables by that hash; sums are by document. Keys are 64-bit
+hashes of the words: among k different n-grams about k * k / 2**65 pairs share a key (one pair in 6 * 10**9 n-grams).
 
-Nulls: a null or empty text has 0 words, log_score 0 and null means. Rows that repeat are counted as often as they occur and
-score alike. An empty table gives an empty result. All documents are counted; nothing is sampled.
+Nulls: a null or empty text has 0 words, log_score 0 and null means; a null doc_id is scored like any other. Rows that repeat are
+documents of their own and score alike. An empty table gives an empty result. Nothing is sampled or cut off.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, n_words, text_size
+from tessera.llm.common import fresh, store, text_size
 from tessera.llm.packed import dealt, mixed, planes, shards, texts, unplanes
 
-ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
+ORDER, BACKOFF = 3, 0.4
+SHARD_BYTES = 8 << 20
 
 
 def _grams(data: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -49,71 +50,35 @@ def _grams(data: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.nd
     return lengths, keys
 
 
-def _packed(distinct: np.ndarray, number: np.ndarray, at: int, n_shards: int, level: int) -> pa.Table:
-    """The batch's keys of one level, a row a shard."""
-    number = np.minimum(number, 2**32 - 1).astype("<u4")
-    held, starts = np.unique(_shard(distinct, n_shards), return_index=True)
-    cuts = [*starts.tolist(), len(distinct)]
-    spans = list(zip(cuts, cuts[1:], strict=False))
-    return pa.table(
-        {
-            "shard": pa.array(held.astype(np.int32), pa.int32()),
-            "level": pa.array([level] * len(held), pa.int32()),
-            "batch": pa.array([at] * len(held), pa.int32()),
-            "keys": pa.array([planes(distinct[a:b]) for a, b in spans], pa.binary()),
-            "number": pa.array([_byte_planes(number[a:b]) for a, b in spans], pa.binary()),
-        }
-    )
+class _Folded:
+    """The keys of one level: distinct ones with their number, the place of each word's key among them, and its number in its own document."""
 
+    def __init__(self, keys: np.ndarray, document: np.ndarray):
+        some = np.flatnonzero(keys)
+        self.order = some[np.argsort(keys[some], kind="stable")]  # documents stay in order inside a key
+        k, d = keys[self.order], document[self.order]
+        new = np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]])
+        other = new | np.concatenate([np.ones(min(1, len(k)), bool), d[1:] != d[:-1]])
+        self.distinct, self.at, self.words = k[new], np.cumsum(new) - 1, len(keys)
+        self.number = np.diff(np.append(np.flatnonzero(new), len(k)))
+        self.own = np.diff(np.append(np.flatnonzero(other), len(k)))[np.cumsum(other) - 1]
 
-def _byte_planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _known(keys: list[np.ndarray], answers: pa.Table, levels: list[int], min_count: int) -> list[np.ndarray]:
-    """Corpus counts of the n-grams that end at each word, for n up to the last of levels; longer than a word: 0 below min_count."""
-    packed: dict[int, list] = {}
-    for level, shard, counts in zip(answers.column("level").to_pylist(), answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True):
-        packed.setdefault(level, []).append((shard, counts))
-    out: list[np.ndarray] = []
-    for level in levels:
-        asked = keys[:level] if level <= 2 else [_eligible(keys, out, level)]
-        flat = np.concatenate(asked)
-        distinct = np.unique(flat[flat != 0])
-        lists = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel() for _, x in sorted(packed.get(level, []))]
-        counts = np.concatenate([np.zeros(0, np.uint64), *lists]).astype(np.int64)
-        if len(counts) != len(distinct):
-            raise RuntimeError("a shard's answer is missing")
-        for own in asked:
-            at = np.searchsorted(distinct, own)
-            found = np.where(own != 0, counts[np.minimum(at, len(counts) - 1)], 0) if len(counts) else np.zeros(len(own), np.int64)
-            out.append(found if not out else np.where(found >= min_count, found, 0))
-    return out
-
-
-def _eligible(keys: list[np.ndarray], known: list[np.ndarray], n: int) -> np.ndarray:
-    """Keys of the n-grams whose two (n-1)-grams are both in the table; 0 for the others."""
-    shorter = known[n - 2] > 0
-    before = np.concatenate([[False], shorter[:-1]])[: len(shorter)]
-    return np.where(shorter & before, keys[n - 1], np.uint64(0))
-
+    def others(self, totals: np.ndarray) -> np.ndarray:
+        """What other documents hold of each word's n-gram, given the corpus counts of the distinct keys."""
+        out = np.zeros(self.words, np.int64)
+        out[self.order] = totals[self.at] - self.own
+        return out
 
-def _requests(batch_at: str, text: str, n_shards: int, order: int):
-    def requests(batch: pa.Table) -> pa.Table:
-        _, keys = _grams(texts(batch, text), min(order, 2))
-        flat = np.concatenate(keys)
-        return _packed(*np.unique(flat[flat != 0], return_counts=True), batch.column(batch_at)[0].as_py(), n_shards, min(order, 2))
-
-    return requests
 
+def _byte_planes(x: np.ndarray) -> bytes:
+    """Counts as planes of 4 bytes each, or of 8 where one does not fit."""
+    x = x.astype("<u4" if not len(x) or x.max() < 1 << 32 else "<u8")
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
-def _longer_requests(batch_at: str, text: str, n_shards: int, n: int, min_count: int):
-    def requests(batch: pa.Table, answers: pa.Table) -> pa.Table:
-        _, keys = _grams(texts(batch, text), n)
-        asked = _eligible(keys, _known(keys, answers, list(range(2, n)), min_count), n)
-        return _packed(*np.unique(asked[asked != 0], return_counts=True), batch.column(batch_at)[0].as_py(), n_shards, n)
 
-    return requests
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    width = len(data) // n if n else 4
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _shard(keys: np.ndarray, n: int) -> np.ndarray:
@@ -121,68 +86,90 @@ def _shard(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
 
 
-def _answers(min_count: int):
-    def answers(asked: pa.Table) -> pa.Table:
-        """One shard of the count table, and its counts in the order of each batch's keys."""
-        lists = [unplanes(x) for x in asked.column("keys").to_pylist()]
-        number = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in asked.column("number").to_pylist()]).astype(np.int64)
-        flat = np.concatenate(lists)
-        order = np.argsort(flat, kind="stable")
-        new = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])
-        totals = np.add.reduceat(number[order], np.flatnonzero(new))
-        back = np.empty(len(flat), np.int64)
-        back[order] = totals[np.cumsum(new) - 1]
-        cuts = np.cumsum([len(x) for x in lists])[:-1]
-        found = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in np.split(back, cuts)]
-        return pa.table({"batch": asked.column("batch"), "shard": asked.column("shard"), "level": asked.column("level"), "counts": pa.array(found, pa.binary())})
+def _requests(batch_at: str, text: str, n_shards: int, order: int):
+    def requests(batch: pa.Table) -> pa.Table:
+        """The batch's keys, a row a level and shard."""
+        out: dict[str, list] = {"shard": [], "level": [], "keys": [], "number": []}
+        lengths, keys = _grams(texts(batch, text), order)
+        document = np.repeat(np.arange(len(lengths)), lengths)
+        for level, own in enumerate(keys, 1):
+            folded = _Folded(own, document)
+            held, starts = np.unique(_shard(folded.distinct, n_shards), return_index=True)
+            for shard, a, b in zip(held.tolist(), starts.tolist(), [*starts[1:].tolist(), len(folded.distinct)], strict=False):
+                out["shard"].append(shard), out["level"].append(level)
+                out["keys"].append(planes(folded.distinct[a:b])), out["number"].append(_byte_planes(folded.number[a:b]))
+        at = pa.array([batch.column(batch_at)[0].as_py()] * len(out["shard"]), pa.int32())
+        return pa.table({"shard": pa.array(out["shard"], pa.int32()), "level": pa.array(out["level"], pa.int32()), "batch": at, "keys": pa.array(out["keys"], pa.binary()), "number": pa.array(out["number"], pa.binary())})
+
+    return requests
+
 
-    return answers
+def _answers(asked: pa.Table) -> pa.Table:
+    """One shard of the count table, and its counts in the order of each batch's keys."""
+    lists = [unplanes(x) for x in asked.column("keys").to_pylist()]
+    number = np.concatenate([_from_planes(x, len(k)) for x, k in zip(asked.column("number").to_pylist(), lists, strict=True)])
+    flat = np.concatenate(lists)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])
+    totals = np.add.reduceat(number[order], np.flatnonzero(new))
+    back = np.empty(len(flat), np.int64)
+    back[order] = totals[np.cumsum(new) - 1]
+    found = [_byte_planes(x) for x in np.split(back, np.cumsum([len(x) for x in lists])[:-1])]
+    return pa.table({"batch": asked.column("batch"), "shard": asked.column("shard"), "level": asked.column("level"), "counts": pa.array(found, pa.binary())})
 
 
-def _scored(doc_id: str, text: str, order: int, levels: list[int], words: int, min_count: int, backoff: float):
+def _scored(doc_id: str, text: str, n_shards: int, order: int, backoff: float):
     def scored(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        """Sums of a batch's documents; log S(w) leaves out the number of words, which unigrams counts."""
         lengths, keys = _grams(texts(batch, text), order)
-        of = _known(keys, answers, levels, min_count)
-        score = np.log10(np.maximum(of[0], 1) / max(words, 1))
+        document = np.repeat(np.arange(len(lengths)), lengths)
+        packed = {(a, b): x for a, b, x in zip(answers.column("level").to_pylist(), answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True)}
+        of = []
+        for level, own in enumerate(keys, 1):
+            folded = _Folded(own, document)
+            held, starts = np.unique(_shard(folded.distinct, n_shards), return_index=True)
+            sizes = np.diff(np.append(starts, len(folded.distinct)))
+            totals = [_from_planes(packed[level, s], n) for s, n in zip(held.tolist(), sizes.tolist(), strict=True)]
+            of.append(folded.others(np.concatenate([np.zeros(0, np.int64), *totals])))
+        score = np.log10(np.maximum(of[0], 1))
+        single = np.ones(len(score), np.int64)  # 1 where S ends in S(w)
         backed = np.zeros(len(score), np.int64)
         for n in range(2, order + 1):
             context = np.concatenate([np.zeros(1, np.int64), of[n - 2][:-1]])[: len(score)]
-            hit = of[n - 1] > 0
-            exists = keys[n - 1] != 0
-            score = np.where(hit, np.log10(np.maximum(of[n - 1], 1) / np.maximum(context, 1)), np.where(exists, score + np.log10(backoff), score))
+            hit, exists = of[n - 1] > 0, keys[n - 1] != 0
+            score = np.where(hit, np.log10(np.maximum(of[n - 1], 1) / np.maximum(context, 1)), score + exists * np.log10(backoff))
+            single[hit] = 0
             if n == order:
                 backed = (exists & ~hit).astype(np.int64)
-        ends = np.cumsum(lengths)
-        sums = lambda x: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x)])[ends]])) if len(ends) else np.zeros(0)
+        sums = lambda x: np.bincount(document, x, len(lengths))
         return pa.table(
             {
                 doc_id: batch.column(doc_id),
                 "n_words": pa.array(lengths, pa.int64()),
-                "log_score": pa.array(np.array([float(np.sum(x)) for x in np.split(score, ends[:-1])]) if len(ends) else np.zeros(0), pa.float64()),
+                "log_score": pa.array(sums(score), pa.float64()),
                 "n_backoff": pa.array(sums(backed).astype(np.int64), pa.int64()),
+                "unigrams": pa.array(sums(single).astype(np.int64), pa.int64()),
             }
         )
 
     return scored
 
 
-def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> DataFrame:
-    """doc_id, n_words, log_score (sum of log10 S), n_backoff (words whose longest n-gram is not in the table), mean_log_score, perplexity."""
+def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """doc_id, n_words, log_score (sum of log10 S), n_backoff (words whose longest n-gram no other document holds), mean_log_score, perplexity."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     _, size = text_size(own)
-    words = own.agg(F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()[0]
     at = fresh("batch_no", own.columns)
-    rows = dealt(own, size, "doc_id", at)
-    groups = rows.groupBy(at)
-    n_shards, levels = shards(size, 8 << 20), [min(order, 2), *range(3, order + 1)]
-    asked_as, answered_as = "shard int, level int, batch int, keys binary, number binary", "batch int, shard int, level int, counts binary"
-    asked = groups.applyInArrow(_requests(at, "text", n_shards, order), asked_as)
-    answers = asked.groupBy("shard").applyInArrow(_answers(min_count), answered_as)
-    for n in levels[1:]:
-        asked = groups.cogroup(answers.groupBy("batch")).applyInArrow(_longer_requests(at, "text", n_shards, n, min_count), asked_as)
-        answers = answers.unionByName(asked.groupBy("shard").applyInArrow(_answers(min_count), answered_as))
+    rows = dealt(own, size, at, "doc_id", "text")
+    groups, n_shards = rows.groupBy(at), shards(size, SHARD_BYTES)
+    asked = groups.applyInArrow(_requests(at, "text", n_shards, order), "shard int, level int, batch int, keys binary, number binary")
+    answers = asked.groupBy("shard").applyInArrow(_answers, "batch int, shard int, level int, counts binary")
     kind = own.schema["doc_id"].dataType.simpleString()
-    out = groups.cogroup(answers.groupBy("batch")).applyInArrow(_scored("doc_id", "text", order, levels, int(words), min_count, backoff), f"doc_id {kind}, n_words long, log_score double, n_backoff long")
+    schema = f"doc_id {kind}, n_words long, log_score double, n_backoff long, unigrams long"
+    sums = store(groups.cogroup(answers.groupBy("batch")).applyInArrow(_scored("doc_id", "text", n_shards, order, backoff), schema), "scores")
+    words = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    log_score = F.col("log_score") - F.col("unigrams") * F.log10(F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double"))
+    out = sums.withColumn("log_score", log_score).drop("unigrams")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return out.withColumn("mean_log_score", mean).withColumn("perplexity", F.pow(F.lit(10.0), -mean))
 

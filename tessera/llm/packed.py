@@ -1,7 +1,7 @@
 """Batches of documents and packed key requests.
 
 Exploding every line or n-gram of a corpus into a row of its own makes more shuffle than text. Here documents are dealt
-by a hash of doc_id into batches of bounded text; a batch names each key it holds once, packed by the key's shard. A shard
+by a hash into batches of bounded text; a batch names each key it holds once, packed by the key's shard. A shard
 gathers its keys from all batches, and answers each batch. A key in a third of all documents is so one entry a batch,
 whatever its number of documents. Batches and shards grow in number, not in size, with the corpus.
 """
@@ -17,10 +17,10 @@ BATCH_BYTES = 6 << 20
 SHARD_BYTES = 16 << 20
 
 
-def dealt(docs: DataFrame, size: int, doc_id: str, column: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """docs with its batch number in column."""
+def dealt(docs: DataFrame, size: int, column: str, *by: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """docs with its batch number in column, by a hash of the columns by: with the text among them, null or repeated ids spread out."""
     n = max(1, -(-size // batch_bytes))
-    return docs.withColumn(column, F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int"))
+    return docs.withColumn(column, F.pmod(F.xxhash64(*(F.col(x) for x in by)), F.lit(n)).cast("int"))
 
 
 def shards(size: int, shard_bytes: int = SHARD_BYTES) -> int:
