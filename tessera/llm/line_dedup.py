@@ -3,15 +3,20 @@
 A line's key is the line without white space at its ends, A-Z in lower case. A key of at least min_chars code points that
 at least two documents hold loses all its lines but those in the smallest doc_id that holds it.
 
-Each shard of line hashes builds a minimal perfect hash over its distinct hashes; it indexes three compact arrays:
-fingerprint, number of documents, first document. The packed line hashes of the documents probe these arrays.
+First the index is built and stored: each shard of line hashes has a minimal perfect hash over its distinct hashes (a bit vector
+with ranks), which indexes compact arrays: fingerprint of 32 bits, number of documents up to 255, first document. Hashes that
+share the 64 bits that the perfect hash is built on stand in a list apart, so that no line is taken for another. Then the
+documents' hashes probe the stored arrays of their shard; the shards answer with the repeated ones.
 
 Nulls: a null text is one empty line and stays null; a null doc_id counts as one document after all others. Rows that
-repeat a doc_id are one document. An empty table gives an empty result. Other columns pass through unchanged.
+repeat a doc_id are one document. An empty table gives an empty result. Other columns pass through unchanged, also those named as
+the counts: these then get a longer name.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,32 +24,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import LAST_ID, SPACE_BYTES, fresh, text_size
+from tessera.llm.common import LAST_ID, SPACE_BYTES, fresh, store, text_size
 from tessera.llm.packed import dealt, mixed, shards, texts
 
 MIN_CHARS = 10
 #: Slots a key at each level of the perfect hash.
-SLOTS_A_KEY = 2.0
+SLOTS_A_KEY = 1.5
 
 
 class PerfectHash:
     """Maps n distinct 64-bit keys to 0..n-1: keys alone in their slot settle at a level, the others go on to the next.
 
-    A slot's rank among the settled slots of all levels is the key's index. Keys that were not in the set get any index
-    (or -1), so a fingerprint has to tell them apart.
+    A slot's rank among the settled slots of all levels is the key's index; a level keeps a bit a slot and a rank for 64 slots.
+    Keys that were not in the set get any index (or -1), so a fingerprint has to tell them apart.
     """
 
-    def __init__(self, keys: np.ndarray):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # settled slots, rank of each slot
-        rank = 0
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.levels = levels  # slots, settled slots as bits of words, rank of each word's first slot
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> PerfectHash:
+        levels, rank = [], 0
         while len(keys):
-            slots = max(64, int(SLOTS_A_KEY * len(keys)))
-            at = self._slot(keys, len(self.levels), slots)
+            slots = max(64, int(SLOTS_A_KEY * len(keys)) + 63 & ~63)
+            at = cls._slot(keys, len(levels), slots)
             alone = np.bincount(at, minlength=slots) == 1
-            self.levels.append((alone, np.cumsum(alone) - alone + rank))
-            rank += int(alone.sum())
+            words = np.packbits(alone, bitorder="little").view("<u8")
+            held = np.bitwise_count(words).astype(np.int64)
+            levels.append((slots, words, (rank + np.cumsum(held) - held).astype("<u4")))
+            rank += int(held.sum())
             keys = keys[~alone[at]]
-        self.size = rank
+        return cls(levels)
+
+    @property
+    def size(self) -> int:
+        return sum(int(np.bitwise_count(words).sum()) for _, words, _ in self.levels)
 
     @staticmethod
     def _slot(keys: np.ndarray, level: int, slots: int) -> np.ndarray:
@@ -53,15 +67,29 @@ class PerfectHash:
     def index(self, keys: np.ndarray) -> np.ndarray:
         found = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        for level, (alone, ranks) in enumerate(self.levels):
-            at = self._slot(keys[left], level, len(alone))
-            hit = alone[at]
-            found[left[hit]] = ranks[at[hit]]
+        for level, (slots, words, ranks) in enumerate(self.levels):
+            at = self._slot(keys[left], level, slots)
+            word, bit = words[at >> 6], np.uint64(1) << (at & 63).astype(np.uint64)
+            hit = (word & bit) != 0
+            found[left[hit]] = ranks[at[hit] >> 6].astype(np.int64) + np.bitwise_count(word[hit] & (bit[hit] - np.uint64(1)))
             left = left[~hit]
             if not len(left):
                 break
         return found
 
+    def packed(self) -> bytes:
+        return b"".join(struct.pack("<Q", slots) + words.tobytes() + ranks.tobytes() for slots, words, ranks in self.levels)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> PerfectHash:
+        levels, at = [], 0
+        while at < len(data):
+            (slots,) = struct.unpack_from("<Q", data, at)
+            n = slots // 64
+            levels.append((slots, np.frombuffer(data, "<u8", n, at + 8), np.frombuffer(data, "<u4", n, at + 8 + 8 * n)))
+            at += 8 + 12 * n
+        return cls(levels)
+
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
     """The key of a line; None if it is too short to count."""
@@ -71,64 +99,104 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
     return key.lower()  # bytes: A-Z alone
 
 
-def _requests(batch_at: str, doc_id: str, text: str, n_shards: int, min_chars: int):
+def _line_digests(data: bytes | None, min_chars: int) -> set[bytes]:
+    return {xxhash.xxh3_128_digest(key) for key in {line_key(x, min_chars) for x in set(data.split(b"\n"))} - {None}} if data else set()
+
+
+def _by_shard(hashes: np.ndarray, n_shards: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The shards that hashes (rows of two 64-bit halves) need, and the rows of each."""
+    shard = (hashes[:, 0] >> np.uint64(32)) % np.uint64(n_shards)
+    order = np.argsort(shard, kind="stable")
+    names, starts = np.unique(shard[order], return_index=True)
+    return names.astype(np.int32), np.split(order, starts[1:])[: len(names)]
+
+
+def _told(doc_id: str, text: str, n_shards: int, min_chars: int):
+    def told(batches):
+        """For the index: each distinct line hash of a batch, its number of documents, and the first and the last of them."""
+        for batch in batches:
+            batch = pa.Table.from_batches([batch])
+            ids = np.array([LAST_ID if x is None else x for x in batch.column(doc_id).to_pylist()], np.int64)
+            found = [_line_digests(x, min_chars) for x in texts(batch, text)]
+            hashes = np.frombuffer(b"".join(x for own in found for x in own), "<u8").reshape(-1, 2)
+            holder = np.repeat(ids, [len(x) for x in found])
+            hashes, count, first, last = _totals(hashes, np.ones(len(holder), np.int64), holder, holder)
+            names, cuts = _by_shard(hashes, n_shards)
+            column = lambda x, t, k=pa.binary(): pa.array([np.ascontiguousarray(x[c].astype(t)).tobytes() for c in cuts], k)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(names, pa.int32()), "hashes": column(hashes, "<u8"), "documents": column(count, "u1"), "first": column(first, "<i8"), "last": column(last, "<i8")})
+
+    return told
+
+
+def _totals(hashes: np.ndarray, count: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes with their number of documents (1 if first and last are the same one, 255 if more), first and last document."""
+    if not len(hashes):
+        return hashes, count, first, last
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    own = hashes[order]
+    starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)]))
+    low, high = np.minimum.reduceat(first[order], starts), np.maximum.reduceat(last[order], starts)
+    number = np.where(low == high, 1, np.clip(np.add.reduceat(count[order], starts), 2, 255))
+    return own[starts], number, low, high
+
+
+def _index(told: pa.Table) -> pa.Table:
+    """The stored arrays of one shard."""
+    read = lambda name, t: np.frombuffer(b"".join(told.column(name).to_pylist()), t)
+    hashes, count, first, _ = _totals(read("hashes", "<u8").reshape(-1, 2), read("documents", "u1").astype(np.int64), read("first", "<i8"), read("last", "<i8"))
+    keys = hashes[:, 0]
+    same = np.concatenate([keys[1:] == keys[:-1], [False]]) if len(keys) else np.zeros(0, bool)
+    apart = same | np.concatenate([[False], same[:-1]])[: len(same)]
+    table = PerfectHash.of(keys[~apart])
+    at = table.index(keys[~apart])
+    arrays = [np.zeros(len(at), t) for t in ("<u4", "u1", "<i8")]
+    for own, values in zip(arrays, (hashes[:, 1] & np.uint64(0xFFFFFFFF), count, first), strict=True):
+        own[at] = values[~apart]
+    odd = np.concatenate([hashes[apart], count[apart, None].astype("<u8"), first[apart, None].astype("<i8").view("<u8")], axis=1).astype("<u8")
+    row = {"shard": [told.column("shard")[0].as_py()], "hash": [table.packed()], "fingerprint": [arrays[0].tobytes()], "documents": [arrays[1].tobytes()], "first": [arrays[2].tobytes()], "apart": [odd.tobytes()]}
+    return pa.table({k: pa.array(v, pa.int32() if k == "shard" else pa.binary()) for k, v in row.items()})
+
+
+def _requests(batch_at: str, text: str, n_shards: int, min_chars: int):
     def requests(batch: pa.Table) -> pa.Table:
-        ids = batch.column(doc_id).to_pylist()
-        seen: dict[bytes, list[int]] = {}  # digest: documents, first, last
-        data = texts(batch, text)
-        for k in sorted(range(len(ids)), key=lambda k: LAST_ID if ids[k] is None else ids[k]):
-            if not data[k]:
-                continue
-            own = LAST_ID if ids[k] is None else ids[k]
-            for key in {line_key(x, min_chars) for x in set(data[k].split(b"\n"))} - {None}:
-                at = seen.setdefault(xxhash.xxh3_128_digest(key), [0, own, -1])
-                if at[0] == 0 or at[2] != own:
-                    at[0] += 1
-                    at[2] = own
-        hashes = np.frombuffer(b"".join(seen), "<u8").reshape(-1, 2)
-        told = np.array([x[:2] for x in seen.values()], np.int64).reshape(-1, 2)
-        shard = (hashes[:, 0] >> np.uint64(32)) % np.uint64(n_shards)
-        order = np.argsort(shard, kind="stable")
-        names, starts = np.unique(shard[order], return_index=True)
-        cuts = np.split(order, starts[1:])
-        number = batch.column(batch_at)[0].as_py() if len(ids) else 0
+        """The distinct line hashes of a batch of documents, a row a shard."""
+        found = sorted(set().union(*(_line_digests(x, min_chars) for x in texts(batch, text))))
+        hashes = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+        names, cuts = _by_shard(hashes, n_shards)
         return pa.table(
             {
-                "shard": pa.array(names.astype(np.int32), pa.int32()),
-                "batch": pa.array([number] * len(names), pa.int32()),
-                "hashes": pa.array([hashes[c].tobytes() for c in cuts][: len(names)], pa.binary()),
-                "documents": pa.array([told[c, 0].astype("<i4").tobytes() for c in cuts][: len(names)], pa.binary()),
-                "first": pa.array([told[c, 1].astype("<i8").tobytes() for c in cuts][: len(names)], pa.binary()),
+                "shard": pa.array(names, pa.int32()),
+                "batch": pa.array([batch.column(batch_at)[0].as_py()] * len(names), pa.int32()),
+                "hashes": pa.array([hashes[c].tobytes() for c in cuts], pa.binary()),
             }
         )
 
     return requests
 
 
-def _answers(asked: pa.Table) -> pa.Table:
-    """Build the shard's arrays, then let each batch's hashes probe them: its repeated lines and their first documents."""
-    packed = asked.column("hashes").to_pylist()
-    hashes = np.frombuffer(b"".join(packed), "<u8").reshape(-1, 2)
-    documents = np.frombuffer(b"".join(asked.column("documents").to_pylist()), "<i4").astype(np.int64)
-    first = np.frombuffer(b"".join(asked.column("first").to_pylist()), "<i8")
-    keys = hashes[:, 0] ^ mixed(hashes[:, 1])
-    order = np.argsort(keys, kind="stable")
-    distinct, starts = np.unique(keys[order], return_index=True)
-    table = PerfectHash(distinct)
-    at = table.index(distinct)
-    fingerprint, count, holder = (np.zeros(table.size, t) for t in (np.uint64, np.int64, np.int64))
-    fingerprint[at] = hashes[order[starts], 1]
-    count[at] = np.add.reduceat(documents[order], starts) if len(starts) else 0
-    holder[at] = np.minimum.reduceat(first[order], starts) if len(starts) else 0
+def _probe(asked: pa.Table, index: pa.Table) -> pa.Table:
+    """Each batch's repeated lines and their first documents, from the shard's arrays."""
     out: dict[str, list] = {"batch": [], "hashes": [], "first": []}
-    for number, own in zip(asked.column("batch").to_pylist(), packed, strict=True):
-        probe = np.frombuffer(own, "<u8").reshape(-1, 2)
-        at = table.index(probe[:, 0] ^ mixed(probe[:, 1]))
-        hit = (at >= 0) & (fingerprint[at] == probe[:, 1]) & (count[at] > 1)
-        if hit.any():
-            out["batch"].append(number)
-            out["hashes"].append(probe[hit].tobytes())
-            out["first"].append(holder[at[hit]].astype("<i8").tobytes())
+    if len(asked):
+        row = {k: v[0] for k, v in index.to_pydict().items()}
+        table = PerfectHash.unpacked(row["hash"])
+        fingerprint, count, first = np.frombuffer(row["fingerprint"], "<u4"), np.frombuffer(row["documents"], "u1"), np.frombuffer(row["first"], "<i8")
+        odd = {bytes(x[:16]): (int.from_bytes(x[16:24], "little"), int.from_bytes(x[24:], "little", signed=True)) for x in (row["apart"][k : k + 32] for k in range(0, len(row["apart"]), 32))}
+        for number, own in zip(asked.column("batch").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
+            hashes = np.frombuffer(own, "<u8").reshape(-1, 2)
+            at = table.index(hashes[:, 0])
+            known = at >= 0
+            known[known] = fingerprint[at[known]] == hashes[known, 1] & np.uint64(0xFFFFFFFF)
+            hit = known.copy()
+            hit[known] = count[at[known]] > 1
+            told = [hashes[hit].tobytes()]
+            holders = [first[at[hit]].tobytes()]
+            for k in np.flatnonzero(~known).tolist() if odd else []:
+                documents, holder = odd.get(hashes[k].tobytes(), (0, 0))
+                if documents > 1:
+                    told.append(hashes[k].tobytes()), holders.append(struct.pack("<q", holder))
+            if any(told):
+                out["batch"].append(number), out["hashes"].append(b"".join(told)), out["first"].append(b"".join(holders))
     return pa.table({"batch": pa.array(out["batch"], pa.int32()), "hashes": pa.array(out["hashes"], pa.binary()), "first": pa.array(out["first"], pa.binary())})
 
 
@@ -156,17 +224,32 @@ def _applied(columns: list[str], doc_id: str, text: str, min_chars: int, names:
     return applied
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
-    """docs with the repeated lines cut from text, and columns n_lines (before) and n_dropped."""
+def line_index(docs: DataFrame, n_shards: int, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """The stored index: a row a shard (shard, hash, fingerprint, documents, first, apart)."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    told = own.mapInArrow(_told("doc_id", "text", n_shards, min_chars), "shard int, hashes binary, documents binary, first binary, last binary")
+    return store(told.groupBy("shard").applyInArrow(_index, "shard int, hash binary, fingerprint binary, documents binary, first binary, apart binary"), "lines")
+
+
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the count columns: n_lines and n_dropped, longer where docs has these."""
+    return fresh("n_lines", docs.columns), fresh("n_dropped", docs.columns)
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the repeated lines cut from text, and the columns of count_names: lines before, and lines dropped."""
     _, size = text_size(docs, text)
+    n_shards = shards(size)
+    index = line_index(docs, n_shards, doc_id, text, min_chars)
     at = fresh("batch_no", docs.columns)
-    rows = dealt(docs, size, doc_id, at)
+    rows = dealt(docs, size, at, doc_id, text)
     groups = rows.groupBy(at)
-    asked = groups.applyInArrow(_requests(at, doc_id, text, shards(size), min_chars), "shard int, batch int, hashes binary, documents binary, first binary")
-    answers = asked.groupBy("shard").applyInArrow(_answers, "batch int, hashes binary, first binary")
-    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
+    asked = groups.applyInArrow(_requests(at, text, n_shards, min_chars), "shard int, batch int, hashes binary")
+    answers = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "batch int, hashes binary, first binary")
+    names = count_names(docs)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names)])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-    return rows.groupBy(at).cogroup(answers.groupBy("batch")).applyInArrow(_applied(docs.columns, doc_id, text, min_chars, (n_lines, n_dropped)), schema)
+    return groups.cogroup(answers.groupBy("batch")).applyInArrow(_applied(docs.columns, doc_id, text, min_chars, names), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
