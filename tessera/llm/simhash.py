@@ -12,8 +12,9 @@ of the part values of all distinct fingerprints. Candidates are verified on the
 Equal fingerprints fold into one node before the search, named by the smallest doc_id. Inside a probed cell verified links
 are told as a spanning forest, one link for each node joined, never as all pairs.
 
-With 64-bit fingerprints and 3 bits the search is exact. Wide fingerprints (near_duplicates) would need thousands of probes
-each for that guarantee; there the budget of probes is given, and the chance of missing a pair is stated with it.
+With 64-bit fingerprints and 3 bits the search is exact. near_duplicates looks for similarity 0.8 or more of the sets of shingles: wide
+fingerprints find candidates, whose sets are then compared exactly. A guarantee on wide fingerprints would need thousands of
+probes each; there the dynamic programme spends probes until a pair at the least similarity is met with a stated chance.
 
 Nulls and empty texts have fingerprint zero and link like any other; a null doc_id sorts after all others and gets the smallest doc_id of its group, or null. Rows
 that repeat are one node. An empty table gives an empty result. Extra columns are ignored, or kept by near_duplicates.
@@ -22,6 +23,7 @@ that repeat are one node. An empty table gives an empty result. Extra columns ar
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,7 @@ from tessera.llm.common import LAST_ID, fresh, store
 from tessera.llm.components import stars
 from tessera.llm.packed import mixed, texts
 
-#: Rows of a probed value up to which each row meets all others; beyond, the value's rows are split by the bits still free.
-RUN_LIMIT = 20_000
+#: Rows of a cell; a probed value of more rows is cut into chunks that meet two by two.
 CELL_ROWS = 40_000
 
 
@@ -55,7 +56,7 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
     """64 * lanes bits, most significant bit first; lane 0 uses the hashes, each further lane a mix of them."""
     out = []
     for lane in range(lanes):
-        h = hashes if lane == 0 else mixed(hashes + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15))
+        h = hashes if lane == 0 else mixed(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         ones = np.zeros(64, np.int64)
         for k in range(0, len(h), 4096):  # blocks that stay in the cache
             ones += np.unpackbits(h[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -118,17 +119,22 @@ def partitions(n: int, both: np.ndarray, width: int) -> list[list[int]]:
     return out
 
 
-def thresholds(cost: list[list[float]], budget: int) -> list[int]:
-    """t_i of each partition with sum(t_i + 1) = budget at the least total cost; cost[i][t + 1] is that of threshold t."""
-    best: list[dict[int, tuple[float, tuple[int, ...]]]] = [{0: (0.0, ())}]
+def thresholds(cost: list[list[float]], budget: int, worth: list[int] | None = None) -> list[int]:
+    """t_i of each partition whose worths sum to budget at least, at the least total cost; cost[i][t + 1] is that of threshold t.
+
+    worth[t + 1] is what threshold t is worth: t + 1 unless given (the pigeonhole's guarantee).
+    """
+    worth = list(range(max(map(len, cost)))) if worth is None else worth
+    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
     for own in cost:
         then: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for spent, (total, chosen) in best[-1].items():
+        for spent, (total, chosen) in best.items():
             for k, c in enumerate(own):
-                if spent + k <= budget and (spent + k not in then or total + c < then[spent + k][0]):
-                    then[spent + k] = (total + c, (*chosen, k - 1))
-        best.append(then)
-    return list(best[-1][budget][1])
+                now = min(budget, spent + worth[k])
+                if now not in then or total + c < then[now][0]:
+                    then[now] = (total + c, (*chosen, k - 1))
+        best = then
+    return list(best[budget][1])
 
 
 def _part(fps: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -147,25 +153,29 @@ def _flips(width: int, t: int) -> list[int]:
 PROBE_COST = 40.0
 
 
-def estimated(nodes: DataFrame, n: int, both: np.ndarray, parts: list[list[int]], most: int) -> list[list[float]]:
-    """Cost of each threshold -1..most for each partition: probes, and candidates from the counts of all its values."""
+def value_counts(nodes: DataFrame, lanes: int, parts: list[list[int]]) -> DataFrame:
+    """i, value, n: how many fingerprints have each value of partition i."""
 
     def run(batches):
         for batch in batches:
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * len(both))
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * lanes)
             for i, bits in enumerate(parts):
                 value, number = np.unique(_part(fps, bits), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(len(value), i), pa.int32()), "value": pa.array(value, pa.int64()), "n": pa.array(number, pa.int64())})
 
-    met = nodes.select("fp").mapInArrow(run, "i int, value long, n long").groupBy("i", "value").agg(F.sum("n").alias("n")).groupBy("i").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).collect()  # a row a partition
+    return nodes.select("fp").mapInArrow(run, "i int, value long, n long").groupBy("i", "value").agg(F.sum("n").alias("n"))
+
+
+def estimated(counts: DataFrame, n: int, both: np.ndarray, parts: list[list[int]], most: int) -> list[list[float]]:
+    """Cost of each threshold -1..most for each partition: probes, and candidates from the counts of all its values."""
+    met = counts.groupBy("i").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).collect()  # a row a partition
     pairs = {r["i"]: r["pairs"] for r in met}
     out = []
     for i, bits in enumerate(parts):
         p = np.array([both[b // 64][b % 64, b % 64] for b in bits]) / max(n, 1)
         same = p * p + (1 - p) ** 2
-        ratio = (1 - same) / np.maximum(same, 1e-9)  # a bit that differs, against one that agrees
-        shells, poly = [1.0], np.array([1.0])
-        for r in ratio:
+        poly = np.array([1.0])
+        for r in (1 - same) / np.maximum(same, 1e-9):  # a bit that differs, against one that agrees
             poly = np.convolve(poly, [1.0, r])
         shells = np.cumsum(poly)
         own = [0.0]
@@ -183,28 +193,8 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def spanning(fps: np.ndarray, most: int, free: list[int] | None = None) -> list[tuple[int, int]]:
-    """Pairs of rows at most bits apart that connect the same rows as all such pairs do, each row newly joined once.
-
-    A run that is too long to compare each row with all others is split on the free bits into most + 1 blocks: rows at most
-    bits apart agree on one of them, so no link is lost.
-    """
-    lanes = fps.shape[1]
-    free = list(range(64 * lanes)) if free is None else free
-    if len(fps) > RUN_LIMIT and len(free) > most:
-        out = []
-        data = fps.astype(">u8").view(np.uint8).reshape(len(fps), -1)
-        for k in range(most + 1):
-            bits = free[k :: most + 1]
-            value = np.zeros(len(fps), np.int64)
-            for b in bits[:60]:
-                value = (value << 1) | ((data[:, b >> 3] >> (7 - (b & 7))) & 1)
-            order = np.argsort(value, kind="stable")
-            rest = [b for b in free if b not in set(bits[:60])]
-            for run in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
-                if len(run) > 1:
-                    out += [(int(run[a]), int(run[b])) for a, b in spanning(fps[run], most, rest)]
-        return out
+def spanning(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs of rows at most bits apart that connect the same rows as all such pairs do, each row newly joined once."""
     out = []
     left = np.arange(len(fps))
     while len(left) > 1:
@@ -220,20 +210,31 @@ def spanning(fps: np.ndarray, most: int, free: list[int] | None = None) -> list[
     return out
 
 
+def _runs(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes and fingerprints of a cell in order of their run, and where each run starts."""
+    part, value, sub, node = (cell.column(x).to_numpy() for x in ("part", "value", "sub", "node"))
+    fps = np.frombuffer(b"".join(cell.column("fp").to_pylist()), ">u8").reshape(len(node), -1).astype(np.uint64)
+    order = np.lexsort((node, sub, value, part))
+    part, value, sub = part[order], value[order], sub[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(value) != 0) | (np.diff(sub) != 0)]))
+    return order, fps[order], starts
+
+
+def _links_table(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.Table:
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
+    return pa.table({"u": pa.array(both[:, 0], pa.int64()), "v": pa.array(both[:, 1], pa.int64())})
+
+
 def _cell_links(most: int):
     def links(cell: pa.Table) -> pa.Table:
-        part = cell.column("part").to_numpy()
-        value = cell.column("value").to_numpy()
-        node = cell.column("node").to_numpy()
-        fps = np.frombuffer(b"".join(cell.column("fp").to_pylist()), ">u8").reshape(len(node), -1).astype(np.uint64)
-        order = np.lexsort((node, value, part))
-        part, value, node, fps = part[order], value[order], node[order], fps[order]
-        new = np.concatenate([[True], (np.diff(part) != 0) | (np.diff(value) != 0)])
-        starts = np.flatnonzero(new)
+        """In a short run all pairs within most bits, in a long one a spanning forest of them."""
+        order, fps, starts = _runs(cell)
+        node = cell.column("node").to_numpy()[order]
         sizes = np.diff(np.append(starts, len(node)))
+        run = np.repeat(np.arange(len(starts)), sizes)
+        short = sizes[run] <= 32
         us, vs = [], []
-        short = sizes[np.cumsum(new) - 1] <= 32
-        run = np.cumsum(new)
         for d in range(1, 32):  # neighbours at distance d in the same short run
             a = np.flatnonzero((run[d:] == run[:-d]) & short[d:]) if d < len(run) else np.zeros(0, np.int64)
             if not len(a):
@@ -245,51 +246,68 @@ def _cell_links(most: int):
             own_fps, own = fps[s : s + k][one], node[s : s + k][one]
             pairs = np.array(spanning(own_fps, most), np.int64).reshape(-1, 2)
             us.append(own[pairs[:, 0]]), vs.append(own[pairs[:, 1]])
-        u = np.concatenate(us) if us else np.zeros(0, np.int64)
-        v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        return pa.table({"u": pa.array(both[:, 0], pa.int64()), "v": pa.array(both[:, 1], pa.int64())})
+        return _links_table(us, vs)
 
     return links
 
 
-def near_links(nodes: DataFrame, most: int, width: int = 16, lanes: int = 1, budget: int | None = None) -> DataFrame:
-    """Links (u, v) between nodes (node, fp), enough to connect every two fingerprints at most so many bits apart."""
-    bits = 64 * lanes
-    n, both = bit_statistics(nodes, bits)
-    budget = most + 1 if budget is None else budget
+def _plan(nodes: DataFrame, n: int, most: int) -> tuple[list[list[int]], list[int], DataFrame]:
+    """Partitions of 64 bits and their thresholds for an exact search within most bits, and the counts of their values."""
+    _, both = bit_statistics(nodes, 64)
     tried = []
-    # Wider parts pay once the corpus is large: fewer partitions, more flips each.
-    for w in {width} if lanes > 1 else sorted({width, 22, 32}):
+    for w in (16, 22, 32):  # wider parts pay once the corpus is large: fewer partitions, more flips each
         parts = partitions(n, both, w)
-        reach = max(0, -(-budget // len(parts)) - 1)
-        cost = estimated(nodes, n, both, parts, min(reach + 1, 3))
-        if len(parts) * (len(cost[0]) - 1) >= budget:
-            chosen = thresholds(cost, budget)
-            tried.append((sum(c[t + 1] for c, t in zip(cost, chosen, strict=True)), parts, chosen))
-    _, parts, chosen = min(tried, key=lambda x: x[0])
+        reach = max(0, -(-(most + 1) // len(parts)) - 1)
+        counts = value_counts(nodes, 1, parts)
+        cost = estimated(counts, n, both, parts, min(reach + 1, 3))
+        if len(parts) * (len(cost[0]) - 1) >= most + 1:
+            chosen = thresholds(cost, most + 1)
+            tried.append((sum(c[t + 1] for c, t in zip(cost, chosen, strict=True)), parts, chosen, counts))
+    return min(tried, key=lambda x: x[0])[1:]
+
+
+def _probed(nodes: DataFrame, n: int, parts: list[list[int]], chosen: list[int], counts: DataFrame, kept: int) -> DataFrame:
+    """cell, part, value, sub, node, fp (its first kept bytes): each node under each of its probes.
+
+    A value that more than CELL_ROWS fingerprints have is cut into chunks, and each two of them meet under a sub of their own: no
+    task gathers a value of any size, and no two rows of it miss each other.
+    """
 
     def probes(batches):
         for batch in batches:
             node = batch.column("node")
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(node), -1)
+            whole = batch.column("fp").to_pylist()
+            fps = np.frombuffer(b"".join(whole), np.uint8).reshape(len(node), -1)
+            sent = pa.array([x[:kept] for x in whole], pa.binary())
             for i, (own, t) in enumerate(zip(parts, chosen, strict=True)):
                 if t >= 0:
                     value = _part(fps, own)
                     for flip in _flips(len(own), t):
-                        yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(value), i), pa.int32()), "value": pa.array(value ^ flip, pa.int64()), "node": node, "fp": batch.column("fp")})
+                        yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(value), i), pa.int32()), "value": pa.array(value ^ flip, pa.int64()), "node": node, "fp": sent})
 
-    rows = n * sum(len(_flips(len(p), t)) for p, t in zip(parts, chosen, strict=True) if t >= 0)
-    cells = max(1, -(-rows // CELL_ROWS))
+    cells = max(1, -(-n * sum(len(_flips(len(p), t)) for p, t in zip(parts, chosen, strict=True) if t >= 0) // CELL_ROWS))
     probed = nodes.select("node", "fp").mapInArrow(probes, "part int, value long, node long, fp binary")
-    dealt = probed.withColumn("cell", F.pmod(F.xxhash64("part", "value"), F.lit(cells)))
-    return dealt.groupBy("cell").applyInArrow(_cell_links(most), "u long, v long")
+    hot = store(counts.where(F.col("n") > CELL_ROWS).select(F.col("i").alias("part"), "value", F.ceil(F.col("n") / CELL_ROWS).cast("long").alias("chunks")), "hot")
+    if hot.limit(1).count():
+        own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+        met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.least(k, own) * F.col("chunks") + F.greatest(k, own))
+        subs = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(met)
+        probed = probed.join(hot, ["part", "value"], "left").select("part", "value", "node", "fp", F.explode(subs).alias("sub"))
+    else:
+        probed = probed.withColumn("sub", F.lit(0).cast("long"))
+    return probed.withColumn("cell", F.pmod(F.xxhash64("part", "value", "sub"), F.lit(cells)))
+
+
+def near_links(nodes: DataFrame, most: int) -> DataFrame:
+    """Links (u, v) between nodes (node, fp of 64 bits), enough to connect every two fingerprints at most so many bits apart."""
+    n = nodes.count()
+    return _probed(nodes, n, *_plan(nodes, n, most), 8).groupBy("cell").applyInArrow(_cell_links(most), "u long, v long")
 
 
-def grouped(prints: DataFrame, most: int, width: int = 16, lanes: int = 1, budget: int | None = None) -> DataFrame:
+def grouped(prints: DataFrame, most: int) -> DataFrame:
     """prints (doc_id, fp), each row with component_id: the smallest doc_id that links reach."""
     nodes = store(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("node")), "nodes")
-    roots = stars(near_links(nodes, most, width, lanes, budget))
+    roots = stars(near_links(nodes, most))
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = prints.join(named, "fp")  # a frequent fingerprint is one row of named: AQE splits its side of prints
     return out.select("doc_id", "fp", F.when(F.col("component_id") != LAST_ID, F.col("component_id")).alias("component_id"))
@@ -307,26 +325,145 @@ def query(docs: DataFrame) -> DataFrame:
 # Near copies of similarity 0.8 or more
 
 
-#: Eight lanes of 64 bits over shingles of five words. At resemblance 0.8 a bit differs with chance acos(2 * 0.8 / 1.8) / pi = 0.151
-#: (77 of 512 bits); 32 partitions of 16 bits are probed at their own value, so a pair at 0.8 is met with chance
-#: 1 - (1 - 0.849 ** 16) ** 32 = 0.91, at 0.85 with 0.98, at 0.9 with 0.998, and any link of a group is enough to join it.
-NEAR_WORDS, NEAR_LANES, NEAR_BITS, NEAR_PARTS = 5, 8, 80, 32
+#: Lanes of 64 bits over shingles of five words; of these the first CHECK_LANES go with each probe.
+NEAR_WORDS, NEAR_LANES, CHECK_LANES, SIMILARITY = 5, 12, 4, 0.8
+#: A pair at SIMILARITY is met by some probe with this chance, were its bits independent.
+MEETING = 0.975
+#: Candidates differ in at most this share of the checked bits beyond their expected share, in standard deviations.
+SLACK = 3.3
+
+
+def _apart(similarity: float) -> float:
+    """The chance that a bit of two fingerprints differs, for sets of about equal size at this resemblance."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _wide_plan(nodes: DataFrame, n: int, width: int | None = None) -> tuple[list[list[int]], list[int], DataFrame]:
+    """Partitions and thresholds of wide fingerprints, and the counts of their values. Parts widen with the corpus, so that a value's chance
+    company stays small; the dynamic programme raises thresholds where that costs least, until the pairs at SIMILARITY are met with chance MEETING."""
+    width = min(32, max(16, n.bit_length() - 2)) if width is None else width
+    p = _apart(SIMILARITY)
+    agree = [sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(t + 1)) for t in range(4)]
+    gain = [0.0, *(-math.log1p(-x) for x in agree)]
+    worth = [int(x / gain[1] * 8) for x in gain]  # eighths of a plain probe
+    need = math.ceil(-math.log(1 - MEETING) / gain[1] * 8)
+    _, both = bit_statistics(nodes, 64 * NEAR_LANES)
+    parts = [x for x in partitions(n, both, width) if len(x) == width]
+    counts = value_counts(nodes, NEAR_LANES, parts)
+    cost = estimated(counts, n, both, parts, next((t for t in range(3) if worth[t + 1] * len(parts) >= need), 3))
+    return parts, thresholds(cost, min(need, worth[len(cost[0]) - 1] * len(parts)), worth[: len(cost[0])]), counts
+
+
+def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_key, digest (equal sets of shingle hashes have equal ones), fp of every row of docs."""
 
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, NEAR_WORDS)) for x in texts(pa.Table.from_batches([batch]), "text")]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), "fp": pa.array([fingerprint(x, NEAR_LANES) for x in sets], pa.binary())})
+
+    return docs.select("doc_id", F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, digest binary, fp binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """pairs (u, v) with near: whether the sets of shingles of the documents with these keys have a resemblance of SIMILARITY or more.
+
+    Sets are made for the documents in pairs alone; a pair moves two packed sets.
+    """
+    asked = store(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "asked")
+
+    def packed_sets(batches):
+        for batch in batches:
+            data = texts(pa.Table.from_batches([batch]), "text")
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "own": pa.array([np.unique(shingle_hashes(x, NEAR_WORDS)).tobytes() for x in data], pa.binary())})
+
+    found = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
+    sets = store(found.mapInArrow(packed_sets, "node long, own binary"), "sets")
+
+    def compared(batches):
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True)) if SIMILARITY * len(a) <= len(b) <= len(a) / SIMILARITY else 0
+                near.append(both >= SIMILARITY * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_pydict({"u": batch.column("u"), "v": batch.column("v"), "near": pa.array(near, pa.bool_())})
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and component_id of every document, by near copies of similarity 0.8 or more over five-word shingles."""
-    prints = store(fingerprints(docs, NEAR_WORDS, NEAR_LANES, doc_id, text), "fingerprints")
-    return grouped(prints, NEAR_BITS, lanes=NEAR_LANES, budget=NEAR_PARTS).select("doc_id", "component_id")
+    left, right = sets.select(F.col("node").alias("u"), F.col("own").alias("a")), sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long, near boolean")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that have a near copy of smaller doc_id in their group; of repeated rows one stays."""
-    names = docs.columns
-    lone = fresh("lone_id", names)
-    row = fresh("row_no", names)
-    groups = near_duplicates(docs).where((F.col("component_id") == F.col("doc_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias(lone)).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col(lone)), "left_semi")
-    from pyspark.sql import Window
+def _unlinked(most: int):
+    def links(cell: pa.Table) -> pa.Table:
+        """All candidates between groups (root) that no verified link joins."""
+        order, fps, starts = _runs(cell)
+        node, root = cell.column("node").to_numpy()[order], cell.column("root").to_numpy()[order]
+        us, vs = [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+            if (root[a:b] == root[a]).all():
+                continue
+            for k in range(a, b - 1):
+                hit = k + 1 + np.flatnonzero((root[k + 1 : b] != root[k]) & (_differ(fps[k + 1 : b], fps[k]) <= most))
+                us.append(node[hit]), vs.append(np.full(len(hit), node[k]))
+        return _links_table(us, vs)
+
+    return links
+
+
+def near_groups(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
+    """doc_id, key, root of every row of docs; rows of one root are connected by sets of shingles of resemblance SIMILARITY or more.
 
-    first = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{x}`") for x in names))
-    return kept.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)
+    key is a long that only equal rows share. Equal sets are one node. A cell's candidates connect each run by a spanning forest, so that
+    a group of copies of any size is a link a copy. Links are verified on the sets; where one fails, a second pass takes all
+    candidates between what verified links left apart, so that no group hangs on the choice of the forest.
+    """
+    rows = store(_sets(docs.withColumn("doc_id", F.col(doc_id).cast("long")), key, text), "sets")
+    nodes = store(rows.groupBy("digest").agg(F.min("key").alias("node"), F.first("fp").alias("fp")), "nodes")
+    n = nodes.count()
+    parts, chosen, counts = _wide_plan(nodes, n, width)
+    bits, p = 64 * CHECK_LANES, _apart(SIMILARITY)
+    limit = int(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+    probed = _probed(nodes, n, parts, chosen, counts, bits // 8)
+    first = store(probed.groupBy("cell").applyInArrow(_cell_links(limit), "u long, v long").distinct(), "pairs")
+    told = store(_verified(first, docs, key, text), "told")
+    near, failed = told.where("near").select("u", "v"), told.where("NOT near")
+    if failed.limit(1).count():
+        named = store(nodes.select("node", "fp").join(stars(near), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "named")
+        ends = failed.select(F.col("u").alias("node")).union(failed.select(F.col("v").alias("node"))).distinct()
+        touched = named.join(ends, "node", "left_semi").select("root").distinct()
+        again = store(named.join(touched, "root", "left_semi"), "again")
+        more = _probed(again, n, parts, chosen, counts, bits // 8).join(again.select("node", "root"), "node")
+        rest = more.groupBy("cell").applyInArrow(_unlinked(limit), "u long, v long").distinct()
+        rest = store(rest.join(told.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+        near = near.unionByName(_verified(rest, docs, key, text).where("near").select("u", "v"))
+    groups = nodes.join(stars(near), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return store(rows.select("doc_id", "key", "digest").join(groups, "digest").select("doc_id", "key", "root"), "groups")
+
+
+def _row_key(docs: DataFrame):
+    """A hash of a whole row, but for maps, which have none."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
+    """doc_id and component_id (the group's smallest doc_id, or null) of every document, by sets of five-word shingles of similarity 0.8 or more."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = near_groups(own.withColumn("key", _row_key(own)), "key", width=width)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest doc_id (null last), of several the one of the smallest hash.
+
+    Documents without a word are near copies of each other. Different texts under one doc_id, or under null, are documents of their own.
+    """
+    key = fresh("row_key", docs.columns)
+    keyed = docs.withColumn(key, _row_key(docs))
+    rows = near_groups(keyed, key, doc_id, text)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias(key))
+    same = fresh("same_rows", keyed.columns)
+    chosen = store(rows.groupBy(F.col("key").alias(key)).agg(F.count(F.lit(1)).alias(same)).join(best, key), "chosen")
+    kept = keyed.join(chosen, key)
+    # Rows that are equal in every column stand for each other.
+    return kept.where(F.col(same) == 1).unionByName(kept.where(F.col(same) > 1).dropDuplicates([key])).select(*(F.col(f"`{x}`") for x in docs.columns))
