@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,15 +71,21 @@ class _Folded:
         return out
 
 
-def _byte_planes(x: np.ndarray) -> bytes:
-    """Counts as planes of 4 bytes each, or of 8 where one does not fit."""
-    x = x.astype("<u4" if not len(x) or x.max() < 1 << 32 else "<u8")
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+def _counts(x: np.ndarray, usual: int) -> bytes:
+    """Counts that mostly equal usual: a bit for each that does not, then these in planes of 4 bytes, or of 8 where one does not fit."""
+    other = x != usual
+    rest = x[other]
+    rest = rest.astype("<u4" if not len(rest) or rest.max() < 1 << 32 else "<u8")
+    return np.packbits(other).tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(len(rest), -1).T).tobytes()
 
 
-def _from_planes(data: bytes, n: int) -> np.ndarray:
-    width = len(data) // n if n else 4
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+def _from_counts(data: bytes, n: int, usual: int) -> np.ndarray:
+    out, cut = np.full(n, usual, np.int64), -(-n // 8)
+    other = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, cut), count=n))
+    if len(other):
+        width = (len(data) - cut) // len(other)
+        out[other] = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=cut).reshape(width, -1).T).view(f"<u{width}").ravel()
+    return out
 
 
 def _shard(keys: np.ndarray, n: int) -> np.ndarray:
@@ -86,18 +93,35 @@ def _shard(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
 
 
+def _shrunk(text: str):
+    def shrunk(batches):
+        """Texts as zstd frames, which halves what the exchange moves."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            data = [None if x is None else pack(x) for x in texts(pa.Table.from_batches([batch]), text)]
+            yield batch.set_column(at, text, pa.array(data, pa.binary()))
+
+    return shrunk
+
+
+def _read(batch: pa.Table, text: str) -> list[bytes | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else unpack(x) for x in batch.column(text).to_pylist()]
+
+
 def _requests(batch_at: str, text: str, n_shards: int, order: int):
     def requests(batch: pa.Table) -> pa.Table:
         """The batch's keys, a row a level and shard."""
         out: dict[str, list] = {"shard": [], "level": [], "keys": [], "number": []}
-        lengths, keys = _grams(texts(batch, text), order)
+        lengths, keys = _grams(_read(batch, text), order)
         document = np.repeat(np.arange(len(lengths)), lengths)
         for level, own in enumerate(keys, 1):
             folded = _Folded(own, document)
             held, starts = np.unique(_shard(folded.distinct, n_shards), return_index=True)
             for shard, a, b in zip(held.tolist(), starts.tolist(), [*starts[1:].tolist(), len(folded.distinct)], strict=False):
                 out["shard"].append(shard), out["level"].append(level)
-                out["keys"].append(planes(folded.distinct[a:b])), out["number"].append(_byte_planes(folded.number[a:b]))
+                out["keys"].append(planes(folded.distinct[a:b])), out["number"].append(_counts(folded.number[a:b], 1))
         at = pa.array([batch.column(batch_at)[0].as_py()] * len(out["shard"]), pa.int32())
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "level": pa.array(out["level"], pa.int32()), "batch": at, "keys": pa.array(out["keys"], pa.binary()), "number": pa.array(out["number"], pa.binary())})
 
@@ -105,23 +129,23 @@ def _requests(batch_at: str, text: str, n_shards: int, order: int):
 
 
 def _answers(asked: pa.Table) -> pa.Table:
-    """One shard of the count table, and its counts in the order of each batch's keys."""
+    """One shard of the count table, and what other batches hold of each batch's keys, in the order of these."""
     lists = [unplanes(x) for x in asked.column("keys").to_pylist()]
-    number = np.concatenate([_from_planes(x, len(k)) for x, k in zip(asked.column("number").to_pylist(), lists, strict=True)])
+    number = np.concatenate([_from_counts(x, len(k), 1) for x, k in zip(asked.column("number").to_pylist(), lists, strict=True)])
     flat = np.concatenate(lists)
     order = np.argsort(flat, kind="stable")
     new = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])
     totals = np.add.reduceat(number[order], np.flatnonzero(new))
     back = np.empty(len(flat), np.int64)
     back[order] = totals[np.cumsum(new) - 1]
-    found = [_byte_planes(x) for x in np.split(back, np.cumsum([len(x) for x in lists])[:-1])]
+    found = [_counts(x, 0) for x in np.split(back - number, np.cumsum([len(x) for x in lists])[:-1])]
     return pa.table({"batch": asked.column("batch"), "shard": asked.column("shard"), "level": asked.column("level"), "counts": pa.array(found, pa.binary())})
 
 
 def _scored(doc_id: str, text: str, n_shards: int, order: int, backoff: float):
     def scored(batch: pa.Table, answers: pa.Table) -> pa.Table:
         """Sums of a batch's documents; log S(w) leaves out the number of words, which unigrams counts."""
-        lengths, keys = _grams(texts(batch, text), order)
+        lengths, keys = _grams(_read(batch, text), order)
         document = np.repeat(np.arange(len(lengths)), lengths)
         packed = {(a, b): x for a, b, x in zip(answers.column("level").to_pylist(), answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True)}
         of = []
@@ -129,8 +153,8 @@ def _scored(doc_id: str, text: str, n_shards: int, order: int, backoff: float):
             folded = _Folded(own, document)
             held, starts = np.unique(_shard(folded.distinct, n_shards), return_index=True)
             sizes = np.diff(np.append(starts, len(folded.distinct)))
-            totals = [_from_planes(packed[level, s], n) for s, n in zip(held.tolist(), sizes.tolist(), strict=True)]
-            of.append(folded.others(np.concatenate([np.zeros(0, np.int64), *totals])))
+            elsewhere = [_from_counts(packed[level, s], n, 0) for s, n in zip(held.tolist(), sizes.tolist(), strict=True)]
+            of.append(folded.others(folded.number + np.concatenate([np.zeros(0, np.int64), *elsewhere])))
         score = np.log10(np.maximum(of[0], 1))
         single = np.ones(len(score), np.int64)  # 1 where S ends in S(w)
         backed = np.zeros(len(score), np.int64)
@@ -161,10 +185,11 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     _, size = text_size(own)
     at = fresh("batch_no", own.columns)
     rows = dealt(own, size, at, "doc_id", "text")
+    kind = own.schema["doc_id"].dataType.simpleString()
+    rows = rows.mapInArrow(_shrunk("text"), f"doc_id {kind}, text binary, `{at}` int")
     groups, n_shards = rows.groupBy(at), shards(size, SHARD_BYTES)
     asked = groups.applyInArrow(_requests(at, "text", n_shards, order), "shard int, level int, batch int, keys binary, number binary")
     answers = asked.groupBy("shard").applyInArrow(_answers, "batch int, shard int, level int, counts binary")
-    kind = own.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, log_score double, n_backoff long, unigrams long"
     sums = store(groups.cogroup(answers.groupBy("batch")).applyInArrow(_scored("doc_id", "text", n_shards, order, backoff), schema), "scores")
     words = sums.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
