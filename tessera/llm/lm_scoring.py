@@ -76,7 +76,7 @@ def _counts(x: np.ndarray, usual: int) -> bytes:
     other = x != usual
     rest = x[other]
     rest = rest.astype("<u4" if not len(rest) or rest.max() < 1 << 32 else "<u8")
-    return np.packbits(other).tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(len(rest), -1).T).tobytes()
+    return np.packbits(other).tobytes() + np.ascontiguousarray(rest.view(np.uint8).reshape(len(rest), rest.itemsize).T).tobytes()
 
 
 def _from_counts(data: bytes, n: int, usual: int) -> np.ndarray:
