@@ -44,11 +44,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def planes(sorted_keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as differences, byte plane by byte plane: the upper planes are nearly all zero and compress."""
-    gaps = np.diff(sorted_keys, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Ascending 64-bit keys as Rice-coded differences: the low bits, which are as good as random, bit plane by bit plane, and the rest in unary.
+
+    Bytes: number of low bits, number of keys (8), low planes (each ceil(keys / 8)), unary bits: for each key its upper part in zeros, then a one.
+    """
+    n = len(sorted_keys)
+    gaps = np.diff(sorted_keys, prepend=np.uint64(0))
+    mean = int(sorted_keys[-1] - sorted_keys[0]) // n if n else 0
+    low = max(0, mean.bit_length() - 1)
+    first = gaps[:1].tolist()  # the first key stands whole: a shard's keys start high
+    rest = gaps[1:]
+    upper = (rest >> np.uint64(low)).astype(np.int64)
+    ends = np.cumsum(upper + 1) - 1
+    unary = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, np.uint8)
+    unary[ends] = 1
+    whole, part = divmod(low, 8)
+    data = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(len(rest), 8)[:, :whole].T).tobytes()
+    for k in range(8 * whole, 8 * whole + part):
+        data += np.packbits(((rest >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).tobytes()
+    return bytes([low]) + n.to_bytes(8, "little") + b"".join(x.to_bytes(8, "little") for x in first) + data + np.packbits(unary).tobytes()
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64)
+    low, n = data[0], int.from_bytes(data[1:9], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    first, at, m = int.from_bytes(data[9:17], "little"), 17, n - 1
+    whole, part = divmod(low, 8)
+    rest = np.zeros((m, 8), np.uint8)
+    rest[:, :whole] = np.frombuffer(data, np.uint8, m * whole, at).reshape(whole, m).T
+    rest = rest.view("<u8").ravel() if m else np.zeros(0, np.uint64)
+    at += m * whole
+    for k in range(8 * whole, 8 * whole + part):
+        each = -(-m // 8)
+        rest |= np.unpackbits(np.frombuffer(data, np.uint8, each, at), count=m).astype(np.uint64) << np.uint64(k)
+        at += each
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=at)))[:m]
+    rest = rest | (np.diff(ends, prepend=-1) - 1).astype(np.uint64) << np.uint64(low)
+    return np.cumsum(np.concatenate([np.array([first], np.uint64), rest]), dtype=np.uint64)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import components, fingerprints, language_id, line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash, token_store
+from tessera.llm import components, fingerprints, language_id, line_dedup, lm_scoring, mixing, packed, packing, quality, sharding, simhash, token_store
 from tessera.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -312,6 +312,13 @@ def brute_backoff(rows, order):
     return out
 
 
+def test_keys_packed_and_back():
+    rng = np.random.default_rng(2)
+    for keys in ([], [0], [7], [1, 2, 3], [0, 2**64 - 1], [5, 2**63, 2**64 - 1], rng.integers(0, 2**64, 5000, np.uint64), rng.integers(2**62, 2**62 + 9000, 3000, np.uint64)):
+        keys = np.unique(np.array(keys, np.uint64))
+        assert packed.unplanes(packed.planes(keys)).tolist() == keys.tolist()
+
+
 def test_backoff(docs):
     rows = rows_of(docs)
     want, got = brute_backoff(rows, 3), by_id(lm_scoring.query(docs))
