@@ -1,11 +1,15 @@
 """Best-fit packing into bins of several permitted sizes.
 
 Documents are cut into pieces of at most the largest size; each piece goes into the open bin that it leaves fullest (best fit,
-longest pieces first). Where none has room a bin opens: of all permitted sizes, the one whose cost for each token it can be
-expected to hold is least, given the pieces that are still to come. At the end each bin shrinks to the smallest permitted
-size that holds its contents.
+longest pieces first). Where none has room a bin opens. Every permitted size that holds the piece is tried on the pieces still to come: the
+longest that fits goes in, then the longest that fits beside it, and so on, so that a size is only hoped to hold what the remaining
+lengths can give it. The size whose cost for each token so held is least opens. At the end each bin shrinks to the
+smallest permitted size that holds its contents.
 
-Pieces are dealt by a hash of doc_id into independent packing groups of about GROUP_ROWS, so that no task gathers a source.
+A bin's cost has a fixed part, a part by length, and a part by its square, as attention has: without the last the largest size would
+always be the cheapest.
+
+Pieces are dealt by a hash of the piece into independent packing groups of about GROUP_ROWS, so that no task gathers a source.
 A group's pieces stay in order of length, so its waste is that of a shorter list: at most one open bin of each fill.
 
 Nulls: a null or empty text has length 0 and one piece of length 0 in no bin (bin_id null). A null doc_id is packed like any other. Rows that repeat a
@@ -21,26 +25,51 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import n_words
 
-#: Permitted sequence lengths and the cost of a bin of each: tokens, and a fixed part a sequence.
+#: Permitted sequence lengths, and what a bin of each costs: FIXED_COST + size + size * size / SQUARE.
 SIZES = (512, 1024, 2048, 4096)
-FIXED_COST = 16
+FIXED_COST, SQUARE = 16, 32768
 GROUP_ROWS = 20_000
 
 
-def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, fixed: int = FIXED_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cost_of(size: int, fixed: int = FIXED_COST, square: int = SQUARE) -> float:
+    return fixed + size + size * size / square
+
+
+def _hoped(n: int, size: int, present: int, left: np.ndarray) -> int:
+    """Tokens that a bin of this size opened for a piece of n would hold, were it filled with the longest pieces that still fit; present: bit r is set if left[r] > 0."""
+    held, taken = n, {}
+    while room := size - held:
+        fits = present & ((1 << (room + 1)) - 1)
+        while fits:
+            longest = fits.bit_length() - 1
+            many = min(room // longest, int(left[longest]) - taken.get(longest, 0))
+            if many > 0:
+                break
+            fits ^= 1 << longest
+        if not fits:
+            break
+        taken[longest] = taken.get(longest, 0) + many
+        held += many * longest
+    return held
+
+
+def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, fixed: int = FIXED_COST, square: int = SQUARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each piece (1 <= length <= the largest size), and the final size of each bin."""
     sizes = tuple(sorted(sizes))
     largest = sizes[-1]
+    costs = [cost_of(s, fixed, square) for s in sizes]
     room_bins: list[list[int]] = [[] for _ in range(largest + 1)]
     free = 0  # bit r is set if a bin with room r is open
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     opened: list[int] = []
     order = np.lexsort((np.arange(len(lengths)), -lengths))
     left = np.bincount(lengths, minlength=largest + 1)  # pieces to come, by length
-    left_tokens = int(lengths.sum())
-    smallest = 0
+    present = sum(1 << int(r) for r in np.flatnonzero(left))
     for k in order.tolist():
         n = int(lengths[k])
+        left[n] -= 1
+        if not left[n]:
+            present ^= 1 << n
         fits = free >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -49,28 +78,14 @@ def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, fixed: int = FIXED
                 free ^= 1 << room
             offset = opened[at] - room
         else:
-            while smallest < largest and not left[smallest]:
-                smallest += 1
-            # Best cost for each token that the bin will hold: its room fills only if pieces small enough are still to come.
-            rest = left_tokens - n
-            best = None
-            for size in sizes:
-                if size < n:
-                    continue
-                room = size - n
-                hope = min(room, rest) if smallest <= room else 0
-                price = (size + fixed) / (n + hope)
-                if best is None or price < best[0]:
-                    best = (price, size)
-            at, room, offset = len(opened), best[1], 0
-            opened.append(best[1])
+            prices = [(c / _hoped(n, s, present, left), s) for s, c in zip(sizes, costs, strict=True) if s >= n]
+            at, room, offset = len(opened), min(prices)[1], 0
+            opened.append(room)
         bins[k], offsets[k] = at, offset
         room -= n
         if room:
             room_bins[room].append(at)
             free |= 1 << room
-        left[n] -= 1
-        left_tokens -= n
     used = np.zeros(len(opened), np.int64)
     np.add.at(used, bins, lengths)
     return bins, offsets, np.array(sizes)[np.searchsorted(sizes, used)] if len(used) else used
