@@ -36,7 +36,8 @@ from tessera.llm.common import LAST_ID, shared_dir, text_size
 
 BLOCK, PERCENTILE, END_ID = 128, 90, 1
 SEGMENT_IDS = 1 << 18
-PART_BYTES = 8 << 20
+#: Bytes of text in a part: small ones keep all cores busy; of a large corpus the parts grow, not their number. A part streams, and its sort spills.
+PART_BYTES, MOST_PARTS = 8 << 20, 20_000
 _HEAD = struct.Struct("<4sHHIQI")
 
 
@@ -102,11 +103,9 @@ class Segment:
             own = np.flatnonzero(index["width"] == w)
             if w:
                 where = self.area + index["start"][own].astype(np.int64)[:, None] + np.arange(BLOCK * w // 8)
-                bits = np.unpackbits(self.data[where], axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-                value = np.zeros((len(own), BLOCK), np.uint32)
-                for k in range(w):
-                    value |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-                out[own] = value
+                bits = np.zeros((len(own), BLOCK, 32), np.uint8)
+                bits[:, :, :w] = np.unpackbits(self.data[where], axis=1, bitorder="little").reshape(len(own), BLOCK, w)
+                out[own] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
         for k in np.flatnonzero(index["over"]).tolist():
             n, w = int(index["over"][k]), int(index["width"][k])
             at = self.area + int(index["start"][k]) + BLOCK * w // 8
@@ -121,6 +120,7 @@ class Segment:
 
 #: Runs of these characters alone, and without the opening of a special token, are parted here as the vocabulary's normalizers and pre-tokenizer would.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
 #: The vocabulary's own pattern over those characters in lower case; a line end parts runs.
 _PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+")
 
@@ -156,15 +156,27 @@ class Numbers(dict):
         return new
 
 
+#: The normalizer and the pre-tokenizer of the one vocabulary whose texts may be parted here, as the library states them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary's pre-tokenizer drops white space and never joins what it parts, so the ids of a text are those of its space-free runs in turn.
-    A plain run is parted into pieces here, and the library's model tokenizes each distinct piece; the library encodes each other distinct run as a
-    whole. Held runs and pieces are forgotten beyond a bound of memory.
+    A vocabulary with exactly the normalizer and pre-tokenizer above, whose added tokens all open with "<|", drops white space and never joins what
+    it parts, so the ids of a text are those of its space-free runs in turn. A plain run is parted into pieces here, and the library's model
+    tokenizes each distinct piece; the library encodes each other distinct run as a whole. Held runs and pieces are forgotten beyond a
+    bound of memory. With any other vocabulary the library encodes each text as a whole.
     """
 
-    HELD = 400_000
+    HELD = 600_000
     BATCH_BYTES, BATCH_RUNS = 1 << 20, 8192
 
     def __init__(self, path: str):
@@ -173,11 +185,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold more memory
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # no piece is tokenized twice
         said = json.loads(self.tokenizer.to_str())
-        shape = [said["normalizer"], said["pre_tokenizer"]]
-        # Another vocabulary may part plain runs otherwise: then all runs go to the library as a whole.
-        self.parts = "Lowercase" in str(shape[0]) and "|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(shape[1]).replace("\\\\", "\\")
+        plain = all(said[k] is None for k in ("truncation", "padding", "post_processor"))
+        added = all(x["content"].startswith("<|") and not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in said["added_tokens"])
+        self.parts = plain and added and said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.to_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self._forget_runs(), self._forget_pieces()
@@ -193,8 +204,12 @@ class Encoder:
 
     def _learn(self, runs: list[bytes]) -> None:
         """Add the ids of runs, which follow the known ones."""
-        read = [w.decode("utf-8", "replace") for w in runs]
-        plain = np.fromiter((self.parts and _PLAIN.fullmatch(x) is not None and "<|" not in x for x in read), bool, len(read))
+        whole = b"\n".join(runs).decode("utf-8", "replace")
+        read = whole.split("\n")
+        simple = str.isascii if not _CONTROL.search(whole) else lambda x: False
+        plain = np.fromiter((simple(x) or _PLAIN.fullmatch(x) is not None for x in read), bool, len(read))
+        if "<|" in whole:
+            plain &= np.fromiter(("<|" not in x for x in read), bool, len(read))
         lists: list[list[int]] = []
         other = [read[k] for k in np.flatnonzero(~plain)]
         for k in range(0, len(other), self.BATCH_RUNS):
@@ -233,6 +248,10 @@ class Encoder:
         """Ids of all texts, each with the end id, and the number of ids of each text."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.parts:
+            lists = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+            flat, sizes, _ = _laid(lists)
+            return flat, sizes
         if len(self.known) > self.HELD:
             self._forget_runs()
         if len(self.pieces) > self.HELD:
@@ -262,7 +281,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
     """
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, size = text_size(own)
-    parts = max(1, min(-(-size // PART_BYTES), rows))
+    parts = max(1, min(-(-size // PART_BYTES), rows, MOST_PARTS))
 
     def run(batches):
         encoder = encoder_of(tokenizer)

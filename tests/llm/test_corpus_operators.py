@@ -393,6 +393,60 @@ def test_packing(docs):
         assert at <= size and (size == packing.SIZES[0] or at > packing.SIZES[packing.SIZES.index(size) - 1])
 
 
+def brute_pack(lengths, sizes):
+    """Bins as lists of piece numbers, and their sizes: each step by plain search over all bins and all pieces still to come."""
+    order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k))
+    bins, rooms, opened = [], [], []
+    for at, k in enumerate(order):
+        n = lengths[k]
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            # of the bins of least room, the one opened or filled to it last
+            own = max((b for b in range(len(bins)) if rooms[b] == min(fits)), key=lambda b: opened[b])
+        else:
+            prices = []
+            for s in sizes:
+                if s >= n:
+                    held, rest = n, [lengths[j] for j in order[at + 1 :]]
+                    for x in rest:  # descending: the longest that still fits goes in
+                        if held + x <= s:
+                            held += x
+                    prices.append((packing.cost_of(s) / held, s))
+            own = len(bins)
+            bins.append([]), rooms.append(min(prices)[1]), opened.append(0)
+        bins[own].append(k)
+        rooms[own] -= n
+        opened[own] = at + 1
+    return bins, [min(s for s in sizes if s >= sum(lengths[k] for k in own)) for own in bins]
+
+
+@pytest.mark.parametrize("kind", ["uniform", "short", "same", "skewed"])
+def test_packing_equals_brute_force(kind):
+    rng = np.random.default_rng(7)
+    lengths = {"uniform": rng.integers(1, 4097, 150), "short": rng.integers(1, 300, 200), "same": np.full(60, 600), "skewed": np.clip(rng.lognormal(6, 1.2, 200), 1, 4096).astype(int)}[kind]
+    bins, _, final = packing.pack(lengths)
+    want, sizes = brute_pack(lengths.tolist(), packing.SIZES)
+    assert [np.flatnonzero(bins == b).tolist() for b in range(len(final))] == [sorted(x) for x in want]
+    assert final.tolist() == sizes
+
+
+@pytest.mark.parametrize("kind", ["skewed", "same", "short"])
+def test_packing_mixes_sizes_below_the_cost_of_any_one(kind):
+    rng = np.random.default_rng(9)
+    lengths = {"skewed": np.clip(rng.lognormal(5.8, 1.1, 4000), 1, 4096).astype(int), "same": np.concatenate([np.full(900, 600), np.full(300, 1500)]), "short": rng.integers(100, 900, 4000)}[kind]
+    cost = lambda final: sum(packing.cost_of(int(s)) for s in final)
+    joint = packing.pack(lengths)[2]
+    alone = [cost(packing.pack(lengths, (s,))[2]) for s in packing.SIZES if s >= lengths.max()]
+    assert len(set(joint.tolist())) > 1 or kind == "same"
+    assert cost(joint) < min(alone)
+
+
+def test_packing_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "c"), (3, "x"), (3, "x")], "doc_id long, text string")
+    got = packing.query(docs).collect()
+    assert sorted(r["length"] for r in got) == [1, 1, 1, 2] and len({(r["bin_id"], r["bin_offset"]) for r in got}) == 4
+
+
 def test_packing_fills_bins():
     lengths = np.random.default_rng(4).integers(1, 4097, 3000)
     bins, _, final = packing.pack(lengths)

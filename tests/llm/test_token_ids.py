@@ -1,5 +1,6 @@
 """Ids of odd characters against the library's own, over whole texts."""
 
+import json
 import random
 
 from tokenizers import Tokenizer
@@ -25,3 +26,17 @@ def test_ids_of_odd_texts():
             at += n
     want = Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)
     assert got == [x.ids + [END_ID] for x in want]
+
+
+def test_another_vocabulary_goes_to_the_library_whole(tmp_path):
+    """The same file but for its normalizer: texts are not parted here."""
+    said = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    said["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "Lowercase"}, {"type": "StripAccents"}]}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    texts = ["café élan", "", "plain words", "É" * 50]
+    encoder = Encoder(str(path))
+    ids, sizes = encoder.encode([x.encode() for x in texts])
+    want = [[*Tokenizer.from_file(str(path)).encode(x, add_special_tokens=False).ids, END_ID] for x in texts]
+    assert not encoder.parts and Encoder(tokenizer_path()).parts
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
