@@ -26,8 +26,8 @@ from tessera.llm.common import fresh, shared_dir, store
 SHARDS = 24
 #: Of a shard's share of the bytes.
 TOLERANCE = 0.01
-#: Pieces by rows.
-PIECES = 96
+#: Rows of a piece, which one task numbers; pieces grow in number with the table, up to MOST_PIECES (their splitters are in the plan).
+PIECE_ROWS, MOST_PIECES = 500_000, 4096
 #: Bits probed at once: first, then each round.
 FIRST_BITS, NEXT_BITS = 10, 6
 LOWEST = -(1 << 63)
@@ -42,40 +42,46 @@ def _start(prefix: int, bits: int) -> int:
     return prefix << (64 - bits)
 
 
-def _refine(rows: DataFrame, column: str, weight, targets: list[float], ahead: float, slack: float, bits: int) -> list[tuple[int, float, float]]:
-    """For each target (ascending): (boundary, weight below it, weight of the one value at it that holds the target, or 0).
+def _refine(rows: DataFrame, column: str, weight, targets: dict[int, list[float]], ahead: dict[int, float], slack: float, bits: int, group: str | None = None) -> dict[int, list[tuple[int, float, float]]]:
+    """For each group and each of its targets (ascending): (boundary, weight below it, weight of the one value at it that holds the target, or 0).
 
-    Weights are exact sums over all rows; the driver sees the counts of the probed sub-intervals alone, bounded by
-    targets * 2 ** NEXT_BITS. ahead: weight before rows.
+    All groups are probed in the same job, a round each NEXT_BITS. Weights are exact sums over all rows; the driver sees the
+    counts of the probed sub-intervals alone, bounded by targets * 2 ** NEXT_BITS (first round: groups * 2 ** bits). ahead: weight before a group.
     """
-    found: dict[int, tuple[int, float, float]] = {}
-    open_at: dict[int, tuple[int, float]] = {}  # target: prefix whose interval holds it, weight below that
-    first = True
-    while first or open_at:
-        own = rows if first else rows.where(_prefix(column, bits).isin(sorted({p for p, _ in open_at.values()})))
-        then = bits if first else min(64, bits + NEXT_BITS)
-        sums = sorted((r["p"], float(r["w"])) for r in own.groupBy(_prefix(column, then).alias("p")).agg(F.sum(weight).alias("w")).collect())
-        todo = dict.fromkeys(range(len(targets)), (0, ahead)) if first else open_at
-        open_at = {}
-        for k, (prefix, below) in todo.items():
-            for p, w in sums:
-                if not first and p >> (then - bits) != prefix:
+    found: dict[tuple[int, int], tuple[int, float, float]] = {}
+    todo = {(g, k): (None, ahead[g]) for g, own in targets.items() for k in range(len(own))}
+    name = F.col(group) if group else F.lit(0).cast("long")
+    last, then = 0, bits
+    while todo:
+        rows = rows.where(name.isin(sorted({g for g, _ in todo}))) if group else rows
+        asked = sorted({p for p, _ in todo.values() if p is not None})
+        own = rows.where(_prefix(column, last).isin(asked)) if asked else rows
+        sums: dict[int, list[tuple[int, float]]] = {}
+        for r in own.groupBy(name.alias("g"), _prefix(column, then).alias("p")).agg(F.sum(weight).alias("w")).collect():
+            sums.setdefault(r["g"], []).append((r["p"], float(r["w"])))
+        for own in sums.values():
+            own.sort()
+        left = {}
+        for (g, k), (prefix, below) in todo.items():
+            target, p, w = targets[g][k], 0, 0.0
+            for p, w in sums.get(g, []):
+                if prefix is not None and p >> (then - last) != prefix:
                     continue
-                if below + w >= targets[k]:
+                if below + w >= target:
                     break
                 below += w
             else:  # the target lies at the end
-                p, w = (sums[-1][0], 0.0) if first and sums else (p, 0.0)
-            if below >= targets[k] - slack:
-                found[k] = (_start(p, then), below, 0.0)
-            elif below + w <= targets[k] + slack and _start(p, then) + (1 << (64 - then)) < 1 << 63:
-                found[k] = (_start(p, then) + (1 << (64 - then)), below + w, 0.0)
+                w = 0.0
+            if below >= target - slack:
+                found[g, k] = (_start(p, then), below, 0.0)
+            elif below + w <= target + slack and _start(p, then) + (1 << (64 - then)) < 1 << 63:
+                found[g, k] = (_start(p, then) + (1 << (64 - then)), below + w, 0.0)
             elif then == 64:
-                found[k] = (p, below, w)
+                found[g, k] = (p, below, w)
             else:
-                open_at[k] = (p, below)
-        bits, first = then, False
-    return [found[k] for k in range(len(targets))]
+                left[g, k] = (p, below)
+        todo, last, then = left, then, min(64, then + NEXT_BITS)
+    return {g: [found[g, k] for k in range(len(own))] for g, own in targets.items()}
 
 
 def splitters(slim: DataFrame, weight, total: float, parts: int, tolerance: float) -> list[tuple[int, int]]:
@@ -83,20 +89,25 @@ def splitters(slim: DataFrame, weight, total: float, parts: int, tolerance: floa
     share = total / parts
     targets = [share * k for k in range(1, parts)]
     slack = share * tolerance
-    found = _refine(slim, "h", weight, targets, 0.0, slack, FIRST_BITS)
+    found = _refine(slim, "h", weight, {0: targets}, {0: 0.0}, slack, FIRST_BITS)[0]
     out: list[tuple[int, int]] = []
     inside: dict[int, list[int]] = {}
     for k, (at, below, held) in enumerate(found):
         out.append((at, LOWEST))
         if held:
             inside.setdefault(at, []).append(k)
-    for h, own in inside.items():  # a group of equal texts that holds splitters: at most parts of them
-        group = slim.where(F.col("h") == h)
-        low, high = group.agg(F.min("doc_id"), F.max("doc_id")).first()
-        bits = 1 if low is None or low == high or (low < 0) != (high < 0) else 64 - (low ^ high).bit_length()
-        for k, (at, below, held) in zip(own, _refine(group, "doc_id", weight, [targets[k] for k in own], found[own[0]][1], slack, min(64, bits + FIRST_BITS)), strict=True):
-            # The splitter goes to the nearer side of a single key.
-            out[k] = (h, at) if not held or targets[k] - below <= below + held - targets[k] or at == LOWEST + (1 << 64) - 1 else (h, at + 1)
+    if inside:  # groups of equal texts that hold splitters: at most parts of them
+        groups = slim.where(F.col("h").isin(sorted(inside)))
+        span = {r["h"]: (r["low"], r["high"]) for r in groups.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}
+        lone = {h for h, (low, high) in span.items() if low == high}
+        several = {h: own for h, own in inside.items() if h not in lone}
+        # Bits that the doc_ids of every group share need no probe.
+        shared = min((0 if (span[h][0] < 0) != (span[h][1] < 0) else 64 - (span[h][0] ^ span[h][1]).bit_length() for h in several), default=0)
+        deep = _refine(groups, "doc_id", weight, {h: [targets[k] for k in own] for h, own in several.items()}, {h: found[own[0]][1] for h, own in several.items()}, slack, min(64, shared + FIRST_BITS), "h") if several else {}
+        for h, own in inside.items():
+            for k, (at, below, held) in zip(own, deep.get(h) or [(span[h][0], found[own[0]][1], found[own[0]][2])] * len(own), strict=True):
+                # The splitter goes to the nearer side of a single key.
+                out[k] = (h, at) if not held or targets[k] - below <= below + held - targets[k] or at == LOWEST + (1 << 64) - 1 else (h, at + 1)
     return sorted(out)
 
 
@@ -118,10 +129,11 @@ def sharded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     slim = store(docs.select(key.alias("doc_id"), _size(t).alias("size"), h.alias("h")), "sizes")
     rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     by_bytes = splitters(slim, F.col("size"), float(total), shards, tolerance) if rows else []
-    by_rows = splitters(slim, F.lit(1), float(rows), PIECES, 0.2) if rows else []
+    n_pieces = min(MOST_PIECES, -(-rows // PIECE_ROWS))
+    by_rows = splitters(slim, F.lit(1), float(rows), n_pieces, 0.2) if n_pieces > 1 else []
     pieces = sorted(set(by_bytes) | set(by_rows))
     piece = _below(pieces, F.col("h"), F.col("doc_id"))
-    counts = {r["piece"]: r["n"] for r in slim.groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards + PIECES rows
+    counts = {r["piece"]: r["n"] for r in slim.groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards + MOST_PIECES rows
     shard_of, start_of, shard, start, cut = [], [], 0, 0, 0
     for k in range(len(pieces) + 1):
         first = pieces[k - 1] if k else None
