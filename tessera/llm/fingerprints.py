@@ -33,7 +33,8 @@ TIERS = len(RATES)
 LEAST = 4
 SEED = 97
 LEXICON_BOUND = 1_000_000
-RANGE_BYTES = 8 << 20
+#: Bytes of text in a range; of a large corpus the ranges grow, not their number (their bounds are in the plan): they are sorted and streamed, and spill.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 4096
 
 
 def terms(text: Column) -> Column:
@@ -48,7 +49,7 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = IDF_LOW, high: flo
     held = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).select(F.xxhash64("term").alias("term"))
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
-    return df.where(idf.between(low, high) | (F.lit(total < 50))).select("term")
+    return df.where(idf.between(low, high)).select("term")
 
 
 def _range_of(bounds: list[int]):
@@ -68,10 +69,10 @@ def in_ranges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """part, doc_id, text, ghost: documents dealt by ranges of doc_id, each range with the document after its last as a ghost."""
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, size = text_size(own)
-    parts = max(1, min(-(-size // RANGE_BYTES), rows))
+    parts = max(1, min(-(-size // RANGE_BYTES), rows, MOST_RANGES))
     bounds = own.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
     dealt = own.withColumn("part", _range_of(sorted(set(bounds or []))))
-    # A row a range; the ranges are bounded in bytes, so their number is small against the documents'.
+    # A row a range, MOST_RANGES at most.
     firsts = dealt.groupBy("part").agg(F.min("doc_id").alias("first_id"))
     in_turn = Window.orderBy("part")
     turned = firsts.select(F.col("part").alias("own_part"), "first_id", F.lag("part").over(in_turn).alias("to_part"), F.max("part").over(Window.partitionBy()).alias("last_part"))
