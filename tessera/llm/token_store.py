@@ -118,11 +118,10 @@ class Segment:
 # Tokenizing
 
 
-#: Runs of these characters alone, and without the opening of a special token, are parted here as the vocabulary's normalizers and pre-tokenizer would.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
-#: The vocabulary's own pattern over those characters in lower case; a line end parts runs.
-_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+")
+#: A text without these characters and without the opening of a special token is parted here as the vocabulary's normalizers and pre-tokenizer would.
+_ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
+#: The vocabulary's own pattern over those characters in lower case; \0 parts texts, and white space is passed over.
+_PIECES = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s\x00a-zß-öø-ÿ0-9]+")
 
 
 def _laid(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,12 +170,12 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     A vocabulary with exactly the normalizer and pre-tokenizer above, whose added tokens all open with "<|", drops white space and never joins what
-    it parts, so the ids of a text are those of its space-free runs in turn. A plain run is parted into pieces here, and the library's model
-    tokenizes each distinct piece; the library encodes each other distinct run as a whole. Held runs and pieces are forgotten beyond a
-    bound of memory. With any other vocabulary the library encodes each text as a whole.
+    it parts, so the ids of a text are those of its pieces in turn. A plain text is parted into pieces here, and the library's model
+    tokenizes each distinct piece; of other texts the library encodes each distinct run of non-space characters. Held pieces and
+    runs are forgotten beyond a bound of memory. With any other vocabulary the library encodes each text as a whole.
     """
 
-    HELD = 600_000
+    HELD = 400_000
     BATCH_BYTES, BATCH_RUNS = 1 << 20, 8192
 
     def __init__(self, path: str):
@@ -191,46 +190,17 @@ class Encoder:
         self.parts = plain and added and said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.to_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self._forget_runs(), self._forget_pieces()
-
-    def _forget_runs(self) -> None:
-        """Entry 0 is the end id."""
-        self.known = Numbers(1)
-        self.flat, self.sizes, self.starts = np.array([END_ID], np.uint32), np.ones(1, np.int64), np.zeros(1, np.int64)
-
-    def _forget_pieces(self) -> None:
-        self.pieces = Numbers()
-        self.piece_flat, self.piece_sizes, self.piece_starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, runs: list[bytes]) -> None:
-        """Add the ids of runs, which follow the known ones."""
-        whole = b"\n".join(runs).decode("utf-8", "replace")
-        read = whole.split("\n")
-        simple = str.isascii if not _CONTROL.search(whole) else lambda x: False
-        plain = np.fromiter((simple(x) or _PLAIN.fullmatch(x) is not None for x in read), bool, len(read))
-        if "<|" in whole:
-            plain &= np.fromiter(("<|" not in x for x in read), bool, len(read))
-        lists: list[list[int]] = []
-        other = [read[k] for k in np.flatnonzero(~plain)]
-        for k in range(0, len(other), self.BATCH_RUNS):
-            lists += [e.ids for e in self.tokenizer.encode_batch_fast(other[k : k + self.BATCH_RUNS], add_special_tokens=False)]
-        flat, sizes, starts = _laid(lists)
-        places = np.zeros(len(read), np.int64)
-        lengths = np.zeros(len(read), np.int64)
-        places[~plain], lengths[~plain] = starts, sizes
-        if plain.any():
-            found = _PIECES.findall("\n".join([read[k] for k in np.flatnonzero(plain)]).lower())
-            at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
-            new, add = _laid([[] if x == "\n" else [t.id for t in self.model.tokenize(x if x.isascii() else x.translate(self.to_level))] for x in self.pieces.taken()]), len(self.piece_flat)
-            self.piece_flat, self.piece_sizes = np.concatenate([self.piece_flat, new[0]]), np.concatenate([self.piece_sizes, new[1]])
-            self.piece_starts = np.concatenate([self.piece_starts, new[2] + add])
-            own, ends = _spread(self.piece_flat, self.piece_starts, self.piece_sizes, at)
-            last = np.append(np.flatnonzero(at == self.pieces["\n"]) if plain.sum() > 1 else np.zeros(0, np.int64), len(at) - 1)
-            lengths[plain] = n = np.diff(ends[last], prepend=0)
-            places[plain] = len(flat) + np.cumsum(n) - n
-            flat = np.concatenate([flat, own])
-        self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + places]), np.concatenate([self.sizes, lengths])
-        self.flat = np.concatenate([self.flat, flat])
+        self.pieces, self.runs = Held(self._of_pieces), Held(self._of_runs)
+
+    def _of_pieces(self, new: list[str]) -> list[list[int]]:
+        tokenize = self.model.tokenize
+        return [[END_ID] if x == "\0" else [t.id for t in tokenize(x if x.isascii() else x.translate(self.to_level))] for x in new]
+
+    def _of_runs(self, new: list[str]) -> list[list[int]]:
+        lists = [[END_ID]] if new[:1] == ["\0"] else []
+        for k in range(len(lists), len(new), self.BATCH_RUNS):
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + self.BATCH_RUNS], add_special_tokens=False)]
+        return lists
 
     def batches(self, texts: Iterable[bytes]) -> Iterator[list[bytes]]:
         """Texts in lists of about BATCH_BYTES; a longer text is alone."""
@@ -244,25 +214,42 @@ class Encoder:
         if held:
             yield held
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id, and the number of ids of each text."""
-        if not texts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text, each with the end id."""
+        read = [x.decode("utf-8", "replace") for x in texts]
         if not self.parts:
-            lists = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
-            flat, sizes, _ = _laid(lists)
-            return flat, sizes
-        if len(self.known) > self.HELD:
-            self._forget_runs()
-        if len(self.pieces) > self.HELD:
-            self._forget_pieces()
-        runs = [x.split() for x in texts]
-        counts = np.fromiter(map(len, runs), np.int64, len(runs))
-        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(runs)), np.int64, int(counts.sum()))
+            return [np.array([*e.ids, END_ID], np.uint32) for e in self.tokenizer.encode_batch_fast(read, add_special_tokens=False)]
+        odd = [_ODD.search(x) is not None for x in read]
+        plain = self.pieces.ids(_PIECES.findall("\0".join([x for x, o in zip(read, odd, strict=True) if not o] + [""]).lower()), self.HELD)
+        other = self.runs.ids([w for x, o in zip(texts, odd, strict=True) if o for w in (*(y.decode("utf-8", "replace") for y in x.split()), "\0")], self.HELD)
+        return [next(other) if o else next(plain) for o in odd]
+
+
+class Held:
+    """The ids of distinct strings; "\\0" closes a text."""
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Numbers()
+        self.known["\0"]
+        self.flat, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, strings: list[str], most: int) -> Iterator[np.ndarray]:
+        """Ids of each text of strings."""
+        if not strings:
+            return iter(())
+        if len(self.known) > most:
+            self.forget()
+        at = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
         if new := self.known.taken():
-            self._learn(new)
-        ids, ends = _spread(self.flat, self.starts, self.sizes, np.insert(words, np.cumsum(counts), 0))
-        return ids, np.diff(ends[np.cumsum(counts + 1) - 1], prepend=0)
+            flat, sizes, starts = _laid(self.learn(new))
+            self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + starts]), np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+        ids, ends = _spread(self.flat, self.starts, self.sizes, at)
+        return iter(np.split(ids, ends[np.flatnonzero(at == 0)][:-1]))
 
 
 @functools.cache
@@ -300,8 +287,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", te
             left = iter(batch.column("doc_id").to_pylist())
             column = batch.column("text").cast(pa.large_binary())
             for texts in encoder.batches(x.as_py() for x in column):
-                found, n = encoder.encode(texts)
-                for own_ids in np.split(found, np.cumsum(n)[:-1]):
+                for own_ids in encoder.encode(texts):
                     if held >= SEGMENT_IDS:
                         yield segment()
                     ids.append(own_ids), names.append(next(left)), sizes.append(len(own_ids))
