@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import LAST_ID, SPACE_BYTES, fresh, store, text_size
-from tessera.llm.packed import dealt, mixed, shards, texts
+from tessera.llm.packed import dealt, mixed, shards, slices, texts
 
 MIN_CHARS = 10
 #: Slots a key at each level of the perfect hash.
@@ -114,7 +114,7 @@ def _by_shard(hashes: np.ndarray, n_shards: int) -> tuple[np.ndarray, list[np.nd
 def _told(doc_id: str, text: str, n_shards: int, min_chars: int):
     def told(batches):
         """For the index: each distinct line hash of a batch, its number of documents, and the first and the last of them."""
-        for batch in batches:
+        for batch in slices(batches, 2048):
             batch = pa.Table.from_batches([batch])
             ids = np.array([LAST_ID if x is None else x for x in batch.column(doc_id).to_pylist()], np.int64)
             found = [_line_digests(x, min_chars) for x in texts(batch, text)]

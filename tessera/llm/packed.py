@@ -32,6 +32,16 @@ def texts(batch: pa.Table, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
+SLICE_ROWS = 256
+
+
+def slices(batches, rows: int = SLICE_ROWS):
+    """Batches in slices of few rows: what a task makes of them stays small, however long the texts are."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LAST_ID, fresh, store
 from tessera.llm.components import stars
-from tessera.llm.packed import mixed, texts
+from tessera.llm.packed import mixed, slices, texts
 
 #: Rows of a cell; a probed value of more rows is cut into chunks that meet two by two.
 CELL_ROWS = 40_000
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int = 1, doc_id: str = "doc
     """doc_id, fp (binary) of every document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             t = pa.Table.from_batches([batch])
             yield from pa.table({"doc_id": t.column("doc_id"), "fp": pa.array([fingerprint(shingle_hashes(x, words), lanes) for x in texts(t, "text")], pa.binary())}).to_batches()
 
@@ -358,7 +358,7 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_key, digest (equal sets of shingle hashes have equal ones), fp of every row of docs."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(x, NEAR_WORDS)) for x in texts(pa.Table.from_batches([batch]), "text")]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), "fp": pa.array([fingerprint(x, NEAR_LANES) for x in sets], pa.binary())})
 
@@ -373,7 +373,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     asked = store(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "asked")
 
     def packed_sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data = texts(pa.Table.from_batches([batch]), "text")
             yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "own": pa.array([np.unique(shingle_hashes(x, NEAR_WORDS)).tobytes() for x in data], pa.binary())})
 
@@ -381,7 +381,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     sets = store(found.mapInArrow(packed_sets, "node long, own binary"), "sets")
 
     def compared(batches):
-        for batch in batches:
+        for batch in slices(batches):
             near = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
