@@ -44,6 +44,29 @@ _HEAD = struct.Struct("<4sHHIQI")
 # Blocks
 
 
+#: Values packed or unpacked at once: rows of bits that stay in the cache.
+ROWS = 256
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low bits of rows of BLOCK values, end to end."""
+    out = np.zeros((len(values), BLOCK * width // 8), np.uint8)
+    for k in range(0, len(values) if width else 0, ROWS):
+        bits = np.unpackbits(values[k : k + ROWS].astype("<u4").view(np.uint8).reshape(-1, BLOCK, 4)[:, :, : (width + 7) // 8], axis=2, bitorder="little")
+        out[k : k + ROWS] = np.packbits(bits[:, :, :width].reshape(len(bits), -1), axis=1, bitorder="little")
+    return out
+
+
+def _unpacked(data: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK values from their packed bits."""
+    out = np.zeros((len(data), BLOCK), "<u4")
+    whole = (width + 7) // 8
+    for k in range(0, len(data), ROWS):
+        bits = np.unpackbits(data[k : k + ROWS], axis=1, bitorder="little").reshape(-1, BLOCK, width)
+        out[k : k + ROWS].view(np.uint8).reshape(-1, BLOCK, 4)[:, :, :whole] = np.packbits(bits, axis=2, bitorder="little")
+    return out
+
+
 def encode(ids: np.ndarray, doc_ids: np.ndarray, before: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     """A segment of ids; before: the number of ids ahead of each document."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
@@ -54,8 +77,8 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, before: np.ndarray, percentile:
     rows = full.reshape(blocks, BLOCK)
     low = rows.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rest = rows - low[:, None]
-    ordered = np.sort(rest, axis=1)
-    at = ordered[:, min(BLOCK - 1, BLOCK * percentile // 100)] if blocks else np.zeros(0, np.uint32)
+    place = min(BLOCK - 1, BLOCK * percentile // 100)
+    at = np.partition(rest, place, axis=1)[:, place] if blocks else np.zeros(0, np.uint32)
     width = np.ceil(np.log2(at.astype(np.float64) + 1)).astype(np.int64)
     # An exception may not cost more than the bits it saves.
     over = (rest >> np.minimum(width, 31)[:, None].astype(np.uint32)) * (width < 32)[:, None]
@@ -67,8 +90,7 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, before: np.ndarray, percentile:
     parts: list[bytes] = [b""] * blocks
     for w in np.unique(width).tolist():
         own = np.flatnonzero(width == w)
-        bits = ((rest[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8).reshape(len(own), -1)
-        data = np.packbits(bits, axis=1, bitorder="little") if w else np.zeros((len(own), 0), np.uint8)
+        data = _packed(rest[own], w)
         packed, each = data.tobytes(), data.shape[1]
         for k, (b, c, m) in enumerate(zip(own.tolist(), cuts[own].tolist(), number[own].tolist(), strict=True)):
             parts[b] = packed[k * each : k * each + each] + places[c : c + m] + uppers[4 * c : 4 * (c + m)]
@@ -103,14 +125,13 @@ class Segment:
             own = np.flatnonzero(index["width"] == w)
             if w:
                 where = self.area + index["start"][own].astype(np.int64)[:, None] + np.arange(BLOCK * w // 8)
-                bits = np.zeros((len(own), BLOCK, 32), np.uint8)
-                bits[:, :, :w] = np.unpackbits(self.data[where], axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-                out[own] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
-        for k in np.flatnonzero(index["over"]).tolist():
-            n, w = int(index["over"][k]), int(index["width"][k])
-            at = self.area + int(index["start"][k]) + BLOCK * w // 8
-            place = self.data[at : at + n]
-            out[k, place] |= self.data[at + n : at + 5 * n].copy().view("<u4") << np.uint32(w)
+                out[own] = _unpacked(self.data[where], w)
+        some = np.flatnonzero(index["over"])
+        number, width = index["over"][some].astype(np.int64), index["width"][some].astype(np.int64)
+        at = np.repeat(self.area + index["start"][some].astype(np.int64) + BLOCK * width // 8, number)
+        turn = np.arange(len(at)) - np.repeat(np.cumsum(number) - number, number)
+        upper = self.data[(at + np.repeat(number, number) + 4 * turn)[:, None] + np.arange(4)].view("<u4").ravel()
+        out[np.repeat(some, number), self.data[at + turn]] |= upper << np.repeat(width, number).astype(np.uint32)
         out += index["low"][:, None]
         return out.ravel()[first - a * BLOCK : last - a * BLOCK]
 
@@ -124,6 +145,18 @@ _ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
 _PIECES = re.compile(r"\x00|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s\x00a-zß-öø-ÿ0-9]+")
 
 
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *(x for x in range(0xC0, 0x100) if x not in (0xD7, 0xF7))])
+
+
+def _all_plain(whole: str, closings: int) -> bool:
+    """Whether texts that a \\0 each closes hold no odd character, by one fast pass."""
+    try:
+        rest = whole.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
+    return len(rest) == closings and "<|" not in whole and rest.count(0) == closings
+
+
 def _laid(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The lists end to end, their sizes and where each starts."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -219,8 +252,12 @@ class Encoder:
         read = [x.decode("utf-8", "replace") for x in texts]
         if not self.parts:
             return [np.array([*e.ids, END_ID], np.uint32) for e in self.tokenizer.encode_batch_fast(read, add_special_tokens=False)]
-        odd = [_ODD.search(x) is not None for x in read]
-        plain = self.pieces.ids(_PIECES.findall("\0".join([x for x, o in zip(read, odd, strict=True) if not o] + [""]).lower()), self.HELD)
+        whole = "\0".join([*read, ""])
+        odd = [False] * len(read)
+        if not _all_plain(whole, len(read)):
+            odd = [_ODD.search(x) is not None for x in read]
+            whole = "\0".join([x for x, o in zip(read, odd, strict=True) if not o] + [""])
+        plain = self.pieces.ids(_PIECES.findall(whole.lower()), self.HELD)
         other = self.runs.ids([w for x, o in zip(texts, odd, strict=True) if o for w in (*(y.decode("utf-8", "replace") for y in x.split()), "\0")], self.HELD)
         return [next(other) if o else next(plain) for o in odd]
 
