@@ -365,20 +365,20 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select("doc_id", F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, key long, digest binary, fp binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """pairs (u, v) with near: whether the sets of shingles of the documents with these keys have a resemblance of SIMILARITY or more.
+def _packed_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """node, own: the packed set of shingle hashes of the document with that key, for the given nodes alone."""
 
-    Sets are made for the documents in pairs alone; a pair moves two packed sets.
-    """
-    asked = store(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "asked")
-
-    def packed_sets(batches):
+    def run(batches):
         for batch in slices(batches):
             data = texts(pa.Table.from_batches([batch]), "text")
             yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "own": pa.array([np.unique(shingle_hashes(x, NEAR_WORDS)).tobytes() for x in data], pa.binary())})
 
-    found = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
-    sets = store(found.mapInArrow(packed_sets, "node long, own binary"), "sets")
+    found = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return store(found.mapInArrow(run, "node long, own binary"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v) with near: whether their sets of shingles have a resemblance of SIMILARITY or more. A pair moves two packed sets."""
 
     def compared(batches):
         for batch in slices(batches):
@@ -393,29 +393,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compared, "u long, v long, near boolean")
 
 
-def _unlinked(most: int):
-    def links(cell: pa.Table) -> pa.Table:
-        """All candidates between groups (root) that no verified link joins."""
-        order, fps, starts = _runs(cell)
-        node, root = cell.column("node").to_numpy()[order], cell.column("root").to_numpy()[order]
-        us, vs = [], []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
-            if (root[a:b] == root[a]).all():
-                continue
-            for k in range(a, b - 1):
-                hit = k + 1 + np.flatnonzero((root[k + 1 : b] != root[k]) & (_differ(fps[k + 1 : b], fps[k]) <= most))
-                us.append(node[hit]), vs.append(np.full(len(hit), node[k]))
-        return _links_table(us, vs)
+#: Documents of a chunk that meet all others of another chunk in one task, and columns of their table of shingles held at once.
+CHUNK, COLUMNS = 2048, 2048
+
+
+def linked_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of sets of resemblance SIMILARITY or more that connect the same sets as all such pairs do: exact sizes of all
+    intersections as products of blocks of the table (set, shingle), of which shingles of one set alone are left out."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    _, column, number = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared = number[column] > 1
+    row, column = row[shared], (np.cumsum(number > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)  # exact up to 2 ** 24 common shingles
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        here, at = np.unique(row[a:b], return_inverse=True)
+        block = np.zeros((len(here), COLUMNS), np.float32)
+        block[at, column[a:b] - first] = 1
+        both[np.ix_(here, here)] += block @ block.T
+    near = both >= SIMILARITY * (size[:, None] + size[None, :] - both)
+    out, left = [], np.ones(n, bool)
+    for k in range(n):
+        if left[k]:
+            left[k], todo = False, [k]
+            while todo:
+                own = todo.pop()
+                found = np.flatnonzero(near[own] & left)
+                left[found] = False
+                out += [(own, x) for x in found.tolist()]
+                todo += found.tolist()
+    return out
 
-    return links
+
+def _within(cell: pa.Table) -> pa.Table:
+    """Links of a cell's meetings: a spanning forest of each one's sets of resemblance SIMILARITY or more."""
+    meeting, node, root = (cell.column(x).to_numpy() for x in ("meeting", "node", "root"))
+    own = cell.column("own").to_pylist()
+    order = np.lexsort((node, meeting))
+    us, vs = [], []
+    for at in np.split(order, np.flatnonzero(np.diff(meeting[order])) + 1):
+        if len(at) > 1 and (root[at] != root[at[0]]).any():
+            pairs = np.array(linked_sets([np.frombuffer(own[k], np.uint64) for k in at.tolist()]), np.int64).reshape(-1, 2)
+            us.append(node[at[pairs[:, 0]]]), vs.append(node[at[pairs[:, 1]]])
+    return _links_table(us, vs)
+
+
+def _apart_links(first: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between what the verified links left apart inside groups of candidates.
+
+    Inside such a group the part that most documents belong to is whole: only the others meet all the rest. Both are cut into chunks that
+    meet two by two, so that a task holds two chunks whatever the group's size, and tells a forest, never all pairs.
+    """
+    loose = stars(first).select("node", F.col("root").alias("loose"))
+    parts = loose.unionByName(loose.select(F.col("loose").alias("node"), "loose").distinct())
+    parts = store(parts.join(stars(near), "node", "left").select("node", "loose", F.coalesce("root", "node").alias("root")), "parts")
+    sizes = parts.groupBy("loose", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("loose")
+    sizes = sizes.agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")).where(F.col("roots") > 1)
+    chunks = lambda n: F.ceil(n / CHUNK).cast("long")
+    sizes = sizes.select("loose", F.col("most.root").alias("most"), chunks(F.col("most.n")).alias("wide"), chunks(F.col("all") - F.col("most.n")).alias("few"))
+    placed = parts.join(sizes, "loose")
+    whole = F.col("root") == F.col("most")
+    few = F.sequence(F.lit(0).cast("long"), F.col("few") - 1)
+    own = F.pmod(F.xxhash64("node"), F.when(whole, F.col("wide")).otherwise(F.col("few")))
+    name = lambda kind, a, b: F.xxhash64("loose", F.lit(kind), a, b)
+    mine = F.transform(few, lambda k: name(0, F.least(k, own), F.greatest(k, own)))
+    across = F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda k: name(1, k, own))
+    meetings = F.when(whole, F.transform(few, lambda k: name(1, own, k))).otherwise(F.concat(mine, across))
+    met = store(placed.select("node", "root", F.explode(meetings).alias("meeting")).join(sets, "node"), "meetings")
+    cells = max(1, -(-met.count() // CHUNK))
+    return met.withColumn("cell", F.pmod("meeting", F.lit(cells))).groupBy("cell").applyInArrow(_within, "u long, v long")
 
 
 def near_groups(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
     """doc_id, key, root of every row of docs; rows of one root are connected by sets of shingles of resemblance SIMILARITY or more.
 
     key is a long that only equal rows share. Equal sets are one node. A cell's candidates connect each run by a spanning forest, so that
-    a group of copies of any size is a link a copy. Links are verified on the sets; where one fails, a second pass takes all
-    candidates between what verified links left apart, so that no group hangs on the choice of the forest.
+    a group of copies of any size is a link a copy. Links are verified on the sets; where one fails, the sets of its group of
+    candidates are compared with each other, so that no group hangs on the choice of the forest.
     """
     rows = store(_sets(docs.withColumn("doc_id", F.col(doc_id).cast("long")), key, text), "sets")
     nodes = store(rows.groupBy("digest").agg(F.min("key").alias("node"), F.first("fp").alias("fp")), "nodes")
@@ -423,19 +481,13 @@ def near_groups(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "
     parts, chosen, counts = _wide_plan(nodes, n, width)
     bits, p = 64 * CHECK_LANES, _apart(SIMILARITY)
     limit = int(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
-    probed = _probed(nodes, n, parts, chosen, counts, bits // 8)
-    first = store(probed.groupBy("cell").applyInArrow(_cell_links(limit), "u long, v long").distinct(), "pairs")
-    told = store(_verified(first, docs, key, text), "told")
-    near, failed = told.where("near").select("u", "v"), told.where("NOT near")
-    if failed.limit(1).count():
-        named = store(nodes.select("node", "fp").join(stars(near), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "named")
-        ends = failed.select(F.col("u").alias("node")).union(failed.select(F.col("v").alias("node"))).distinct()
-        touched = named.join(ends, "node", "left_semi").select("root").distinct()
-        again = store(named.join(touched, "root", "left_semi"), "again")
-        more = _probed(again, n, parts, chosen, counts, bits // 8).join(again.select("node", "root"), "node")
-        rest = more.groupBy("cell").applyInArrow(_unlinked(limit), "u long, v long").distinct()
-        rest = store(rest.join(told.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
-        near = near.unionByName(_verified(rest, docs, key, text).where("near").select("u", "v"))
+    first = store(_probed(nodes, n, parts, chosen, counts, bits // 8).groupBy("cell").applyInArrow(_cell_links(limit), "u long, v long").distinct(), "pairs")
+    asked = store(first.select(F.col("u").alias("node")).union(first.select(F.col("v").alias("node"))).distinct(), "asked")
+    sets = _packed_sets(docs, asked, key, text)
+    told = store(_verified(first, sets), "told")
+    near = told.where("near").select("u", "v")
+    if told.where("NOT near").limit(1).count():
+        near = store(near.unionByName(_apart_links(first, near, sets)), "near")
     groups = nodes.join(stars(near), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return store(rows.select("doc_id", "key", "digest").join(groups, "digest").select("doc_id", "key", "root"), "groups")
 

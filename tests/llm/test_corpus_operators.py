@@ -293,6 +293,41 @@ def test_near_duplicates_recall(spark, width):
     assert len(low) == 100 and np.mean(low) > 0.9 and np.mean(found) > 0.95
 
 
+@pytest.mark.parametrize("chunk", [2048, 7])
+def test_links_of_sets_in_chunks(spark, monkeypatch, chunk):
+    """Groups whose verified links are few: all links that matter are found, however the chunks fall."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(8)
+    sets, own = [], []
+    for g in range(6):
+        base = [rng.getrandbits(63) for _ in range(60)]
+        for _ in range(12):
+            x = set(base)
+            for _ in range(rng.randint(0, 9)):
+                x.discard(rng.choice(base)), x.add(rng.getrandbits(63))
+            sets.append(np.array(sorted(x), np.uint64)), own.append(g)
+    ids = list(range(100, 100 + len(sets)))
+    first = [(ids[k], ids[own.index(own[k])]) for k in range(len(sets)) if k != own.index(own[k])]
+    near = [(a, b) for a, b in first if a % 3 == 0]
+    near = [(a, b) for a, b in near if len(np.intersect1d(sets[a - 100], sets[b - 100])) >= 0.8 * len(np.union1d(sets[a - 100], sets[b - 100]))]
+    frame = lambda x: spark.createDataFrame(x, "u long, v long")
+    told = frame(near).union(simhash._apart_links(frame(first), frame(near), spark.createDataFrame([(i, x.tobytes()) for i, x in zip(ids, sets, strict=True)], "node long, own binary")))
+    got = {r["node"]: r["root"] for r in components.stars(told).collect()}
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and len(np.intersect1d(sets[a - 100], sets[b - 100])) >= 0.8 * len(np.union1d(sets[a - 100], sets[b - 100])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert {i: got.get(i, i) for i in ids} == {i: find(i) for i in ids}
+
+
 def test_near_groups_hang_on_no_failed_link(spark):
     """A chain of texts, each near the next alone, is one group, whatever links the first pass took."""
     rng = random.Random(4)
