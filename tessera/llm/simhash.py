@@ -28,7 +28,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LAST_ID, fresh, store
@@ -228,19 +228,26 @@ def _links_table(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.Table:
 
 def _cell_links(most: int):
     def links(cell: pa.Table) -> pa.Table:
-        """In a short run all pairs within most bits, in a long one a spanning forest of them."""
+        """Of the pairs of each run within most bits a spanning forest: each row but the first of those they connect is told once."""
         order, fps, starts = _runs(cell)
         node = cell.column("node").to_numpy()[order]
         sizes = np.diff(np.append(starts, len(node)))
         run = np.repeat(np.arange(len(starts)), sizes)
         short = sizes[run] <= 32
-        us, vs = [], []
+        us, vs, ahead, behind = [], [], [], []
         for d in range(1, 32):  # neighbours at distance d in the same short run
             a = np.flatnonzero((run[d:] == run[:-d]) & short[d:]) if d < len(run) else np.zeros(0, np.int64)
             if not len(a):
                 break
             near = (_differ(fps[a], fps[a + d]) <= most) & (node[a] != node[a + d])
-            us.append(node[a][near]), vs.append(node[a + d][near])
+            ahead.append(a[near]), behind.append(a[near] + d)
+        if ahead:
+            a, b = np.concatenate(ahead), np.concatenate(behind)
+            least = np.arange(len(node))
+            while (least[a] != least[b]).any():
+                np.minimum.at(least, b, least[a]), np.minimum.at(least, a, least[b])
+            found = np.flatnonzero(least != np.arange(len(node)))
+            us.append(node[found]), vs.append(node[least[found]])
         for s, k in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
             _, one = np.unique(node[s : s + k], return_index=True)  # a node may probe its own value
             own_fps, own = fps[s : s + k][one], node[s : s + k][one]
@@ -472,7 +479,7 @@ def near_groups(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "
     """doc_id, key, root of every row of docs; rows of one root are connected by sets of shingles of resemblance SIMILARITY or more.
 
     key is a long that only equal rows share. Equal sets are one node. A cell's candidates connect each run by a spanning forest, so that
-    a group of copies of any size is a link a copy. Links are verified on the sets; where one fails, the sets of its group of
+    a group of copies of any size is a few links a copy. Links are verified on the sets; where one fails, the sets of its group of
     candidates are compared with each other, so that no group hangs on the choice of the forest.
     """
     rows = store(_sets(docs.withColumn("doc_id", F.col(doc_id).cast("long")), key, text), "sets")
@@ -481,7 +488,11 @@ def near_groups(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "
     parts, chosen, counts = _wide_plan(nodes, n, width)
     bits, p = 64 * CHECK_LANES, _apart(SIMILARITY)
     limit = int(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
-    first = store(_probed(nodes, n, parts, chosen, counts, bits // 8).groupBy("cell").applyInArrow(_cell_links(limit), "u long, v long").distinct(), "pairs")
+    found = _probed(nodes, n, parts, chosen, counts, bits // 8).groupBy("cell").applyInArrow(_cell_links(limit), "u long, v long").distinct()
+    # A document found in many cells hangs on the least of those it was found with, and these hang on it too: about a link a document.
+    least = F.min("v").over(Window.partitionBy("u"))
+    hung = found.withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    first = store(hung.distinct(), "pairs")
     asked = store(first.select(F.col("u").alias("node")).union(first.select(F.col("v").alias("node"))).distinct(), "asked")
     sets = _packed_sets(docs, asked, key, text)
     told = store(_verified(first, sets), "told")
