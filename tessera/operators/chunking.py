@@ -27,7 +27,7 @@ SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n_lines, CAST(sum
 @sql
 def heading_label(d):
     return f"""WITH l AS (SELECT doc_id, {d.each_at(d.lines('text'), 'pos', 'line')} FROM {d.table('documents')})
-SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN length(line) <= 40 THEN trim({d.rx_sub('line', '^[ \\t]*#+', '')}) ELSE {d.rx_get('line', '^[0-9.]*', 0)} END AS label FROM l WHERE pos < 3"""
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN length(line) <= 40 THEN trim({d.rx_sub('line', '^[ \\t]*#+', '')}) ELSE {d.rx_get('line', '^[0-9.]*', 0)} END AS label FROM l"""
 
 
 @sql

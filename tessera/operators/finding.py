@@ -9,7 +9,7 @@ def hits(d):
     """Chunks of each query with a score: pairs of close vectors, documents as their sources."""
     e = d.table("embeddings")
     return f"""h AS (SELECT q.vec_id AS query_id, x.source AS doc, x.lang AS page, c.vec_id AS chunk_id, round({d.dot('q.embedding', 'c.embedding')}, 6) AS score
-FROM {e} c JOIN {d.table('documents')} x ON x.doc_id = c.vec_id JOIN {e} q ON q.vec_id < 20),
+FROM {e} c JOIN {d.table('documents')} x ON x.doc_id = c.vec_id JOIN {e} q ON q.vec_id % 50 = 0),
 pool AS (SELECT * FROM (SELECT h.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rk FROM h) z WHERE rk <= 60)"""
 
 
@@ -30,8 +30,8 @@ SELECT query_id, doc, page, CAST(first_hit AS BIGINT) AS first_hit, best, CAST(g
 @sql
 def name_hits(d):
     """Documents whose name holds at least two of an item's words (or its only one); the five first."""
-    return f"""WITH q AS (SELECT item_id, {d.each(d.distinct(d.slice(d.words('lower(text)'), 1, 6)), 'w')} FROM {d.table('benchmark')}), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
-x AS (SELECT doc_id, {d.each(d.distinct(d.words('lower(substring(text, 1, 60))')), 'w')} FROM {d.table('documents')}), m AS (SELECT q.item_id, x.doc_id, count(*) AS hits FROM q JOIN x ON x.w = q.w GROUP BY q.item_id, x.doc_id),
+    return f"""WITH q AS (SELECT item_id, {d.each(d.distinct(d.words("lower(text)")), 'w')} FROM {d.table('benchmark')}), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
+x AS (SELECT doc_id, {d.each(d.distinct(d.words('lower(text)')), 'w')} FROM {d.table('documents')}), m AS (SELECT q.item_id, x.doc_id, count(*) AS hits FROM q JOIN x ON x.w = q.w GROUP BY q.item_id, x.doc_id),
 r AS (SELECT m.item_id, m.doc_id, m.hits, row_number() OVER (PARTITION BY m.item_id ORDER BY m.hits DESC, m.doc_id) AS k FROM m JOIN n ON n.item_id = m.item_id WHERE m.hits >= least(2, n.n))
 SELECT item_id, doc_id, hits FROM r WHERE k <= 5"""
 
@@ -56,7 +56,7 @@ SELECT coalesce(w.doc, f.doc) AS doc, CASE WHEN w.mask = 7 THEN 1 WHEN w.mask >
 
 @sql
 def find_doc_pages(d):
-    return f"""WITH p AS (SELECT source AS doc, lang AS page, {d.at_least_count("contains(lower(text), 'the')")} AS hits FROM {d.table('documents')} WHERE source IN ('src1', 'src2', 'src3') GROUP BY source, lang)
+    return f"""WITH p AS (SELECT source AS doc, lang AS page, {d.at_least_count("contains(lower(text), 'the')")} AS hits FROM {d.table('documents')} GROUP BY source, lang)
 SELECT doc, page, hits, CAST(row_number() OVER (PARTITION BY doc ORDER BY hits DESC, page) AS BIGINT) AS place FROM p WHERE hits > 0"""
 
 
@@ -99,7 +99,7 @@ FROM x JOIN g ON g.head = x.head JOIN x f ON f.doc_id = g.first_doc WHERE x.doc_
 @sql
 def similar_collapse(d):
     return f"""WITH r AS (SELECT doc_id, md5(text) AS h, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM {d.table('documents')})
-SELECT min(doc_id) AS doc_id, {d.ordered('CAST(doc_id AS STRING)', 'doc_id', ',')} AS folded, count(*) AS n FROM r WHERE k <= 20 GROUP BY h HAVING count(*) > 1"""
+SELECT min(doc_id) AS doc_id, {d.ordered('CAST(doc_id AS STRING)', 'doc_id', ',')} AS folded, count(*) AS n FROM r GROUP BY h HAVING count(*) > 1"""
 
 
 @sql

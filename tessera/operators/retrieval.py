@@ -29,8 +29,8 @@ def read(spark: SparkSession, d: str, t: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
-    """query_id and its distinct terms, from the first eight words of each benchmark item."""
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.slice(words(F.col("text")), 1, 8)).alias("terms"))
+    """query_id and its distinct terms: those of a whole benchmark item."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(words(F.col("text"))).alias("terms"))
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ _TOKENS = "list_filter(string_split_regex(trim(text), '[ \\t\\n\\x0b\\f\\r]+'),
 BM25_SQL = f"""
 tok AS (SELECT doc_id AS chunk_id, len({_TOKENS}) AS dl, unnest({_TOKENS}) AS term FROM documents),
 stats AS (SELECT count(*) AS n, avg(len({_TOKENS})) AS avgdl FROM documents),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(list_slice({_TOKENS}, 1, 8))) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark),
 post AS (SELECT chunk_id, dl, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT query_id, chunk_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
@@ -101,10 +101,10 @@ def vectors(spark, d):
 
 
 def vector_queries(spark, d):
-    return vectors(spark, d).where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
+    return vectors(spark, d).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
 
 
-_DENSE = "dn AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b {join} WHERE a.vec_id < 20), dntop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 10)"
+_DENSE = "dn AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b {join} WHERE a.vec_id % 50 = 0), dntop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 10)"
 
 
 @frame(f"WITH {_DENSE.format(join='')} SELECT * FROM dntop")
@@ -133,12 +133,12 @@ def fused(lists: list[DataFrame]) -> DataFrame:
 def query_vectors(spark, d):
     """Vector queries of the text queries: the embedding with the item's number."""
     v, q = vectors(spark, d), text_queries(spark, d)
-    return v.join(F.broadcast(q.select("query_id")), v.chunk_id == F.col("query_id")).where("query_id < 200").select("query_id", F.col("v").alias("q"))
+    return v.join(F.broadcast(q.select("query_id")), v.chunk_id == F.col("query_id")).select("query_id", F.col("v").alias("q"))
 
 
 _HYBRID = f"""{BM25_SQL},
 dn AS (SELECT i.item_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
-       FROM benchmark i JOIN embeddings a ON a.vec_id = i.item_id, embeddings b JOIN documents x ON x.doc_id = b.vec_id WHERE i.item_id < 200),
+       FROM benchmark i JOIN embeddings a ON a.vec_id = i.item_id, embeddings b JOIN documents x ON x.doc_id = b.vec_id),
 dntop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn QUALIFY rank <= 10),
 f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(l * 1000 + rank) AS first_seen
       FROM (SELECT query_id, chunk_id, rank, 0 AS l FROM dntop UNION ALL SELECT query_id, chunk_id, rank, 1 FROM bmtop) GROUP BY 1, 2),
@@ -247,7 +247,7 @@ def prompt_context(d):
     """Evidence of a query as one text, best last."""
     t = d.table("documents")
     return f"""WITH {ranked(d)}, p AS (SELECT qid, cid, rk FROM r WHERE rk <= 3)
-SELECT qid, {d.ordered("concat('[', CAST(4 - rk AS STRING), '] ', substring(x.text, 1, 80))", "-rk", "; ")} AS context FROM p JOIN {t} x ON x.doc_id = cid GROUP BY qid"""
+SELECT qid, {d.ordered("concat('[', CAST(4 - rk AS STRING), '] ', x.text)", "-rk", "; ")} AS context FROM p JOIN {t} x ON x.doc_id = cid GROUP BY qid"""
 
 
 @sql
@@ -272,7 +272,7 @@ def doc_max_scan(d):
     """Best score of each source document for each query vector, with the chunk that has it, and its number of chunks."""
     e, t = d.table("embeddings"), d.table("documents")
     return f"""WITH s AS (SELECT q.vec_id AS query_id, x.source, c.vec_id AS chunk_id, round({d.dot('q.embedding', 'c.embedding')}, 6) AS score
-FROM {e} c JOIN {t} x ON x.doc_id = c.vec_id JOIN {e} q ON q.vec_id < 20),
+FROM {e} c JOIN {t} x ON x.doc_id = c.vec_id JOIN {e} q ON q.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS rn, count(*) OVER (PARTITION BY query_id, source) AS n_chunks FROM s)
 SELECT query_id, source, chunk_id AS best_chunk, score, CAST(n_chunks AS BIGINT) AS n_chunks FROM k WHERE rn = 1"""
 
@@ -334,7 +334,7 @@ def bm25_incremental(d):
     w = lambda c: f"SELECT doc_id, {d.each(d.distinct(d.words('text')), 'term')} FROM {t} WHERE {c}"
     return f"""WITH base AS ({w('doc_id % 10 < 8')}), delta AS ({w('doc_id % 10 >= 8')}),
 live AS (SELECT * FROM base WHERE doc_id % 17 <> 0 UNION ALL SELECT * FROM delta)
-SELECT term, count(*) AS df FROM live GROUP BY term HAVING count(*) > 1"""
+SELECT term, count(*) AS df FROM live GROUP BY term"""
 
 
 @sql

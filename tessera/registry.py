@@ -30,9 +30,9 @@ def frame(oracle: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tessera.functions import metadata, text  # noqa: F401
-    from tessera.operators import chunking, evaluation, finding, incremental, retrieval, rewriting, sequential  # noqa: F401
-    from tessera.sources import files  # noqa: F401
+    from tessera.functions import answers, metadata, phrases, text  # noqa: F401
+    from tessera.operators import chunk_plan, chunking, evaluation, finding, incremental, index, retrieval, rewriting, rules, sequential  # noqa: F401
+    from tessera.sources import files, parsing  # noqa: F401
     from tessera.streaming import windows  # noqa: F401
 
 
