@@ -9,8 +9,10 @@ WS = r"\s+"
 
 @sql
 def sanitize_text(d):
-    bad = "[\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]"
-    return f"SELECT doc_id, md5({d.rx_sub('text', bad, ' ')}) AS clean_md5, CAST({d.size(d.rx_all('text', bad))} AS BIGINT) AS dropped FROM {d.table('documents')}"
+    """Non-characters and private-use characters become spaces; each document is read as it is and with one of each put in (UTF-8 holds no lone surrogates)."""
+    bad = "[\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}\\x{F000}-\\x{F8FF}]"
+    t = "concat(text, CASE WHEN doc_id % 2 = 1 THEN '\uf0b7x\ufdd0' ELSE '' END)"
+    return f"SELECT doc_id, md5({d.rx_sub(t, bad, ' ')}) AS clean_md5, CAST({d.size(d.rx_all(t, bad))} AS BIGINT) AS dropped FROM {d.table('documents')}"
 
 
 @sql
@@ -22,7 +24,9 @@ def clean_body(d):
 
 @sql
 def body_key(d):
-    bare = d.rx_sub("text", WS, "")
+    """The same under every prefix line [title > section], which is cut before the hash; every third document has one."""
+    t = "concat(CASE WHEN doc_id % 3 = 0 THEN concat('[', source, ' > ', lang, ']', chr(10)) ELSE '' END, text)"
+    bare = d.rx_sub(d.rx_sub(t, "^" + chr(92) + "[[^" + chr(92) + "]]*" + chr(92) + "]" + chr(92) + "n", ""), WS, "")
     return f"SELECT doc_id, CASE WHEN length({bare}) >= 40 THEN md5({bare}) END AS body_key FROM {d.table('documents')}"
 
 
@@ -46,7 +50,6 @@ def render_table(d):
 @sql
 def table_header(d):
     """A row of cells is a header if at least two are named and none is a number."""
-    cells = d.filter(d.map("split_part_list", "c", "trim(c)"), "c", "c <> ''") if False else None  # noqa: F841
     split = "split(line, r'\\|')" if d.name == "spark" else "string_split(line, '|')"
     named = d.filter("cells", "c", d.rx_has("c", "[^0-9.,% -]"))
     number = d.some_of("cells", "c", d.rx_has("c", "^[0-9.,% -]+$"))

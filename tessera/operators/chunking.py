@@ -50,13 +50,13 @@ SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(one AS BIGINT) AS one, CAST(CASE
 
 @sql
 def chunk_fixed(d):
-    """Windows of 128 words, 112 apart, none shorter than 16 but a text's only one; the last reaches the end."""
+    """Windows of 128 words, 112 apart, none shorter than 16, a lone one neither; the last reaches the end."""
     step = SIZE - OVERLAP
     starts = d.sequence("0", f"greatest(n - 1 - {OVERLAP}, 0)", str(step))
     return f"""WITH w AS (SELECT doc_id, {d.words('text')} AS t FROM {d.table('documents')}), s AS (SELECT doc_id, t, {d.size('t')} AS n FROM w),
 c AS (SELECT doc_id, t, n, {d.each(starts, 'pos0')} FROM s WHERE n > 0)
 SELECT doc_id, CAST(pos0 AS BIGINT) AS start, CAST(least({SIZE}, n - pos0) AS BIGINT) AS n_words, md5({d.join(d.slice('t', 'CAST(pos0 AS INT) + 1', SIZE), ' ')}) AS chunk_md5
-FROM c WHERE least({SIZE}, n - pos0) >= {LEAST} OR pos0 = 0"""
+FROM c WHERE least({SIZE}, n - pos0) >= {LEAST}"""
 
 
 @sql

@@ -50,8 +50,9 @@ def scan_words(d):
 def find_all(d):
     """Tiers: all words 1, some 2, similar only 3; full outer join of word scan and vector hits."""
     bits = " | ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {1 << k} ELSE 0 END" for k, w in enumerate(WORDS[:3]))
-    return f"""WITH {hits(d)}, w AS (SELECT source AS doc, bit_or(CAST({bits} AS BIGINT)) AS mask, count(*) AS n FROM {d.table('documents')} GROUP BY source), f AS (SELECT doc, max(score) AS score FROM pool WHERE query_id = 0 GROUP BY doc)
-SELECT coalesce(w.doc, f.doc) AS doc, CASE WHEN w.mask = 7 THEN 1 WHEN w.mask > 0 THEN 2 ELSE 3 END AS tier, f.score, w.n FROM w FULL OUTER JOIN f ON f.doc = w.doc"""
+    return f"""WITH {hits(d)}, w AS (SELECT source AS doc, bit_or(CAST({bits} AS BIGINT)) AS mask, count(*) AS n FROM {d.table('documents')} GROUP BY source), f AS (SELECT query_id, doc, max(score) AS score FROM pool GROUP BY query_id, doc),
+a AS (SELECT q.query_id, w.doc, w.mask, w.n FROM w JOIN (SELECT vec_id AS query_id FROM {d.table('embeddings')} WHERE vec_id % 50 = 0) q ON w.mask > 0)
+SELECT coalesce(a.query_id, f.query_id) AS query_id, coalesce(a.doc, f.doc) AS doc, CASE WHEN a.mask = 7 THEN 1 WHEN a.mask > 0 THEN 2 ELSE 3 END AS tier, f.score, a.n FROM a FULL OUTER JOIN f ON f.doc = a.doc AND f.query_id = a.query_id"""
 
 
 @sql

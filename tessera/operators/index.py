@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import K1, B, small, words
+from tessera.operators.retrieval import K1, B, bounded, words
 from tessera.registry import frame
 
 VERSION, BUCKETS, MERGE_SHARE = 1, 64, 0.05
@@ -116,12 +116,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     live = spark.read.parquet(f"{path}/live-{said['live']}")
     stats = live.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    n_asked = asked.count()
     buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # BUCKETS rows at most
     held = None
     for name in said["postings"]:
         own = spark.read.parquet(f"{path}/postings-{name}").where(F.col("bucket").isin(buckets))
         held = own if held is None else held.unionByName(own)
-    found = held.join(small(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi")
+    found = held.join(bounded(asked.select("bucket", "term").distinct(), n_asked), ["bucket", "term"], "left_semi")
     found = found.join(live.select("chunk_id", "h"), ["chunk_id", "h"], "left_semi")
     if len(said["postings"]) > 1:  # a text that went and came back lies in two generations
         found = found.dropDuplicates(["chunk_id", "term"])
@@ -129,8 +130,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     n, mean = F.lit(float(stats["n"])), F.lit(float(stats["avgdl"] or 1))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    scored = found.join(small(df), "term").select("chunk_id", "term", weight.alias("w"))
-    return scored.join(small(asked.select("query_id", "term")), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+    scored = found.join(bounded(df, n_asked), "term").select("chunk_id", "term", weight.alias("w"))
+    return scored.join(bounded(asked.select("query_id", "term"), n_asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
 
 
 def shared_path(spark: SparkSession) -> str:

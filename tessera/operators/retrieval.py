@@ -6,6 +6,8 @@ top-k rows move. Statistics (documents, frequencies, mean length) come from the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ K1, B, RRF_K, FIRST_K, TOP_K = 1.5, 0.75, 60, 10, 3
 SMALL_ROWS = 200_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows; else Catalyst chooses."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it is known to have at most rows rows and these are few: its plan is not run to count them."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
 def words(text):
@@ -28,6 +30,12 @@ def read(spark: SparkSession, d: str, t: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{t}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer than these; the rows are the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
     """query_id and its distinct terms: those of a whole benchmark item."""
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(words(F.col("text"))).alias("terms"))
@@ -38,17 +46,19 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
     Only postings of query terms leave the scan: their table is semi-joined by the broadcast terms before it is aggregated.
     """
-    asked = small(queries.select("query_id", F.explode("terms").alias("term")))
+    asked = queries.select("query_id", F.explode("terms").alias("term"))
+    n_asked = asked.count()
+    asked = bounded(asked, n_asked)
     # Split below the generator: a length taken beside explode() would be computed for every term.
     tokens = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     stats = chunks.select(F.size(words(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    wanted = tokens.join(small(asked.select("term").distinct()), "term", "left_semi")
+    wanted = tokens.join(bounded(asked.select("term").distinct(), n_asked), "term", "left_semi")
     postings = wanted.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = F.lit(float(stats["n"])), F.lit(float(stats["avgdl"] or 1))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = postings.join(F.broadcast(df), "term").select("chunk_id", "term", weight.alias("w"))  # df: at most a row a query term
+    scored = postings.join(bounded(df, n_asked), "term").select("chunk_id", "term", weight.alias("w"))
     return scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
 
 
@@ -59,19 +69,21 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 _TOKENS = "list_filter(string_split_regex(trim(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
 BM25_SQL = f"""
-tok AS (SELECT doc_id AS chunk_id, len({_TOKENS}) AS dl, unnest({_TOKENS}) AS term FROM documents),
-stats AS (SELECT count(*) AS n, avg(len({_TOKENS})) AS avgdl FROM documents),
-q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark),
-post AS (SELECT chunk_id, dl, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+parted AS MATERIALIZED (SELECT doc_id AS chunk_id, {_TOKENS} AS w FROM documents),
+sized AS MATERIALIZED (SELECT chunk_id, len(w) AS dl, w FROM parted),
+tok AS MATERIALIZED (SELECT chunk_id, dl, unnest(w) AS term FROM sized),
+stats AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM sized),
+q AS MATERIALIZED (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark),
+post AS MATERIALIZED (SELECT chunk_id, dl, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS (SELECT query_id, chunk_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
        FROM q JOIN post USING (term) JOIN df USING (term), stats GROUP BY query_id, chunk_id),
-bmtop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 10)
+bmtop AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 10)
 """
 
 
 def corpus(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    return spread(read(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), "text", "source")
 
 
 @frame(f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, rank FROM bmtop")
@@ -86,14 +98,53 @@ def bm25_scoped(spark, d):
     return top(bm25_scores(corpus(spark, d), text_queries(spark, d)).join(inside, "chunk_id", "left_semi").select("query_id", "chunk_id", "score"), FIRST_K)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of unit vectors: queries (query_id, q), few, against vectors (chunk_id, v); pending ones have no vector."""
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    listed = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("qs")).first()["qs"]
-    if len(listed) > 1000:
-        raise ValueError("more than 1,000 vector queries at once: run them in blocks")
-    literal = F.array(*(F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit([float(x) for x in r["q"]]).cast("array<double>").alias("q")) for r in listed))
-    return vectors.where("v IS NOT NULL").select("chunk_id", "v", F.explode(literal).alias("e")).select("e.query_id", "chunk_id", "v", "e.q").select("query_id", "chunk_id", F.round(dot, 6).alias("score"))
+#: Vector queries that meet the vectors at once.
+QUERY_BLOCK = 1024
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k nearest by cosine of unit vectors for queries (query_id, q) over vectors (chunk_id, v); pending ones have no vector.
+
+    Queries go out in blocks of about QUERY_BLOCK, of bounded size; a block meets each batch of vectors as a product of two matrices, and a batch
+    tells k rows a query. Vectors of another length than the query's never rank.
+    """
+    queries = queries.where("q IS NOT NULL")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        held = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "q").toArrow()
+        own = vectors.where("v IS NOT NULL").select("chunk_id", "v").mapInArrow(_nearest(held, k), "query_id long, chunk_id long, score double")
+        found = own if found is None else found.unionByName(own)
+    return top(found.withColumn("score", F.round("score", 6)), k)
+
+
+def _nearest(held: pa.Table, k: int):
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    ids = held.column("query_id").to_numpy().astype(np.int64)
+    rows = [np.array(x, np.float64) for x in held.column("q").to_pylist()]
+    for n in {len(x) for x in rows}:
+        own = [j for j, x in enumerate(rows) if len(x) == n]
+        by_size[n] = ids[own], np.stack([rows[j] for j in own])
+
+    def run(batches):
+        for batch in batches:
+            chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = batch.column("v")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = np.cumsum(sizes) - sizes
+            for n, (q_ids, q) in by_size.items():
+                at = np.flatnonzero(sizes == n)
+                if not len(at):
+                    continue
+                scores = q @ flat[starts[at][:, None] + np.arange(n)].T
+                shown = np.round(scores, 6)
+                # Ties at the k-th place stay all: the last ranking settles them by chunk.
+                least = np.partition(shown, -k, axis=1)[:, -k] if len(at) > k else np.full(len(q), -np.inf)
+                row, column = np.nonzero(shown >= least[:, None])
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[row]), "chunk_id": pa.array(chunk[at[column]]), "score": pa.array(scores[row, column])})
+
+    return run
 
 
 def vectors(spark, d):
@@ -109,14 +160,14 @@ _DENSE = "dn AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_d
 
 @frame(f"WITH {_DENSE.format(join='')} SELECT * FROM dntop")
 def dense_topk(spark, d):
-    return top(dense_scores(vectors(spark, d), vector_queries(spark, d)), FIRST_K)
+    return dense_top(vectors(spark, d), vector_queries(spark, d), FIRST_K)
 
 
 @frame(f"WITH {_DENSE.format(join='JOIN documents x ON x.doc_id = b.vec_id')} SELECT * FROM dntop")
 def dense_pending(spark, d):
     """Vectors of known chunks alone; chunks without a vector never rank."""
     known = corpus(spark, d).select("chunk_id")
-    return top(dense_scores(vectors(spark, d).join(known, "chunk_id", "left_semi"), vector_queries(spark, d)), FIRST_K)
+    return dense_top(vectors(spark, d).join(known, "chunk_id", "left_semi"), vector_queries(spark, d), FIRST_K)
 
 
 def fused(lists: list[DataFrame]) -> DataFrame:
@@ -133,7 +184,7 @@ def fused(lists: list[DataFrame]) -> DataFrame:
 def query_vectors(spark, d):
     """Vector queries of the text queries: the embedding with the item's number."""
     v, q = vectors(spark, d), text_queries(spark, d)
-    return v.join(F.broadcast(q.select("query_id")), v.chunk_id == F.col("query_id")).select("query_id", F.col("v").alias("q"))
+    return v.join(q.select("query_id"), v.chunk_id == F.col("query_id")).select("query_id", F.col("v").alias("q"))
 
 
 _HYBRID = f"""{BM25_SQL},
@@ -147,7 +198,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f
 
 def first_stage(spark, d) -> DataFrame:
     known = corpus(spark, d).select("chunk_id")
-    dense = top(dense_scores(vectors(spark, d).join(known, "chunk_id", "left_semi"), query_vectors(spark, d)), FIRST_K)
+    dense = dense_top(vectors(spark, d).join(known, "chunk_id", "left_semi"), query_vectors(spark, d), FIRST_K)
     return fused([dense, bm25_topk(spark, d)])
 
 
@@ -178,7 +229,7 @@ SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER
 def hybrid_search(spark, d):
     """Dense and BM25 lists, fused, texts joined after the top-k, copies last, three pieces of evidence a query."""
     ranked = first_stage(spark, d)
-    found = corpus(spark, d).join(F.broadcast(ranked), "chunk_id").select("query_id", "chunk_id", "score", "rank", dedup_key(F.col("text")).alias("key"))
+    found = corpus(spark, d).join(bounded(ranked, 2 * FIRST_K * read(spark, d, "benchmark").count()), "chunk_id").select("query_id", "chunk_id", "score", "rank", dedup_key(F.col("text")).alias("key"))
     return dedup_backfill(found, TOP_K).select("query_id", "chunk_id", "score", "place")
 
 
@@ -190,7 +241,7 @@ SELECT query_id, chunk_id, dup_no, row_number() OVER (PARTITION BY query_id ORDE
 )
 def dedup_evidence(spark, d):
     ranked = bm25_topk(spark, d)
-    found = corpus(spark, d).join(F.broadcast(ranked), "chunk_id").select("query_id", "chunk_id", "rank", dedup_key(F.col("text")).alias("key"))
+    found = corpus(spark, d).join(bounded(ranked, 2 * FIRST_K * read(spark, d, "benchmark").count()), "chunk_id").select("query_id", "chunk_id", "rank", dedup_key(F.col("text")).alias("key"))
     return dedup_backfill(found, 5).select("query_id", "chunk_id", "dup_no", "place")
 
 

@@ -218,6 +218,8 @@ class Duck(Spark):
 
 
 SPARK, DUCK = Spark(), Duck()
+#: Tables whose rows take long to read word by word.
+TEXTS = {"documents", "pages"}
 
 
 def run(spark, sf_dir: str, text: str):
@@ -226,5 +228,9 @@ def run(spark, sf_dir: str, text: str):
 
     tag = f"{zlib.crc32(sf_dir.encode()):08x}"
     for name in sorted(set(re.findall(r"\$([a-z]+)\b(?!\.)", text))):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"{name}_{tag}")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        if name in TEXTS and len(table.inputFiles()) < cores:  # a few files of texts would leave most cores idle
+            table = table.repartition(cores)
+        table.createOrReplaceTempView(f"{name}_{tag}")
     return spark.sql(re.sub(r"\$([a-z]+)\b", lambda m: f"{m[1]}_{tag}", text))

@@ -64,7 +64,8 @@ def skip_folders(d):
 @sql
 def edge_lines(d):
     """Lines that stand first or last in several documents of a source: headers and footers."""
-    return f"""WITH l AS (SELECT source, doc_id, {d.each_at(d.lines('text'), 'pos', 'line')} FROM {d.table('documents')}) SELECT source, md5(line) AS line_md5, count(DISTINCT doc_id) AS docs FROM l WHERE pos = 0 GROUP BY source, md5(line) HAVING count(DISTINCT doc_id) >= 2"""
+    return f"""WITH l AS (SELECT source, doc_id, {d.each_at(d.lines('text'), 'pos', 'line')} FROM {d.table('documents')}) , e AS (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM l)
+SELECT source, md5(line) AS line_md5, {d.at_least_count('pos = 0')} AS heads, {d.at_least_count('pos = last')} AS feet, count(DISTINCT doc_id) AS docs FROM e WHERE pos = 0 OR pos = last GROUP BY source, md5(line) HAVING count(DISTINCT doc_id) >= 2"""
 
 
 @sql
