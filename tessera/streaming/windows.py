@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.registry import sql
+from tessera.registry import frame, sql
 
 
 @sql
@@ -82,3 +82,44 @@ def stream_accepted(events: DataFrame, seconds: float = 600.0) -> DataFrame:
         yield pd.DataFrame({"event_id": pd.Series(kept, dtype="int64"), "user_id": key[0], "event_type": key[1]})
 
     return events.groupBy("user_id", "event_type").applyInPandasWithState(accept, "event_id long, user_id long, event_type string", "last double", "append", "ProcessingTimeTimeout")
+
+
+def _streamed(spark, d, make, mode: str) -> DataFrame:
+    """Read the events table as a stream to its end, and give what `make` wrote; state and output lie below the shared folder."""
+    from tessera.operators.index import shared_path
+
+    path = shared_path(spark)
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = make(events)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/{'all' if mode == 'complete' else number}")
+
+    # One batch: a stream with processing-time timeouts always has another to run, and would not end by itself.
+    started = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(once=True).foreachBatch(put).start()
+    started.awaitTermination()
+    return spark.read.schema(out.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
+
+
+@frame("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def streamed_counts(spark, d):
+    """The hourly counts by the stream, read to its end."""
+    return _streamed(spark, d, stream_counts, "complete").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@frame()
+def streamed_accepted(spark, d):
+    """Events that the stream accepts: each ten minutes or more after the last accepted one of its user and type."""
+    return _streamed(spark, d, stream_accepted, "append")
+
+
+@frame()
+def accepted_events(spark, d):
+    """The batch form of streamed_accepted: a fold over each key's events in order of time."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", F.struct(at.alias("at"), "event_id").alias("e"))
+    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    step = lambda s, e: F.when(e["at"] - s["last"] >= 600, F.struct(e["at"].alias("last"), F.concat(s["kept"], F.array(e["event_id"])).alias("kept"))).otherwise(s)
+    kept = rows.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("e")).alias("es")).select("user_id", "event_type", F.aggregate("es", start, step)["kept"].alias("kept"))
+    return kept.select(F.explode("kept").alias("event_id"), "user_id", "event_type")
