@@ -1,6 +1,6 @@
-"""Parsers from file contents to blocks (inventory S7, S9-S11, S15-S19, S32).
+"""Parsers from file contents to blocks (inventory S7, S9-S12, S15-S19, S32).
 
-A block is (kind, level, text): kind is heading, para, item, code or table; level is that of a heading or list item. A table's text is
+A block is (kind, level, text): kind is heading, para, item, code, table or note; level is that of a heading or list item. A table's text is
 its rendered rows. Each parser takes bytes; parsed() runs them over (path, content) rows in Arrow batches, a file a row, so that
 a task holds one batch of files and nothing moves. Nulls: a null content is an empty file. A file that its parser cannot
 read falls back to its decoded text as paragraphs, with the reason in `note`.
@@ -350,9 +350,116 @@ def xlsx_blocks_of(content: bytes) -> list[Block]:
     return out
 
 
+# HWPX: a ZIP of Korean word processor XML
+
+# The shapes of paragraphs that make headings and list items, and elements that stand for a character.
+HWPX_SHAPES = {"OUTLINE": "heading", "NUMBER": "item", "BULLET": "item"}
+HWPX_CHARACTERS = {"tab": "\t", "lineBreak": "\n", "fwSpace": " ", "nbSpace": " ", "hyphen": " "}
+
+
+def _number(e, name: str, other: int) -> int:
+    value = _value(e, name) if e is not None else None
+    return int(value) if value and value.isdigit() else other
+
+
+def _first(e, name: str):
+    return next((x for x in e if _local(x) == name), None)
+
+
+def _inner(e):
+    """Paragraphs of the outermost lists under an element."""
+    for x in e:
+        if _local(x) == "subList":
+            yield from (p for p in x if _local(p) == "p")
+        else:
+            yield from _inner(x)
+
+
+def _hwpx_table(table, shapes, notes) -> tuple[int, str]:
+    """(header rows, rendered rows): cells by their addresses; text repeats down a merge, and of a wide cell its first column has it."""
+    grid: dict[tuple[int, int], str] = {}
+    plain: set[int] = set()
+    for r, row in enumerate(x for x in table if _local(x) == "tr"):
+        column = 0
+        for cell in (x for x in row if _local(x) == "tc"):
+            at, span = _first(cell, "cellAddr"), _first(cell, "cellSpan")
+            top, left = _number(at, "rowAddr", r), _number(at, "colAddr", column)
+            down, right = min(_number(span, "rowSpan", 1), 200), min(_number(span, "colSpan", 1), 60)
+            column = left + right
+            if _value(cell, "header") not in ("1", "true"):
+                plain.add(top)
+            # A table in the cell goes on as lines of words.
+            lines = [t.replace("|", " ") if kind == "table" else t for p in _inner(cell) for kind, _, t in _hwpx_paragraph(p, shapes, notes)]
+            for y in range(top, top + down):
+                grid |= {(y, x): "\n".join(lines) if x == left else "" for x in range(left, left + right)}
+    height, width = (max((k[i] for k in grid), default=-1) + 1 for i in (0, 1))
+    named = {y for y, _ in grid}
+    heads = next((y for y in range(height) if y in plain or y not in named), height)
+    return heads, render(finish([[grid.get((y, x), "") for x in range(width)] for y in range(height)]))
+
+
+def _hwpx_paragraph(p, shapes, notes):
+    """Blocks of a paragraph, in order; the text of its footnotes and endnotes goes to notes."""
+    kind, level = shapes.get(_value(p, "paraPrIDRef"), ("para", 0))
+    held: list[str] = []
+
+    def flush():
+        text = "".join(held).strip()
+        held.clear()
+        return [(kind, level, text)] if text else []
+
+    for part in (x for run in p if _local(run) == "run" for x in run):
+        name = _local(part)
+        if name == "t":
+            held.append((part.text or "") + "".join(HWPX_CHARACTERS.get(_local(x), "") + (x.tail or "") for x in part))
+        elif name == "tbl":
+            yield from flush()
+            heads, text = _hwpx_table(part, shapes, notes)
+            if text:
+                yield "table", heads, text
+        elif name == "ctrl":
+            for note in (x for x in part if _local(x) in ("footNote", "endNote")):
+                text = "\n".join(t for q in _inner(note) for _, _, t in _hwpx_paragraph(q, shapes, notes))
+                if text:
+                    notes.append(text)
+        elif name not in ("secPr", "colPr"):
+            inner = list(_inner(part))
+            if inner:
+                yield from flush()
+            for q in inner:
+                yield from _hwpx_paragraph(q, shapes, notes)
+    yield from flush()
+
+
+def hwpx_blocks_of(content: bytes) -> list[Block]:
+    """Paragraphs as headings or items by their shape, tables, text of frames in its place; notes at the end under a heading of their own.
+
+    Running heads are left out, as is a section that is broken while others can be read.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        sections = _numbered(z.namelist(), r"Contents/section(\d+)\.xml")
+        shapes = {}
+        if "Contents/header.xml" in z.namelist():
+            for shape in (x for x in ElementTree.fromstring(z.read("Contents/header.xml")).iter() if _local(x) == "paraPr"):
+                heading = _first(shape, "heading")
+                if heading is not None and (kind := HWPX_SHAPES.get((_value(heading, "type") or "").upper())):
+                    shapes[_value(shape, "id")] = (kind, _number(heading, "level", 0) + 1)
+        roots, fault = [], ValueError("no section")
+        for name in sections:
+            try:
+                roots.append(ElementTree.fromstring(z.read(name)))
+            except ElementTree.ParseError as e:
+                fault = e
+    if not roots:
+        raise fault
+    notes: list[str] = []
+    out = [b for root in roots for p in root if _local(p) == "p" for b in _hwpx_paragraph(p, shapes, notes)]
+    return out + ([("heading", 1, "각주"), *(("note", 0, n) for n in notes)] if notes else [])
+
+
 # Dispatch
 
-PARSERS = {"docx": docx_blocks_of, "pptx": pptx_blocks_of, "xlsx": xlsx_blocks_of, "html": html_blocks_of, "htm": html_blocks_of, "md": lambda c: markdown_blocks_of(decode(c)), "ipynb": notebook_blocks_of}
+PARSERS = {"hwpx": hwpx_blocks_of, "docx": docx_blocks_of, "pptx": pptx_blocks_of, "xlsx": xlsx_blocks_of, "html": html_blocks_of, "htm": html_blocks_of, "md": lambda c: markdown_blocks_of(decode(c)), "ipynb": notebook_blocks_of}
 
 
 def text_blocks_of(content: bytes) -> list[Block]:
