@@ -32,7 +32,7 @@ def frame(oracle: str | None = None) -> Callable:
 def _load() -> None:
     from tessera.functions import answers, metadata, people, phrases, text  # noqa: F401
     from tessera.operators import chunk_plan, chunking, evaluation, finding, incremental, index, retrieval, rewriting, rules, sequential  # noqa: F401
-    from tessera.sources import files, parsing, scanned  # noqa: F401
+    from tessera.sources import edges, files, parsing, properties, scanned  # noqa: F401
     from tessera.streaming import windows  # noqa: F401
 
 

@@ -6,11 +6,14 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.sources.parsing import MEMBERS, _first, _local, _numbered, _text, _value, detect
+from tessera.registry import frame
+from tessera.sources.parsing import MEMBERS, _first, _local, _numbered, _text, _value, detect, parsed
 
 # Names of properties in each format, and ours.
 CORE = {"title": "title", "creator": "author", "lastModifiedBy": "last_saved_by", "created": "created", "modified": "modified"}
@@ -117,3 +120,31 @@ def properties(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def _as_hwpx(text: str, title: str | None, author: str | None) -> bytes:
+    """A small HWPX file with a paragraph a line."""
+    lines = "".join(f"<p><run><t>{escape(line)}</t></run></p>" for line in text.split("\n"))
+    meta = f"<title>{escape(title or '')}</title><meta name='creator'>{escape(author or '')}</meta>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("Contents/content.hpf", f"<package>{meta}</package>")
+        z.writestr("Contents/section0.xml", f"<sec>{lines}</sec>")
+    return out.getvalue()
+
+
+@frame(
+    r"""WITH t AS (SELECT doc_id, nullif(trim(lang), '') AS title, nullif(trim(source), '') AS author, unnest(string_split(regexp_replace(coalesce(text, ''), '[\x00-\x09\x0B-\x1F\x7F-\x9F]', ' ', 'g'), chr(10))) AS line FROM documents),
+b AS (SELECT doc_id, title, author, regexp_replace(line, '[\s\p{Z}]+', '', 'g') AS line FROM t)
+SELECT doc_id, title, author, count(*) FILTER (line <> '')::BIGINT AS n_blocks, sum(length(line))::BIGINT AS n_letters FROM b GROUP BY ALL"""
+)
+def hwpx_files(spark, d):
+    """Each document written as an HWPX file and read back: properties, paragraphs with text, and letters that are no white space."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x09\x0B-\x1F\x7F-\x9F]", " ")
+    files = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".hwpx")).alias("path"), F.udf(_as_hwpx, "binary")(plain, "lang", "source").alias("content"))
+    of_file = F.regexp_replace("path", "[.]hwpx$", "").cast("long")
+    letters = F.length(F.regexp_replace("text", r"[\s\p{Z}]+", ""))
+    blocks = parsed(files).groupBy(of_file.alias("doc_id")).agg(F.count("pos").alias("n_blocks"), F.coalesce(F.sum(letters), F.lit(0)).alias("n_letters"))
+    held = properties(files).select(of_file.alias("doc_id"), F.col("properties")["title"].alias("title"), F.col("properties")["author"].alias("author"))
+    return held.join(blocks, "doc_id")
