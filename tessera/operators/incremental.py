@@ -1,8 +1,11 @@
-"""Incremental indexing (inventory I, S25-S30): differences of two snapshots."""
+"""Incremental indexing (inventory I, S25-S30) and of metadata and index (M23): differences of two snapshots."""
 
 from __future__ import annotations
 
-from tessera.registry import sql
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.registry import frame, sql
 
 
 def snapshots(d):
@@ -123,3 +126,39 @@ df AS (SELECT conv_id, term, count(*) AS df FROM p GROUP BY conv_id, term),
 s AS (SELECT p.conv_id, p.turn, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
  FROM p JOIN q ON q.conv_id = p.conv_id AND q.term = p.term JOIN df ON df.conv_id = p.conv_id AND df.term = p.term JOIN st ON st.conv_id = p.conv_id GROUP BY p.conv_id, p.turn),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS place FROM s) SELECT conv_id, turn, score, CAST(place AS BIGINT) AS place FROM r WHERE place <= 3"""
+
+
+def reconciled(wanted: DataFrame, held: DataFrame, bodies: DataFrame) -> DataFrame:
+    """doc_path, op: what brings stored metadata in line with an index, in one pass.
+
+    wanted (doc_path, content_hash) are the indexed documents, null hash for those that failed; held (doc_path) has metadata; bodies
+    (doc_path, content_hash) have the head of a text. `fill`: wanted and not held. `prune`: held and not wanted. `body`: wanted, of a known
+    hash that differs from the body's, or without one. A document may have two of them. Repeated rows count once; of several hashes the greatest.
+    """
+    w = wanted.where("doc_path IS NOT NULL").groupBy("doc_path").agg(F.max("content_hash").alias("hash"), F.lit(True).alias("is_wanted"))
+    h = held.where("doc_path IS NOT NULL").select("doc_path").distinct().withColumn("is_held", F.lit(True))
+    b = bodies.groupBy("doc_path").agg(F.max("content_hash").alias("body_hash"))
+    both = w.join(h, "doc_path", "full").join(b, "doc_path", "left")
+    ops = F.array_compact(
+        F.array(
+            F.when(F.col("is_held").isNull(), "fill"),
+            F.when(F.col("is_wanted").isNull(), "prune"),
+            F.when(F.col("hash").isNotNull() & ~F.col("hash").eqNullSafe(F.col("body_hash")), "body"),
+        )
+    )
+    return both.select("doc_path", F.explode(ops).alias("op"))
+
+
+@frame(
+    """WITH w AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN md5(text) END AS h FROM documents WHERE doc_id % 11 <> 0), h AS (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0),
+b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(text) END AS h FROM documents WHERE doc_id % 5 <> 0)
+SELECT doc_id AS doc_path, 'fill' AS op FROM (SELECT doc_id FROM w EXCEPT SELECT doc_id FROM h) UNION ALL SELECT doc_id, 'prune' FROM (SELECT doc_id FROM h EXCEPT SELECT doc_id FROM w)
+UNION ALL SELECT doc_id, 'body' FROM (SELECT doc_id, h FROM w WHERE h IS NOT NULL EXCEPT SELECT doc_id, h FROM b)"""
+)
+def reconcile(spark, d):
+    """Documents as an index whose metadata and text heads lag behind."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc_path"), F.md5("text").alias("h"))
+    k = F.col("doc_path")
+    wanted = docs.where(k % 11 != 0).select("doc_path", F.when(k % 13 != 0, F.col("h")).alias("content_hash"))
+    bodies = docs.where(k % 5 != 0).select("doc_path", F.when(k % 7 == 0, "old").otherwise(F.col("h")).alias("content_hash"))
+    return reconciled(wanted, docs.where(k % 9 != 0), bodies)
