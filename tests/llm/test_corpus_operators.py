@@ -378,6 +378,47 @@ def test_quality_without_labels(spark, odd):
     assert kept.columns == odd.columns and kept.count() == sum(not r["base_failed"] for r in got)
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """A mildly bad row that comes last by the hash which once picked 20,000 rows of a label sets the threshold; the forest and the threshold are those of brute force over all rows."""
+    bad = spark.range(1000, 21_100).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(11)).desc(), F.desc("doc_id"))
+    mild = {r[0] for r in bad.limit(5).collect()}
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"{k}x{j}" + "y" * rng.randrange(4) for j in range(60)), 1) for k in range(300)]
+    rows += [(k, " ".join(f"5x{j % 100}{j // 100}y" for j in range(600)) + "#" if k in mild else " ".join(f"#{j}" for j in range(60)), 0) for k in range(1000, 21_100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "quality")
+    got = by_id(quality.query(docs, labels))
+    assert not any(got[k]["kept"] for k, _, q in rows if not q)
+    assert sum(got[k]["kept"] for k, _, q in rows if q) >= 299
+
+    forest, most = quality.fitted(docs, labels)
+    x = quality.features(np.array([quality.counts(t.encode()) for _, t, _ in rows]))
+    good = np.array([q for _, _, q in rows]) == 1
+    ends = np.concatenate([forest.ends(t, x[good]) for t in range(forest.trees)])
+    number = np.bincount(ends, minlength=len(forest.feature))
+    for node in range(len(number) - 1, -1, -1):  # children lie behind their parents
+        if forest.feature[node] >= 0:
+            number[node] = number[forest.left[node]] + number[forest.left[node] + 1]
+            assert number[node] > 1
+    assert (number[: forest.trees] == 300).all()
+    depth = np.zeros(len(number))
+    for node in np.flatnonzero(forest.feature >= 0):
+        depth[forest.left[node]] = depth[forest.left[node] + 1] = depth[node] + 1
+    leaves = forest.feature < 0
+    assert np.allclose(forest.path[leaves], depth[leaves] + quality._mean_path(number[leaves])) and (depth[leaves & (number > 1)] == 16).all()
+    score = forest.score(x)
+    limit = np.quantile(score[good], 1 - quality.FALSE_REJECT, method="higher")
+    assert most == (limit + score[~good & (score > limit)].min()) / 2
+
+
+def test_quality_threshold_is_exact(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.random(9000), np.repeat(rng.random(30), 100), 0.5 + 1e-13 * rng.random(3000)])
+    frame = spark.createDataFrame([(float(x),) for x in values], "score double").repartition(3)
+    for rank in (0, 1, 7000, 9321, len(values) - 1):
+        assert quality.value_at(frame, "score", rank) == np.sort(values)[rank]
+
+
 def brute_backoff(rows, order):
     """log_score, n_backoff, n_words of each row under the counts of the other rows."""
     of = lambda text: [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in WORD.findall(text or "")]
