@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tessera.llm import fingerprints, language_id, line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash, token_store
+from tessera.llm import collocations, fingerprints, language_id, line_dedup, lm_scoring, mixing, packing, quality, secret_scan, sharding, simhash, token_store, variants
 from tessera.llm.common import table
 
 
@@ -28,6 +28,9 @@ QUERIES = {
     "op8_token_store": lambda spark, d: token_store.query(table(spark, d, "documents"), tokenizer_path()),
     "op9_sharding": lambda spark, d: sharding.query(table(spark, d, "documents")),
     "op10_language": lambda spark, d: language_id.query(table(spark, d, "documents")),
+    "op11_collocations": lambda spark, d: collocations.query(table(spark, d, "documents")),
+    "op12_variants": lambda spark, d: variants.query(table(spark, d, "documents")),
+    "op13_secrets": lambda spark, d: secret_scan.query(table(spark, d, "documents")),
 }
 
-ORACLES = {"op5_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op5_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE}
