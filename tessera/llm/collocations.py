@@ -1,7 +1,7 @@
 """Phrase collocations: counts of 1 to 3 words at the slots of perfect hashes over Apriori-safe candidates.
 
 Texts are lower-cased (A-Z), split at marks and line ends into pieces, and these at blanks into words. A phrase is counted where its words
-stand next to each other in a piece. Level by level, mappers read slices of text and name each candidate of a slice once: an n-gram whose
+stand next to each other in a piece. Slices of text are stored once as numbers of their words. Level by level, mappers read them and name each candidate of a slice once: an n-gram whose
 two shorter parts are frequent. What is frequent they see in a bitmap of at most 2**BITS bits, which may let others through but never
 keeps one out. Keys (a 64-bit key and 32 bits to check it, of the words and the language) go, packed, to the shard of their range.
 A shard builds the minimal perfect hash over its candidates, with the checks stored by slot, bincounts each slice's keys into an array
@@ -24,6 +24,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ LEAST, MOST_WORDS, TOP, COVERED = 10, 3, 2000, 50
 SLICE_BYTES, CHUNK, SHARD_BYTES = 16 << 20, 2 << 20, 32 << 20
 #: Bits of a level's bitmap: 64 for each frequent n-gram, as a power of two, at most 2**BITS (32 MB).
 BITS, BLOCK = 28, 15
+#: Parts of a language's phrases that are ranked apart first.
+PARTS = 64
 #: Marks and line ends part pieces, blanks part words.
 PARTED = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -84,33 +87,21 @@ class Words:
             end = len(data) if end < 0 else end
             tokens = (data[at:end] + b"\n").replace(b"\n", b" \n ").split(b" ")
             numbers = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
-            self.read.append(numbers[numbers > -2].astype(np.int32))
+            self.read.append(numbers[numbers > -2].astype("<i4"))
             at = end
 
-    def grams(self, level: int, bits: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Candidates of each level up to level: their words' numbers (a row each), keys and counts."""
-        at = np.concatenate([*self.read, np.array([-1], np.int32)]).astype(np.int64)
-        halves = _halves(list(self.numbers)[2:])
-        words, count = np.unique(at[at >= 0], return_counts=True)
-        keys = _first(self.lang, halves)
-        found = [(words[:, None], keys[words], count)]
-        number, places = np.where(at >= 0, at, -1), np.arange(len(at))  # of each place: the number of the n-gram that begins there
-        grams = np.arange(len(halves))[:, None]
-        for n in range(2, level + 1):
-            frequent = _held(bits[n - 2], keys[:, 0])
-            safe = np.append(frequent, False)[number]
-            places = np.flatnonzero(safe[:-1] & safe[1:])
-            code, index, count = np.unique(number[places] << 32 | at[places + n - 1], return_inverse=True, return_counts=True)
-            begin, last = code >> 32, code & 0xFFFFFFFF
-            keys, grams = _longer(keys[begin], halves[last]), np.concatenate([grams[begin], last[:, None]], axis=1)
-            found.append((grams, keys, count))
-            number = np.full(len(at), -1)
-            number[places] = index
-        return found
-
-
-def _sliced(batches):
-    """The texts of a task as Words of each language, SLICE_BYTES at a time."""
+    def row(self) -> dict:
+        squeeze = zstandard.ZstdCompressor(1).compress
+        return {"lang": self.lang, "words": squeeze(b"\n".join(list(self.numbers)[2:])), "numbers": squeeze(np.concatenate([*self.read, np.array([-1], "<i4")]).tobytes())}
+
+
+def _encoded(batches):
+    """The texts of a task, SLICE_BYTES at a time: a row for each language, its words and their numbers in reading order."""
+
+    def rows(found: dict[str, Words]):
+        for own in found.values():
+            yield pa.RecordBatch.from_pylist([own.row()], pa.schema([("lang", pa.string()), ("words", pa.binary()), ("numbers", pa.binary())]))
+
     open_: dict[str, Words] = {}
     for batch in slices(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), texts(batch, "text"), strict=True):
@@ -118,10 +109,39 @@ def _sliced(batches):
                 own = open_.setdefault(lang, Words(lang))
                 own.add(text)
         if sum(x.size for x in open_.values()) >= SLICE_BYTES:
-            yield open_
+            yield from rows(open_)
             open_ = {}
-    if open_:
-        yield open_
+    yield from rows(open_)
+
+
+def _slices(batches):
+    """lang, words and numbers of each encoded slice."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k].as_py() for name in ("lang", "words", "numbers")}
+            loose = zstandard.ZstdDecompressor().decompress
+            words = loose(row["words"])
+            yield row["lang"], words.split(b"\n") if words else [], np.frombuffer(loose(row["numbers"]), "<i4").astype(np.int64)
+
+
+def _grams(lang: str, words: list[bytes], at: np.ndarray, level: int, bits: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates of each level up to level: their words' numbers (a row each), keys and counts."""
+    halves = _halves(words)
+    own, count = np.unique(at[at >= 0], return_counts=True)
+    keys = _first(lang, halves)
+    found = [(own[:, None], keys[own], count)]
+    number, grams = at, np.arange(len(halves))[:, None]  # number: of the n-gram that begins at each place
+    for n in range(2, level + 1):
+        frequent = _held(bits[n - 2], keys[:, 0])
+        safe = np.append(frequent, False)[number]
+        places = np.flatnonzero(safe[:-1] & safe[1:])
+        code, index, count = np.unique(number[places] << 32 | at[places + n - 1], return_inverse=True, return_counts=True)
+        begin, last = code >> 32, code & 0xFFFFFFFF
+        keys, grams = _longer(keys[begin], halves[last]), np.concatenate([grams[begin], last[:, None]], axis=1)
+        found.append((grams, keys, count))
+        number = np.full(len(at), -1)
+        number[places] = index
+    return found
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray, n_shards: int) -> pa.RecordBatch:
@@ -148,9 +168,8 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _named(level: int, n_shards: int, shared: list):
     def named(batches):
         bits = [x.value for x in shared]
-        for found in _sliced(batches):
-            told = [x.grams(level, bits)[-1] for x in found.values()]
-            keys, counts = np.concatenate([x[1] for x in told]), np.concatenate([x[2] for x in told])
+        for lang, words, at in _slices(batches):
+            _, keys, counts = _grams(lang, words, at, level, bits)[-1]
             if len(keys):
                 yield _packed(keys, counts, n_shards)
 
@@ -255,12 +274,11 @@ def _phrases(level: int, shared: list):
     def phrases(batches):
         """Phrases of two words and more that may be frequent, once a slice."""
         bits = [x.value for x in shared]
-        for found in _sliced(batches):
-            for own in found.values():
-                words = list(own.numbers)[2:]
-                for n, (grams, keys, _) in enumerate(own.grams(level, bits)[1:], 1):
-                    kept = grams[_held(bits[n], keys[:, 0])].tolist()
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([own.lang] * len(kept), pa.string()), "phrase": pa.array([b" ".join(words[k] for k in x) for x in kept], pa.binary()).cast(pa.string())})
+        for lang, words, at in _slices(batches):
+            for n, (grams, keys, _) in enumerate(_grams(lang, words, at, level, bits)[1:], 1):
+                kept = grams[_held(bits[n], keys[:, 0])].tolist()
+                if kept:
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(kept)), "phrase": pa.array([b" ".join(words[k] for k in x) for x in kept], pa.binary()).cast(pa.string())})
 
     return phrases
 
@@ -315,6 +333,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WO
     """lang, phrase, n_words, f (array: the phrase's count, then those of both parts of each cut) of all phrases of 2 to most_words words that stand at least least times."""
     own = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     n_shards = shards(text_size(docs, text)[1], SHARD_BYTES)
+    own = store(own.mapInArrow(_encoded, "lang string, words binary, numbers binary"), "slices")
     indexes, bits = [], []
     for level in range(1, most_words + 1):
         named = own.mapInArrow(_named(level, n_shards, bits), "shard int, keys binary, checks binary, counts binary")
@@ -348,8 +367,10 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("n_words") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("n_words") - n + 1), lambda k: F.array_join(F.slice(words, k, n), " "))))
     longer = counts.where("n_words > 2").select("lang", F.explode(inner).alias("phrase"), a.alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = best.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best_first = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    some = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best_first)  # a language may hold most phrases: only the best of each part meet
+    few = kept.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= top)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).where(F.col("rank") <= top)
     n_words = F.regexp_count(F.col(text), F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"))
     sums = docs.groupBy(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")).agg(F.sum(n_words).cast("long").alias("n"))
     long = [F.col(x).cast("long").alias(x) for x in ("a", "l", "r", "n", "score")]
