@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import K1, B, bounded, words
+from tessera.operators.retrieval import K1, B, bounded, shared_path, words
 from tessera.registry import frame
 
 VERSION, BUCKETS, MERGE_SHARE = 1, 64, 0.05
@@ -134,19 +134,6 @@ def search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     return scored.join(bounded(asked.select("query_id", "term"), n_asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one in a session without a cluster."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir")
-    if not root:
-        if not (conf.get("spark.master") or "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tessera-")
-    return f"{root.rstrip('/')}/tessera-index/{uuid.uuid4().hex}"
-
-
 @frame()
 def bm25_index_topk(spark, d):
     """The top ten of every item from a stored index that was built on nine tenths of the documents and then brought up to all."""

@@ -6,11 +6,14 @@ top-k rows move. Statistics (documents, frequencies, mean length) come from the
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.vectors import doc_max, nearest
+from tessera.plans.dialect import DUCK
 from tessera.registry import frame, sql
 
 K1, B, RRF_K, FIRST_K, TOP_K = 1.5, 0.75, 60, 10, 3
@@ -36,6 +39,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or a temporary one in a session without a cluster."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir")
+    if not root:
+        if not (conf.get("spark.master") or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    return f"{root.rstrip('/')}/tessera-index/{uuid.uuid4().hex}"
+
+
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
     """query_id and its distinct terms: those of a whole benchmark item."""
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(words(F.col("text"))).alias("terms"))
@@ -98,53 +112,12 @@ def bm25_scoped(spark, d):
     return top(bm25_scores(corpus(spark, d), text_queries(spark, d)).join(inside, "chunk_id", "left_semi").select("query_id", "chunk_id", "score"), FIRST_K)
 
 
-#: Vector queries that meet the vectors at once.
-QUERY_BLOCK = 1024
-
-
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k nearest by cosine of unit vectors for queries (query_id, q) over vectors (chunk_id, v); pending ones have no vector.
+    """query_id, chunk_id, score, rank: the k nearest by cosine of unit vectors for queries (query_id, q) over vectors (chunk_id, v).
 
-    Queries go out in blocks of about QUERY_BLOCK, of bounded size; a block meets each batch of vectors as a product of two matrices, and a batch
-    tells k rows a query. Vectors of another length than the query's never rank.
+    Pending chunks have no vector. Vectors of another length than the query's never rank.
     """
-    queries = queries.where("q IS NOT NULL")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        held = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "q").toArrow()
-        own = vectors.where("v IS NOT NULL").select("chunk_id", "v").mapInArrow(_nearest(held, k), "query_id long, chunk_id long, score double")
-        found = own if found is None else found.unionByName(own)
-    return top(found.withColumn("score", F.round("score", 6)), k)
-
-
-def _nearest(held: pa.Table, k: int):
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    ids = held.column("query_id").to_numpy().astype(np.int64)
-    rows = [np.array(x, np.float64) for x in held.column("q").to_pylist()]
-    for n in {len(x) for x in rows}:
-        own = [j for j, x in enumerate(rows) if len(x) == n]
-        by_size[n] = ids[own], np.stack([rows[j] for j in own])
-
-    def run(batches):
-        for batch in batches:
-            chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            lists = batch.column("v")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            starts = np.cumsum(sizes) - sizes
-            for n, (q_ids, q) in by_size.items():
-                at = np.flatnonzero(sizes == n)
-                if not len(at):
-                    continue
-                scores = q @ flat[starts[at][:, None] + np.arange(n)].T
-                shown = np.round(scores, 6)
-                # Ties at the k-th place stay all: the last ranking settles them by chunk.
-                least = np.partition(shown, -k, axis=1)[:, -k] if len(at) > k else np.full(len(q), -np.inf)
-                row, column = np.nonzero(shown >= least[:, None])
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[row]), "chunk_id": pa.array(chunk[at[column]]), "score": pa.array(scores[row, column])})
-
-    return run
+    return top(nearest(vectors, queries, k).withColumn("score", F.round("score", 6)), k)
 
 
 def vectors(spark, d):
@@ -318,16 +291,25 @@ def docs_scope(d):
     return f"SELECT vec_id, label FROM {d.table('embeddings')} WHERE vec_id IN (SELECT doc_id FROM {d.table('documents')} WHERE source IN ('src1', 'src2'))"
 
 
-@sql
-def doc_max_scan(d):
-    """Best score of each source document for each query vector, with the chunk that has it, and its number of chunks."""
-    e, t = d.table("embeddings"), d.table("documents")
-    return f"""WITH s AS (SELECT q.vec_id AS query_id, x.source, c.vec_id AS chunk_id, round({d.dot('q.embedding', 'c.embedding')}, 6) AS score
-FROM {e} c JOIN {t} x ON x.doc_id = c.vec_id JOIN {e} q ON q.vec_id % 50 = 0),
+DOC_MAX_SQL = f"""WITH s AS (SELECT q.vec_id AS query_id, x.source, c.vec_id AS chunk_id, round({DUCK.dot('q.embedding', 'c.embedding')}, 6) AS score
+FROM embeddings c JOIN documents x ON x.doc_id = c.vec_id JOIN embeddings q ON q.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, chunk_id) AS rn, count(*) OVER (PARTITION BY query_id, source) AS n_chunks FROM s)
 SELECT query_id, source, chunk_id AS best_chunk, score, CAST(n_chunks AS BIGINT) AS n_chunks FROM k WHERE rn = 1"""
 
 
+def source_vectors(spark, d) -> DataFrame:
+    """chunk_id, v, doc: vectors of known chunks with their source as the document."""
+    known = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"))
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")).join(known, "chunk_id")
+
+
+@frame(DOC_MAX_SQL)
+def doc_max_scan(spark, d):
+    """Best score of each source document for each query vector, with the chunk that has it, and its number of chunks."""
+    found = doc_max(source_vectors(spark, d), vector_queries(spark, d))
+    return found.select("query_id", F.col("doc").alias("source"), F.col("chunk_id").alias("best_chunk"), F.col("best").alias("score"), F.col("n").alias("n_chunks"))
+
+
 @sql
 def l2_normalize(d):
     return f"SELECT vec_id, round(sqrt({d.dot('embedding', 'embedding')}), 4) AS norm, {d.size('embedding')} AS dims FROM {d.table('embeddings')}"

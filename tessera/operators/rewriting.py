@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.registry import sql
+from pyspark.sql import functions as F
+
+from tessera.operators.retrieval import dense_top, vector_queries, vectors
+from tessera.plans.dialect import DUCK
+from tessera.registry import frame, sql
 
 
 @sql
@@ -40,13 +44,16 @@ def words_and_terms(d):
 SELECT q.item_id, q.word FROM q LEFT JOIN x ON x.doc_id = q.item_id AND x.word = q.word WHERE x.word IS NULL"""
 
 
-@sql
-def synonym_suggest(d):
-    """For each word's vector the three closest terms; votes, best rank and best score over all words."""
-    e = d.table("embeddings")
-    return f"""WITH s AS (SELECT w.vec_id AS word, t.vec_id AS term, round({d.dot('w.embedding', 't.embedding')}, 6) AS score FROM {e} w JOIN {e} t ON w.vec_id % 50 = 0 AND t.vec_id % 50 <> 0),
+@frame(
+    f"""WITH s AS (SELECT w.vec_id AS word, t.vec_id AS term, round({DUCK.dot('w.embedding', 't.embedding')}, 6) AS score FROM embeddings w JOIN embeddings t ON w.vec_id % 50 = 0 AND t.vec_id % 50 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, term) AS rk FROM s)
 SELECT term, count(*) AS votes, CAST(min(rk) AS BIGINT) AS best_rank, max(score) AS best FROM r WHERE rk <= 3 GROUP BY term"""
+)
+def synonym_suggest(spark, d):
+    """For each word's vector the three closest terms; votes, best rank and best score over all words."""
+    terms = vectors(spark, d).where("chunk_id % 50 <> 0")
+    found = dense_top(terms, vector_queries(spark, d), 3)
+    return found.groupBy(F.col("chunk_id").alias("term")).agg(F.count(F.lit(1)).alias("votes"), F.min("rank").cast("long").alias("best_rank"), F.max("score").alias("best"))
 
 
 @sql
