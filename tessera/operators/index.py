@@ -1,92 +1,166 @@
-"""A stored BM25 index (inventory B3, B8-B12): postings by hash of the term, lengths, tombstones; changed by deltas, scored as a rebuild.
+"""A stored BM25 index (inventory B3-B12): blocks of postings with bounds, skipped where they cannot reach the k-th score; changed by deltas, scored as a rebuild.
 
-At a path lie generations of Parquet tables: `postings` (bucket, term, chunk_id, text hash, tf, dl), partitioned by bucket = hash of the term, so that a search
-reads the buckets of its terms alone; and `live` (chunk_id, dl, text hash), the chunks that count. `current.json`, written last, names
-the generations in use with the format's version, the tokenizer and the stamp of the corpus; whatever is not named there is not read,
-so that a write cut short leaves the index as it was. A missing or unreadable file, another version or tokenizer is no index.
+At a path lie Parquet tables, named by a manifest (sources/manifest.py) that is swapped whole:
+
+    tf-*        the cache of term frequencies by content hash: h, dl, terms; a text is split once, ever
+    live-*      the chunks that count: chunk_id, h, dl
+    terms-*     term, df, and bounds of its postings: greatest tf, smallest dl
+    postings-*  a row a block of at most BLOCK postings of one term, by falling impact, with its own bounds; partitioned by bucket, a hash of the term
+    dead-*      tombstones: chunk_id, upto; postings of that chunk in the first upto generations count no more
+
+A delta writes postings of new chunks, tombstones of gone ones, and the sums that follow; a delta that is large for its base is written as a new base, from the cache. Of a
+changed corpus only texts of a hash that the cache has not got are split. Frequent terms are cut into slices by a hash of the chunk, so that no task sorts all of their postings.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import K1, B, bounded, shared_path, words
+from tessera.operators.retrieval import FIRST_K, K1, B, bounded, shared_path, spread, text_queries, top, words
 from tessera.registry import frame
+from tessera.sources import manifest
 
-VERSION, BUCKETS, MERGE_SHARE = 1, 64, 0.05
+VERSION, BUCKETS, MERGE_SHARE = 2, 64, 0.05
 TOKENIZER = "whitespace"
-
-
-def _state_path(path: str) -> str:
-    return f"{path.rstrip('/')}/current.json"
+#: Postings of a block and of a slice, and how many of a query's best postings give the first guess of its k-th score.
+BLOCK, SLICE, SEED = 256, 4096, 4096
+#: Scores are told to six digits: what is within this of the bound may tie.
+SLACK = 2e-6
+TABLES = ("live", "terms", "dead")
 
 
 def load(spark: SparkSession, path: str) -> dict | None:
     """What the index consists of; None if there is none that this version can read."""
-    try:
-        said = json.loads(spark.read.text(_state_path(path), wholetext=True).first()[0])
-    except Exception:  # noqa: BLE001 - missing, cut short, or no JSON: no index, it is built anew
-        return None
-    return said if said.get("version") == VERSION and said.get("tokenizer") == TOKENIZER and {"postings", "live", "stamp"} <= said.keys() else None
+    return manifest.load(spark, path, lambda x: x.get("version") == VERSION and x.get("tokenizer") == TOKENIZER and {"postings", "tf", "stamp", *TABLES} <= x.keys())
+
+
+def _bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def impact(tf: Column, dl: Column, mean) -> Column:
+    """What a posting weighs, but for its term's idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(mean)))
+
+
+def _idf(df: Column, n: float) -> Column:
+    return F.log((F.lit(n) - df + 0.5) / (df + 0.5) + 1)
+
+
+def _write(df: DataFrame, path: str, kind: str) -> str:
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{path}/{kind}-{name}")
+    return name
+
+
+def _read(spark: SparkSession, path: str, kind: str, gens: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*(f"{path}/{kind}-{x}" for x in gens)) if gens else spark.createDataFrame([], schema)
+
+
+TF, LIVE, TERMS, DEAD = "h string, dl int, terms array<struct<term:string,tf:int>>", "chunk_id long, h string, dl int", "term string, df long, max_tf int, min_dl int", "chunk_id long, upto int"
+POSTINGS = "term string, max_tf int, min_dl int, rows array<struct<chunk_id:bigint,tf:int,dl:int>>, bucket int"
+
+
+def _hashed(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", F.md5("text").alias("h"), "text")
+
+
+def _split(texts: DataFrame) -> DataFrame:
+    """The cache's rows of texts (h, text): each hash once."""
+    own = texts.repartition("h").dropDuplicates(["h"]).select("h", words(F.col("text")).alias("w"))
+    each = own.select("h", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).groupBy("h", "dl", "term").agg(F.count("term").cast("int").alias("tf"))
+    pair = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return each.groupBy("h", "dl").agg(F.collect_list(pair).alias("terms"))
+
+
+def _cached(spark: SparkSession, path: str, hashed: DataFrame, gens: list[str]) -> list[str]:
+    """Generations of the cache after the texts that it has not got are put in."""
+    missing = hashed.where("text IS NOT NULL").join(_read(spark, path, "tf", gens, TF).select("h"), "h", "left_anti").select("h", "text")
+    return gens if gens and missing.isEmpty() else [*gens, _write(_split(missing), path, "tf")]
+
+
+def _sized(hashed: DataFrame, tf: DataFrame) -> DataFrame:
+    return hashed.select("chunk_id", "h").join(tf.select("h", "dl"), "h").select("chunk_id", "h", "dl")
+
+
+def _posted(live: DataFrame, tf: DataFrame) -> DataFrame:
+    return live.join(tf.select("h", "terms"), "h").select("chunk_id", "dl", F.explode("terms").alias("t")).select("t.term", "chunk_id", "t.tf", "dl")
+
 
+def _summed(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
 
-def _save(spark: SparkSession, path: str, said: dict) -> None:
-    spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(_state_path(path))
 
+def _blocks(posted: DataFrame, terms: DataFrame, mean: float) -> DataFrame:
+    """Rows of at most BLOCK postings, each of one term; a term's slices hold about SLICE postings, by falling impact."""
+    of = terms.select("term", F.ceil(F.col("df") / SLICE).alias("slices"))
+    sliced = posted.join(of, "term").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")))
+    row = F.struct((-impact(F.col("tf"), F.col("dl"), mean)).alias("o"), "chunk_id", "tf", "dl")
+    held = sliced.groupBy("term", "slice").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("r") - 1) / BLOCK).cast("int")), lambda k: F.transform(F.slice("r", k * BLOCK + 1, F.lit(BLOCK)), lambda x: F.struct(x["chunk_id"], x["tf"], x["dl"])))
+    each = held.select("term", F.explode(cut).alias("rows"))
+    bound = lambda f, x: f(F.transform("rows", lambda y: y[x]))
+    return each.select("term", bound(F.array_max, "tf").alias("max_tf"), bound(F.array_min, "dl").alias("min_dl"), "rows", _bucket().alias("bucket"))
 
-def _postings(chunks: DataFrame) -> DataFrame:
-    tokens = chunks.select("chunk_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w")).select("chunk_id", "h", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    counted = tokens.groupBy("chunk_id", "h", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+
+def _write_postings(blocks: DataFrame, path: str) -> str:
+    name = uuid.uuid4().hex
+    blocks.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings-{name}")
+    return name
 
 
-def _live(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(words(F.col("text"))).alias("dl"), F.xxhash64("text").alias("h"))
+def _based(spark: SparkSession, path: str, hashed: DataFrame, stamp: str, gens: list[str]) -> dict:
+    tf_gens = _cached(spark, path, hashed, gens)
+    tf = _read(spark, path, "tf", tf_gens, TF)
+    live = _write(_sized(hashed, tf), path, "live")
+    rows = spark.read.parquet(f"{path}/live-{live}")
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    posted = _posted(rows, tf)
+    terms = _write(_summed(posted), path, "terms")
+    postings = _write_postings(_blocks(posted, spark.read.parquet(f"{path}/terms-{terms}"), max(1.0, total / max(1, n))), path)
+    dead = _write(spark.createDataFrame([], DEAD), path, "dead")
+    said = {"version": VERSION, "tokenizer": TOKENIZER, "stamp": stamp, "postings": [postings], "tf": tf_gens, "live": live, "terms": terms, "dead": dead, "n": n, "total": int(total), "base_rows": n, "changed": 0}
+    return manifest.save(spark, path, said)
 
 
 def build(chunks: DataFrame, path: str, stamp: str) -> dict:
-    """Write the index of chunks (chunk_id, text) as one generation."""
-    spark, name = chunks.sparkSession, uuid.uuid4().hex
-    _postings(chunks).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings-{name}")
-    _live(chunks).write.parquet(f"{path}/live-{name}")
-    said = {"version": VERSION, "tokenizer": TOKENIZER, "stamp": stamp, "postings": [name], "live": name, "base": name, "base_rows": spark.read.parquet(f"{path}/live-{name}").count(), "changed": 0}
-    _save(spark, path, said)
-    return said
+    """Write the index of chunks (chunk_id, text) as one generation. Chunks without a text are not in it."""
+    return _based(chunks.sparkSession, path, _hashed(chunks), stamp, [])
 
 
 def refresh(chunks: DataFrame, path: str, stamp: str) -> str:
-    """Bring the index to chunks: `same`, `update` (a delta of new and changed chunks; the gone ones only leave `live`) or `full`.
-
-    A delta is merged by a rebuild when what changed since the base is over MERGE_SHARE of it.
-    """
-    spark = chunks.sparkSession
+    """Bring the index to chunks: `same`, `update` (a delta) or `full` (a new base, when what changed since the base is over MERGE_SHARE of it)."""
+    spark, path = chunks.sparkSession, path.rstrip("/")
     said = load(spark, path)
     if said is None:
         build(chunks, path, stamp)
         return "full"
     if said["stamp"] == stamp:
         return "same"
-    now, had = _live(chunks), spark.read.parquet(f"{path}/live-{said['live']}")
-    new = now.join(had.select("chunk_id", "h"), ["chunk_id", "h"], "left_anti")
-    n_new = new.count()
-    n_gone = had.join(now.select("chunk_id", "h"), ["chunk_id", "h"], "left_anti").count()
-    changed = said["changed"] + n_new + n_gone
-    # A chunk that changes keeps postings of its old text in older generations; search takes those of the live text's hash alone.
+    hashed = _hashed(chunks)
+    now = hashed.where("text IS NOT NULL").select("chunk_id", "h")
+    had = _read(spark, path, "live", [said["live"]], LIVE)
+    new, gone = now.join(had, ["chunk_id", "h"], "left_anti"), had.join(now, ["chunk_id", "h"], "left_anti")
+    changed = said["changed"] + new.count() + gone.count()
     if changed > MERGE_SHARE * said["base_rows"]:
-        build(chunks, path, stamp)
+        _based(spark, path, hashed, stamp, said["tf"])
         return "full"
-    name = uuid.uuid4().hex
-    generations = said["postings"]
-    if n_new:
-        fresh = chunks.join(new.select("chunk_id"), "chunk_id", "left_semi")
-        _postings(fresh).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings-{name}")
-        generations = [*generations, name]
-    _live(chunks).write.parquet(f"{path}/live-{name}")
-    _save(spark, path, said | {"stamp": stamp, "postings": generations, "live": name, "changed": changed})
+    tf_gens = _cached(spark, path, hashed.join(new.select("chunk_id"), "chunk_id", "left_semi"), said["tf"])
+    tf = _read(spark, path, "tf", tf_gens, TF)
+    live = _write(_sized(hashed, tf), path, "live")
+    rows = spark.read.parquet(f"{path}/live-{live}")
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    added, lost = _posted(rows.join(new, ["chunk_id", "h"], "left_semi"), tf), _posted(gone, tf)
+    sums = _summed(added)
+    all_sums = _read(spark, path, "terms", [said["terms"]], TERMS).unionByName(sums).unionByName(_summed(lost).select("term", (-F.col("df")).alias("df"), "max_tf", "min_dl"))
+    terms = _write(all_sums.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")).where("df > 0"), path, "terms")
+    postings = [*said["postings"], _write_postings(_blocks(added, sums, max(1.0, total / max(1, n))), path)]
+    marks = gone.select("chunk_id", F.lit(len(said["postings"])).alias("upto"))
+    dead = _write(_read(spark, path, "dead", [said["dead"]], DEAD).unionByName(marks).groupBy("chunk_id").agg(F.max("upto").alias("upto")), path, "dead")
+    manifest.save(spark, path, said | {"stamp": stamp, "postings": postings, "tf": tf_gens, "live": live, "terms": terms, "dead": dead, "n": n, "total": int(total), "changed": changed})
     return "update"
 
 
@@ -97,41 +171,107 @@ def is_stale(spark: SparkSession, path: str, stamp: str) -> bool:
 
 
 def prune(spark: SparkSession, path: str) -> list[str]:
-    """Generations that lie at path and are in no use any more, for the caller to delete."""
+    """Tables that lie at path and are in no use any more, for the caller to delete."""
     said = load(spark, path)
-    used = {f"postings-{x}" for x in said["postings"]} | {f"live-{said['live']}"} if said else set()
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path))]
-    return sorted(x for x in names if x.startswith(("postings-", "live-")) and x not in used)
+    used = {f"postings-{x}" for x in said["postings"]} | {f"tf-{x}" for x in said["tf"]} | {f"{k}-{said[k]}" for k in TABLES} if said else set()
+    return [x for x in manifest.names(spark, path) if x.split("-")[0] in {"postings", "tf", *TABLES} and x not in used]
+
+
+def _asked(spark: SparkSession, path: str, said: dict, queries: DataFrame) -> tuple[DataFrame, int]:
+    """query_id, term, idf, ub: the terms that the index holds, with a bound of what each can add; and how many were asked."""
+    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    n_asked, n, mean = asked.count(), float(said["n"]), said["total"] / max(1, said["n"]) or 1.0
+    terms = _read(spark, path, "terms", [said["terms"]], TERMS)
+    idf = _idf(F.col("df"), n)
+    known = terms.join(bounded(asked.select("term").distinct(), n_asked), "term", "left_semi").select("term", "df", idf.alias("idf"), (idf * impact(F.col("max_tf"), F.col("min_dl"), mean)).alias("ub"))
+    return asked.join(bounded(known, n_asked), "term"), n_asked
+
+
+def _held(spark: SparkSession, path: str, said: dict, asked: DataFrame) -> DataFrame:
+    """Blocks of the terms of asked, with their generation: the buckets of these terms alone are read."""
+    buckets = [r["bucket"] for r in asked.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS rows at most
+    held = None
+    for k, name in enumerate(said["postings"]):
+        own = spark.read.schema(POSTINGS).parquet(f"{path}/postings-{name}").where(F.col("bucket").isin(buckets)).withColumn("gen", F.lit(k))
+        held = own if held is None else held.unionByName(own)
+    return held
+
+
+def _weighed(spark: SparkSession, path: str, said: dict, blocks: DataFrame, inside: DataFrame | None) -> DataFrame:
+    """query_id, chunk_id, w of the living postings in blocks (query_id, idf, gen, rows)."""
+    mean = said["total"] / max(1, said["n"]) or 1.0
+    rows = blocks.select("query_id", "idf", "gen", F.explode("rows").alias("r")).select("query_id", "gen", "r.chunk_id", (F.col("idf") * impact(F.col("r.tf"), F.col("r.dl"), mean)).alias("w"))
+    if len(said["postings"]) > 1:
+        rows = rows.join(_read(spark, path, "dead", [said["dead"]], DEAD), "chunk_id", "left").where("upto IS NULL OR gen >= upto")
+    return rows if inside is None else rows.join(inside.select("chunk_id"), "chunk_id", "left_semi")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of the chunks that hold a term of the queries (query_id, terms): those of an index built anew.
+    """query_id, chunk_id, score of all chunks that hold a term of the queries (query_id, terms): those of an index built anew."""
+    said = load(spark, path)
+    if said is None:
+        raise ValueError(f"no index at {path}")
+    asked, n_asked = _asked(spark, path, said, queries)
+    blocks = _held(spark, path, said, asked).join(bounded(asked, n_asked), "term")
+    return _weighed(spark, path, said, blocks, None).groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+
 
-    Reads the buckets of the asked terms. Statistics are those of the live chunks.
+def search_top(spark: SparkSession, path: str, queries: DataFrame, k: int, inside: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best chunks of each query, among those of inside (chunk_id) if given; statistics are the corpus's.
+
+    A few of a query's postings, those of the terms that can add most, give partial scores; the k-th of these is a bound that the k best reach. Terms that cannot reach it together need not be
+    looked up, blocks that cannot reach it with all other terms are skipped, and chunks whose partial score cannot are dropped. What is left is scored in full from the cache of term frequencies.
     """
     said = load(spark, path)
     if said is None:
         raise ValueError(f"no index at {path}")
-    live = spark.read.parquet(f"{path}/live-{said['live']}")
-    stats = live.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    n_asked = asked.count()
-    buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # BUCKETS rows at most
-    held = None
-    for name in said["postings"]:
-        own = spark.read.parquet(f"{path}/postings-{name}").where(F.col("bucket").isin(buckets))
-        held = own if held is None else held.unionByName(own)
-    found = held.join(bounded(asked.select("bucket", "term").distinct(), n_asked), ["bucket", "term"], "left_semi")
-    found = found.join(live.select("chunk_id", "h"), ["chunk_id", "h"], "left_semi")
-    if len(said["postings"]) > 1:  # a text that went and came back lies in two generations
-        found = found.dropDuplicates(["chunk_id", "term"])
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, mean = F.lit(float(stats["n"])), F.lit(float(stats["avgdl"] or 1))
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    scored = found.join(bounded(df, n_asked), "term").select("chunk_id", "term", weight.alias("w"))
-    return scored.join(bounded(asked.select("query_id", "term"), n_asked), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+    asked, n_asked = _asked(spark, path, said, queries)
+    mean = said["total"] / max(1, said["n"]) or 1.0
+    best_first = Window.partitionBy("query_id").orderBy(F.col("ub").desc(), "term")  # a query's terms
+    of_query = Window.partitionBy("query_id")
+    rest = F.sum("ub").over(best_first.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    planned = asked.select("*", rest.alias("rest"), F.sum("df").over(best_first).alias("read"), F.sum("ub").over(of_query).alias("all"), F.row_number().over(best_first).alias("nth"))
+    planned = _kept(spark, planned)
+    held = _held(spark, path, said, planned)
+    seeds = held.join(bounded(planned.where((F.col("read") <= SEED) | (F.col("nth") == 1)), n_asked), "term")
+    partial = _weighed(spark, path, said, seeds, inside).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
+    kth = top(partial, k).where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
+    limits = _kept(spark, planned.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
+    reach = impact(F.col("max_tf"), F.col("min_dl"), mean) * F.col("idf") + F.col("all") - F.col("ub")
+    blocks = held.join(bounded(limits.where("rest >= least"), n_asked), "term").where(reach >= F.col("least"))
+    # A chunk that reaches the bound has all its blocks of these terms here; the other terms add `more` at most.
+    more = F.coalesce(F.sum(F.when(F.col("rest") < F.col("least"), F.col("ub"))), F.lit(0.0))
+    of = limits.groupBy("query_id").agg(F.max("least").alias("least"), more.alias("more"))
+    found = _weighed(spark, path, said, blocks, inside).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("w"))
+    open_ = found.join(bounded(of, n_asked), "query_id").where(F.col("w") + F.col("more") >= F.col("least")).select("query_id", "chunk_id")
+    live, tf = _read(spark, path, "live", [said["live"]], LIVE), _read(spark, path, "tf", said["tf"], TF)
+    spelled = open_.join(live, "chunk_id").join(tf.select("h", "terms"), "h").select("query_id", "chunk_id", "dl", F.explode("terms").alias("t")).select("query_id", "chunk_id", "dl", "t.term", "t.tf")
+    full = spelled.join(bounded(limits.select("query_id", "term", "idf"), n_asked), ["query_id", "term"])
+    scores = full.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * impact(F.col("tf"), F.col("dl"), mean)), 6).alias("score"))
+    return top(scores.where("score > 0"), k)
+
+
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df, written and read back: a row a term of a query, read in several steps."""
+    path = shared_path(spark)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+#: Where the index of a folder lies, by session.
+_AT: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> str:
+    """The path of the index of the documents in folder d, brought up to date: below spark.tessera.index.dir, which outlives the session, or else in the shared folder."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    stamp = docs.select(file.alias("f")).distinct().agg(F.concat_ws("-", F.count(F.lit(1)), F.bit_xor("f"))).first()[0]
+    root = spark.conf.get("spark.tessera.index.dir", None)
+    key = (spark.sparkContext.applicationId, d)
+    path = f"{root.rstrip('/')}/{uuid.uuid5(uuid.NAMESPACE_URL, d).hex}" if root else _AT.setdefault(key, shared_path(spark))
+    refresh(spread(docs).select(F.col("doc_id").alias("chunk_id"), "text"), path, stamp)
+    return path
 
 
 @frame()
@@ -141,6 +281,4 @@ def bm25_index_topk(spark, d):
     path = shared_path(spark)
     build(docs.where("chunk_id % 40 <> 7"), path, "before")
     refresh(docs, path, "now")
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("terms"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return search(spark, path, items).withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    return search_top(spark, path, text_queries(spark, d), FIRST_K)

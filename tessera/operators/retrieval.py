@@ -55,27 +55,6 @@ def text_queries(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(words(F.col("text"))).alias("terms"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score over chunks (chunk_id, text) and queries (query_id, terms).
-
-    Only postings of query terms leave the scan: their table is semi-joined by the broadcast terms before it is aggregated.
-    """
-    asked = queries.select("query_id", F.explode("terms").alias("term"))
-    n_asked = asked.count()
-    asked = bounded(asked, n_asked)
-    # Split below the generator: a length taken beside explode() would be computed for every term.
-    tokens = chunks.select("chunk_id", words(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    stats = chunks.select(F.size(words(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    wanted = tokens.join(bounded(asked.select("term").distinct(), n_asked), "term", "left_semi")
-    postings = wanted.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = F.lit(float(stats["n"])), F.lit(float(stats["avgdl"] or 1))
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = postings.join(bounded(df, n_asked), "term").select("chunk_id", "term", weight.alias("w"))
-    return scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
-
-
 def top(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -96,20 +75,27 @@ bmtop AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
+def lexical(spark, d, k: int, inside: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank by BM25: postings of the stored index are read, not texts."""
+    from tessera.operators import index  # it builds on this module
+
+    return index.search_top(spark, index.index_of(spark, d), text_queries(spark, d) if queries is None else queries, k, inside)
+
+
 def corpus(spark, d):
     return spread(read(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), "text", "source")
 
 
 @frame(f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, rank FROM bmtop")
 def bm25_topk(spark, d):
-    return top(bm25_scores(corpus(spark, d), text_queries(spark, d)), FIRST_K)
+    """The ten best documents of each item, from the stored index of the documents."""
+    return lexical(spark, d, FIRST_K)
 
 
 @frame(f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm JOIN documents ON doc_id = chunk_id WHERE score > 0 AND source = 'src1' QUALIFY rank <= 10")
 def bm25_scoped(spark, d):
-    """The scope drops rows after scoring: statistics stay those of the corpus."""
-    inside = corpus(spark, d).where("source = 'src1'").select("chunk_id")
-    return top(bm25_scores(corpus(spark, d), text_queries(spark, d)).join(inside, "chunk_id", "left_semi").select("query_id", "chunk_id", "score"), FIRST_K)
+    """Chunks of one source; statistics stay those of the corpus."""
+    return lexical(spark, d, FIRST_K, corpus(spark, d).where("source = 'src1'").select("chunk_id"))
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

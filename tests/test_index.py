@@ -1,7 +1,9 @@
 """The stored index against one built anew, and chunk plans on literal texts."""
 
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunk_plan as C
@@ -39,22 +41,72 @@ def test_deltas_score_as_a_rebuild(spark, tmp_path):
 def test_a_broken_index_is_none(spark, tmp_path):
     path = str(tmp_path / "index")
     index.build(frame(spark, [(1, "a b")]), path, "a")
-    name = next(f for f in os.listdir(f"{path}/current.json") if f.startswith("part"))
-    for f in (f"{path}/current.json/{name}", f"{path}/current.json/.{name}.crc"):
-        os.remove(f)
-    with open(f"{path}/current.json/{name}", "w") as out:
-        out.write('{"version": 1, "tok')
+    os.remove(f"{path}/.manifest-1.json.crc") if os.path.exists(f"{path}/.manifest-1.json.crc") else None
+    with open(f"{path}/manifest-1.json", "w") as out:
+        out.write('{"version": 2, "tok')
     assert index.load(spark, path) is None
     assert index.refresh(frame(spark, [(1, "a b")]), path, "a") == "full"
 
 
-def test_stored_index_equals_the_scan(spark):
-    from tessera import registry
-
-    d = "/root/testdata/sf0.001"
-    want = {(r["query_id"], r["chunk_id"]): (r["score"], r["rank"]) for r in registry.queries()["bm25_topk"](spark, d).collect()}
-    got = {(r["query_id"], r["chunk_id"]): (r["score"], r["rank"]) for r in registry.queries()["bm25_index_topk"](spark, d).collect()}
-    assert got == want
+def test_a_write_cut_short_leaves_the_state_before(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "index"), [(k, f"alpha beta{k % 3}") for k in range(100)]
+    queries = spark.createDataFrame([(1, ["alpha", "beta1", "new"])], "query_id long, terms array<string>")
+    index.build(frame(spark, rows), path, "a")
+    want = scores(spark, path, queries)
+
+    def lost(*_):
+        raise OSError("executor lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(index.manifest, "save", lost)
+        with pytest.raises(OSError):
+            index.refresh(frame(spark, [*rows, (500, "new alpha")]), path, "b")
+    assert scores(spark, path, queries) == want and index.is_stale(spark, path, "b") and index.prune(spark, path)
+    with open(f"{path}/manifest-2.json", "w") as out:  # as a writer leaves it that cannot rename whole files
+        out.write("{")
+    assert scores(spark, path, queries) == want
+    assert index.refresh(frame(spark, [*rows, (500, "new alpha")]), path, "b") == "update"
+    assert (1, 500) in scores(spark, path, queries)
+    with pytest.raises(RuntimeError):
+        index.manifest.save(spark, path, {"a": 1}) and monkeypatch.setattr(index.manifest, "names", lambda *_: []) or index.manifest.save(spark, path, {"a": 1})
+
+
+def test_a_text_is_split_once(spark, tmp_path, monkeypatch):
+    path, seen = str(tmp_path / "index"), []
+    whole = index._split
+    monkeypatch.setattr(index, "_split", lambda texts: (seen.append(sorted(r["text"] for r in texts.collect())), whole(texts))[1])
+    rows = [(k, f"alpha beta{k % 3}") for k in range(100)]
+    index.build(frame(spark, rows), path, "a")
+    index.refresh(frame(spark, [*rows[2:], (200, "alpha beta1"), (201, "gamma")]), path, "b")
+    index.refresh(frame(spark, [(k, "alpha beta2") for k in range(50)]), path, "c")  # a new base, of known texts
+    assert len(seen) == 2 and set(seen[0]) == {"alpha beta0", "alpha beta1", "alpha beta2"} and seen[1] == ["gamma"]
+
+
+def test_skipping_loses_no_result(spark, tmp_path, monkeypatch):
+    """The k best of random corpora with small blocks, ties and deltas, in a scope and without."""
+    for name, x in (("BLOCK", 4), ("SLICE", 16), ("SEED", 6), ("MERGE_SHARE", 0.5)):
+        monkeypatch.setattr(index, name, x)
+    rng = random.Random(4)
+    text = lambda: " ".join(f"t{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(1, 30)))
+    rows = [(k, text()) for k in range(400)] + [(1000 + k, "t1 t2 t3") for k in range(30)] + [(2000, None), (2001, "")]
+    queries = [(q, [f"t{int(rng.paretovariate(0.5))}" for _ in range(rng.randrange(1, 12))]) for q in range(25)] + [(99, ["t1", "t2", "t3"]), (100, ["none"])]
+    asked = spark.createDataFrame(queries, "query_id long, terms array<string>")
+    path = str(tmp_path / "index")
+    index.build(frame(spark, rows), path, "a")
+    later = [(k, text() if k % 9 == 0 else t) for k, t in rows if k % 11] + [(5000 + k, text()) for k in range(20)]
+    assert index.refresh(frame(spark, later), path, "b") == "update"
+    whole = str(tmp_path / "whole")
+    index.build(frame(spark, later), whole, "b")
+    inside = spark.createDataFrame([(k,) for k, _ in later if k % 3], "chunk_id long")
+    every = scores(spark, whole, asked)
+    assert scores(spark, path, asked) == every != {}
+    for k, scope in ((5, None), (1, None), (5, inside)):
+        want = {}
+        for q, _ in queries:
+            own = sorted((-s, c) for (i, c), s in every.items() if i == q and (scope is None or c % 3))
+            want |= {(q, n + 1): (c, -s) for n, (s, c) in enumerate(own[:k])}
+        for p in (path, whole):
+            assert {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in index.search_top(spark, p, asked, k, scope).collect()} == want
 
 
 def test_grammars():
