@@ -27,6 +27,8 @@ VERSION, BUCKETS, MERGE_SHARE = 2, 64, 0.05
 TOKENIZER = "whitespace"
 #: Postings of a block and of a slice, and how many of a query's best postings give the first guess of its k-th score.
 BLOCK, SLICE, SEED = 256, 4096, 4096
+#: Rows of the cache that cost as much as one row of postings.
+FORWARD = 1.0
 #: Scores are told to six digits: what is within this of the bound may tie.
 SLACK = 2e-6
 TABLES = ("live", "terms", "dead")
@@ -120,9 +122,10 @@ def _based(spark: SparkSession, path: str, hashed: DataFrame, stamp: str, gens:
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     posted = _posted(rows, tf)
     terms = _write(_summed(posted), path, "terms")
+    pairs = spark.read.parquet(f"{path}/terms-{terms}").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     postings = _write_postings(_blocks(posted, spark.read.parquet(f"{path}/terms-{terms}"), max(1.0, total / max(1, n))), path)
     dead = _write(spark.createDataFrame([], DEAD), path, "dead")
-    said = {"version": VERSION, "tokenizer": TOKENIZER, "stamp": stamp, "postings": [postings], "tf": tf_gens, "live": live, "terms": terms, "dead": dead, "n": n, "total": int(total), "base_rows": n, "changed": 0}
+    said = {"version": VERSION, "tokenizer": TOKENIZER, "stamp": stamp, "postings": [postings], "tf": tf_gens, "live": live, "terms": terms, "dead": dead, "n": n, "total": int(total), "pairs": pairs, "base_rows": n, "changed": 0}
     return manifest.save(spark, path, said)
 
 
@@ -157,10 +160,11 @@ def refresh(chunks: DataFrame, path: str, stamp: str) -> str:
     sums = _summed(added)
     all_sums = _read(spark, path, "terms", [said["terms"]], TERMS).unionByName(sums).unionByName(_summed(lost).select("term", (-F.col("df")).alias("df"), "max_tf", "min_dl"))
     terms = _write(all_sums.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")).where("df > 0"), path, "terms")
+    pairs = spark.read.parquet(f"{path}/terms-{terms}").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     postings = [*said["postings"], _write_postings(_blocks(added, sums, max(1.0, total / max(1, n))), path)]
     marks = gone.select("chunk_id", F.lit(len(said["postings"])).alias("upto"))
     dead = _write(_read(spark, path, "dead", [said["dead"]], DEAD).unionByName(marks).groupBy("chunk_id").agg(F.max("upto").alias("upto")), path, "dead")
-    manifest.save(spark, path, said | {"stamp": stamp, "postings": postings, "tf": tf_gens, "live": live, "terms": terms, "dead": dead, "n": n, "total": int(total), "changed": changed})
+    manifest.save(spark, path, said | {"stamp": stamp, "postings": postings, "tf": tf_gens, "live": live, "terms": terms, "dead": dead, "n": n, "total": int(total), "pairs": pairs, "changed": changed})
     return "update"
 
 
@@ -197,13 +201,30 @@ def _held(spark: SparkSession, path: str, said: dict, asked: DataFrame) -> DataF
     return held
 
 
+def _living(spark: SparkSession, path: str, said: dict, rows: DataFrame, inside: DataFrame | None) -> DataFrame:
+    """Rows (chunk_id, gen, ...) of postings that no tombstone covers, of the chunks of inside if given."""
+    if len(said["postings"]) > 1:
+        rows = rows.join(_read(spark, path, "dead", [said["dead"]], DEAD), "chunk_id", "left").where("upto IS NULL OR gen >= upto")
+    return rows if inside is None else rows.join(inside.select("chunk_id"), "chunk_id", "left_semi")
+
+
 def _weighed(spark: SparkSession, path: str, said: dict, blocks: DataFrame, inside: DataFrame | None) -> DataFrame:
     """query_id, chunk_id, w of the living postings in blocks (query_id, idf, gen, rows)."""
     mean = said["total"] / max(1, said["n"]) or 1.0
     rows = blocks.select("query_id", "idf", "gen", F.explode("rows").alias("r")).select("query_id", "gen", "r.chunk_id", (F.col("idf") * impact(F.col("r.tf"), F.col("r.dl"), mean)).alias("w"))
-    if len(said["postings"]) > 1:
-        rows = rows.join(_read(spark, path, "dead", [said["dead"]], DEAD), "chunk_id", "left").where("upto IS NULL OR gen >= upto")
-    return rows if inside is None else rows.join(inside.select("chunk_id"), "chunk_id", "left_semi")
+    return _living(spark, path, said, rows, inside).select("query_id", "chunk_id", "w")
+
+
+def _summed_up(spark: SparkSession, path: str, said: dict, held: DataFrame, asked: DataFrame, n_asked: int, inside: DataFrame | None) -> DataFrame:
+    """query_id, chunk_id, score from all postings of asked (query_id, term, idf).
+
+    A posting moves once, to the task of its chunk, and meets the queries there: one chunk's sums are complete in one task.
+    """
+    mean = said["total"] / max(1, said["n"]) or 1.0
+    own = held.join(bounded(asked.select("term").distinct(), n_asked), "term", "left_semi")
+    rows = own.select("term", "gen", F.explode("rows").alias("r")).select("term", "gen", "r.chunk_id", impact(F.col("r.tf"), F.col("r.dl"), mean).alias("w"))
+    met = _living(spark, path, said, rows, inside).select("term", "chunk_id", "w").repartition("chunk_id").join(bounded(asked.select("query_id", "term", "idf"), n_asked), "term")
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("idf")), 6).alias("score")).where("score > 0")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
@@ -212,8 +233,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame:
     if said is None:
         raise ValueError(f"no index at {path}")
     asked, n_asked = _asked(spark, path, said, queries)
-    blocks = _held(spark, path, said, asked).join(bounded(asked, n_asked), "term")
-    return _weighed(spark, path, said, blocks, None).groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score")).where("score > 0")
+    return _summed_up(spark, path, said, _held(spark, path, said, asked), asked, n_asked, None)
 
 
 def search_top(spark: SparkSession, path: str, queries: DataFrame, k: int, inside: DataFrame | None = None) -> DataFrame:
@@ -221,6 +241,7 @@ def search_top(spark: SparkSession, path: str, queries: DataFrame, k: int, insid
 
     A few of a query's postings, those of the terms that can add most, give partial scores; the k-th of these is a bound that the k best reach. Terms that cannot reach it together need not be
     looked up, blocks that cannot reach it with all other terms are skipped, and chunks whose partial score cannot are dropped. What is left is scored in full from the cache of term frequencies.
+    Where the bounds leave so much that this costs more than to sum all postings, as for long passages, all postings are summed. The results are the same.
     """
     said = load(spark, path)
     if said is None:
@@ -237,6 +258,9 @@ def search_top(spark: SparkSession, path: str, queries: DataFrame, k: int, insid
     partial = _weighed(spark, path, said, seeds, inside).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
     kth = top(partial, k).where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
     limits = _kept(spark, planned.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
+    needed, every = limits.agg(F.coalesce(F.sum(F.when(F.col("rest") >= F.col("least"), F.col("df"))), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    if needed * said["pairs"] > FORWARD * every * max(1, said["n"]):
+        return top(_summed_up(spark, path, said, held, limits, n_asked, inside), k)
     reach = impact(F.col("max_tf"), F.col("min_dl"), mean) * F.col("idf") + F.col("all") - F.col("ub")
     blocks = held.join(bounded(limits.where("rest >= least"), n_asked), "term").where(reach >= F.col("least"))
     # A chunk that reaches the bound has all its blocks of these terms here; the other terms add `more` at most.

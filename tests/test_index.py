@@ -82,8 +82,10 @@ def test_a_text_is_split_once(spark, tmp_path, monkeypatch):
     assert len(seen) == 2 and set(seen[0]) == {"alpha beta0", "alpha beta1", "alpha beta2"} and seen[1] == ["gamma"]
 
 
-def test_skipping_loses_no_result(spark, tmp_path, monkeypatch):
-    """The k best of random corpora with small blocks, ties and deltas, in a scope and without."""
+@pytest.mark.parametrize("forward", [0, 10**9])
+def test_skipping_loses_no_result(spark, tmp_path, monkeypatch, forward):
+    """The k best of random corpora with small blocks, ties and deltas, in a scope and without, by either way to the full scores."""
+    monkeypatch.setattr(index, "FORWARD", forward)
     for name, x in (("BLOCK", 4), ("SLICE", 16), ("SEED", 6), ("MERGE_SHARE", 0.5)):
         monkeypatch.setattr(index, name, x)
     rng = random.Random(4)
