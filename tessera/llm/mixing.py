@@ -9,8 +9,11 @@ Meetings happen in blocks of about BLOCK documents, longest first so that what i
 that a block leaves undecided goes to the next level of the tree, BLOCK blocks at a time. Levels grow with the logarithm of
 the source; a source of a third of all rows is as many blocks as it needs, each bounded.
 
-Nulls: a null text has size 0, a document of size 0 is taken 0 times; a null source is a source, the last; a null doc_id is an id. Rows that repeat
-doc_id and source are one unit and get equal copies. An empty table gives an empty result. Random numbers are hashes of ids, so reruns agree.
+A unit of rounding is a row, whatever its id: null and repeated doc_ids are documents of their own. Rows that are equal in all columns (but for maps, which have no hash) are
+one unit of so many rows, which shares out its copies evenly, so that no one has to number them.
+
+Nulls: a null text has size 0, a document of size 0 is taken 0 times; a null source is a source, the last. An empty table gives an empty result. Very long texts are one
+document like others. Other columns pass through mixture() unchanged. Ties do not matter. Random numbers are hashes of rows, so reruns agree.
 """
 
 from __future__ import annotations
@@ -81,12 +84,13 @@ def _round_level(rows: DataFrame, level: int) -> DataFrame:
 
 
 def copies(units: DataFrame) -> DataFrame:
-    """units (doc_id, source, size; one row each) to doc_id, source, taken copies, with source_size and target."""
-    targets = store(source_targets(units), "targets")
+    """units (doc_id, source, size, rows; one row each) to doc_id, source, the copies that all of its rows are taken, with source_size and target."""
+    targets = store(source_targets(units.select("source", (F.col("size") * F.col("rows")).alias("size"))), "targets")
     known = targets.select(F.col("source").alias("of"), "source_size", "target", "due")
     few = targets.count() <= 100_000  # a row a source: broadcast only if they are few, else let AQE split the hot ones
     rows = units.join(F.broadcast(known) if few else known, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = store(rows.withColumn("whole", F.when(F.col("size") > 0, F.floor("due")).otherwise(0).cast("long")).withColumn("p", F.when(F.col("size") > 0, F.col("due") - F.floor("due")).otherwise(0.0)), "due")
+    due = F.when(F.col("size") > 0, F.col("due") * F.col("rows")).otherwise(0.0)
+    rows = store(rows.withColumn("whole", F.floor(due)).withColumn("p", due - F.floor(due)), "due")
     open_rows = rows.where(F.col("p") > 0)
     sizes = open_rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("of"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     most = sizes.agg(F.max("blocks")).first()[0] or 0
@@ -111,28 +115,39 @@ def copies(units: DataFrame) -> DataFrame:
     return done.select("doc_id", "source", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"), "source_size", "target")
 
 
-def _sized(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
+def _keys(docs: DataFrame) -> list[Column]:
+    """A hash of 128 bits of all columns that can be hashed."""
+    own = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(F.lit(k), *own) for k in (0, 1)]
+
+
+def unit_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """a, b (the hash of the row), doc_id, source, size, rows (how many are equal), source_size, target, copies (of all of them)."""
+    a, b = _keys(docs)
+    rows = docs.select(a.alias("a"), b.alias("b"), F.col(doc_id).alias("own_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
+    units = store(rows.groupBy("a", "b", "own_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("doc_id", F.concat_ws(".", "a", "b")), "units")
+    known = copies(units.select("doc_id", "source", "size", "rows")).select("doc_id", "copies", "source_size", "target")
+    return units.join(known, "doc_id").select("a", "b", F.col("own_id").alias("doc_id"), "source", "size", "rows", "source_size", "target", "copies")
 
 
 def mixed_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row."""
-    rows = store(_sized(docs, doc_id, source, text), "sizes")
-    units = rows.groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    known = copies(units).select(F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), "copies", "source_size", "target")
-    out = rows.join(known, F.col("doc_id").eqNullSafe(F.col("c_id")) & F.col("source").eqNullSafe(F.col("c_source")))
+    units = unit_copies(docs, doc_id, source, text)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
+    share = F.floor(F.col("copies") / F.col("rows")) + (F.col("k") <= F.col("copies") % F.col("rows")).cast("long")
+    out = units.withColumn("k", each).withColumn("copies", share)
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs, each row as often as it is taken; same columns."""
+    """docs, each row as often as it is taken; same columns. One of equal rows stands for all of them, as often as they are taken together."""
     names = docs.columns
-    c_id, c_source, c_copies = (fresh(x, names) for x in ("copies_id", "copies_source", "copies_taken"))
-    one = mixed_copies(docs, doc_id, source, text).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    known = one.select(F.col("doc_id").alias(c_id), F.col("source").alias(c_source), F.col("copies").alias(c_copies))
-    out = docs.join(known, F.col(doc_id).eqNullSafe(F.col(c_id)) & F.col(source).cast("string").eqNullSafe(F.col(c_source)))
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(c_copies)))
-    return out.select(*(F.col(f"`{x}`") for x in names), again.alias(c_copies)).drop(c_copies)
+    a, b, n = (fresh(x, names) for x in ("copies_a", "copies_b", "copies_taken"))
+    known = unit_copies(docs, doc_id, source, text).where("copies > 0").select(F.col("a").alias(a), F.col("b").alias(b), F.col("copies").alias(n))
+    keys = _keys(docs)
+    out = docs.withColumns({a: keys[0], b: keys[1]}).dropDuplicates([a, b]).join(known, [a, b])
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
+    return out.select(*(F.col(f"`{x}`") for x in names), again.alias(n)).drop(n)
 
 
 def query(docs: DataFrame) -> DataFrame:
