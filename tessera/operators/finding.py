@@ -112,16 +112,6 @@ def similar_pairs(spark, d):
     return sampled_best(spark, d)[0].withColumn("k", F.row_number().over(order).cast("long")).where("k <= 2")
 
 
-@sql
-def doc_versions(d):
-    """Pairs of one language's documents with the same first line: copy, version or look-alike."""
-    line = d.at(d.lines("text"), 1)
-    return f"""WITH x AS (SELECT doc_id, md5(text) AS h, md5({line}) AS head, n_chars FROM {d.table('documents')} WHERE length({line}) BETWEEN 41 AND 400),
-g AS (SELECT head, min(doc_id) AS first_doc FROM x GROUP BY head)
-SELECT g.first_doc, x.doc_id, CASE WHEN x.h = f.h THEN 'copy' WHEN least(x.n_chars, f.n_chars) >= 0.2 * greatest(x.n_chars, f.n_chars) THEN 'version' ELSE 'similar' END AS kind
-FROM x JOIN g ON g.head = x.head JOIN x f ON f.doc_id = g.first_doc WHERE x.doc_id <> g.first_doc"""
-
-
 @sql
 def similar_collapse(d):
     return f"""WITH r AS (SELECT doc_id, md5(text) AS h, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k FROM {d.table('documents')})
