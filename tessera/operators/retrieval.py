@@ -204,62 +204,6 @@ def dedup_evidence(spark, d):
     return dedup_backfill(found, 5).select("query_id", "chunk_id", "dup_no", "place")
 
 
-# Selection over the ranked lists, in one text for both engines
-
-RANKED = """r AS (SELECT a.doc_id AS qid, b.doc_id AS cid, b.source AS src, b.lang AS lang, b.n_chars AS n, round(b.n_chars / 1000.0, 6) - 6.5 AS score,
- row_number() OVER (PARTITION BY a.doc_id ORDER BY b.n_chars DESC, b.doc_id) AS rk FROM {t} a JOIN {t} b ON a.source = b.source AND a.lang = b.lang WHERE a.doc_id % 50 = 0)"""
-
-
-def ranked(d):
-    """A ranked list for every document whose id is divisible by 50: documents of its source and language, longest first."""
-    return RANKED.format(t=d.table("documents"))
-
-
-@sql
-def rerank_boost(d):
-    return f"""WITH {ranked(d)}, p AS (SELECT * FROM r WHERE rk <= 10),
-b AS (SELECT *, score + CASE WHEN src IN ('src1', 'src2') THEN 1.5 WHEN src = 'src3' THEN 0.8 ELSE 0.0 END AS boosted FROM p)
-SELECT qid, cid, round(boosted, 6) AS boosted, row_number() OVER (PARTITION BY qid ORDER BY boosted DESC, rk) AS place FROM b"""
-
-
-@sql
-def relevance_gate(d):
-    """The gate reads the score without boosts: nothing below -6, nothing below 1 without an overlap of keywords."""
-    return f"""WITH {ranked(d)}, p AS (SELECT * FROM r WHERE rk <= 10), m AS (SELECT qid, max(score) AS best, max(CASE WHEN cid = qid THEN 1 ELSE 0 END) AS overlap FROM p GROUP BY qid)
-SELECT p.qid, p.cid, CAST(p.rk AS BIGINT) AS rk FROM p JOIN m ON p.qid = m.qid WHERE NOT (best < -6 OR (best < 1 AND overlap = 0))"""
-
-
-@sql
-def attach_neighbors(d):
-    return f"""WITH {ranked(d)}, pool AS (SELECT qid, cid, src, rk FROM r WHERE rk <= 10), pick AS (SELECT * FROM pool WHERE rk <= 3)
-SELECT DISTINCT k.qid, k.cid, n.cid AS neighbour, n.cid - k.cid AS side FROM pick k JOIN pool n ON n.qid = k.qid AND n.src = k.src AND n.cid IN (k.cid - 20, k.cid + 20)
-WHERE NOT EXISTS (SELECT 1 FROM pick o WHERE o.qid = k.qid AND o.cid = n.cid)"""
-
-
-@sql
-def synonym_extra(d):
-    return f"""WITH {ranked(d)}, p AS (SELECT * FROM r WHERE rk <= 3), first_hit AS (SELECT qid, min(cid) AS cid FROM r GROUP BY qid)
-SELECT f.qid, f.cid, 4 AS place FROM first_hit f JOIN (SELECT qid FROM p GROUP BY qid HAVING count(*) = 3) filled ON filled.qid = f.qid
-WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.qid = f.qid AND p.cid = f.cid)"""
-
-
-@sql
-def pick_rerank(d):
-    """The first four distinct bodies of at least 50 characters are scored; copies of one share its score."""
-    t = d.table("documents")
-    return f"""WITH {ranked(d)}, b AS (SELECT qid, cid, rk, CASE WHEN length(x.text) >= 50 THEN md5({d.rx_sub('x.text', chr(92) + 's+', '')}) END AS body FROM r JOIN {t} x ON x.doc_id = cid),
-f AS (SELECT qid, body, min(rk) AS first_rk FROM b WHERE body IS NOT NULL GROUP BY qid, body), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first_rk) AS body_no FROM f)
-SELECT b.qid, b.cid, CAST(n.body_no AS BIGINT) AS body_no FROM b JOIN n ON n.qid = b.qid AND n.body = b.body WHERE n.body_no <= 4"""
-
-
-@sql
-def prompt_context(d):
-    """Evidence of a query as one text, best last."""
-    t = d.table("documents")
-    return f"""WITH {ranked(d)}, p AS (SELECT qid, cid, rk FROM r WHERE rk <= 3)
-SELECT qid, {d.ordered("concat('[', CAST(4 - rk AS STRING), '] ', x.text)", "-rk", "; ")} AS context FROM p JOIN {t} x ON x.doc_id = cid GROUP BY qid"""
-
-
 @sql
 def lookup_ids(d):
     return f"SELECT x.doc_id, x.source, x.n_chars FROM {d.table('documents')} x JOIN {d.table('benchmark')} i ON x.doc_id = i.item_id"
@@ -360,12 +304,3 @@ SELECT term, count(*) AS df FROM live GROUP BY term"""
 def keywords(d):
     k = d.filter(d.rx_all("lower(text)", "[a-z0-9]+"), "w", "length(w) >= 2 AND w NOT IN ('what', 'about', 'this', 'the', 'is', 'it')")
     return f"SELECT item_id, {d.join(k, ' ')} AS keywords, CAST({d.size(k)} AS BIGINT) AS n FROM {d.table('benchmark')}"
-
-
-@sql
-def keyword_overlap(d):
-    """Share of an item's keywords that its document holds, by their first two letters from three letters on."""
-    k = d.distinct(d.filter(d.rx_all("lower(i.text)", "[a-z0-9]+"), "w", "length(w) >= 2"))
-    hit = d.filter("k", "w", "contains(body, CASE WHEN length(w) >= 3 THEN substring(w, 1, 2) ELSE w END)")
-    return f"""WITH p AS (SELECT i.item_id, {k} AS k, lower(x.text) AS body FROM {d.table('benchmark')} i JOIN {d.table('documents')} x ON x.doc_id = i.item_id)
-SELECT item_id, CASE WHEN {d.size('k')} > 0 THEN round(CAST({d.size(hit)} AS DOUBLE) / {d.size('k')}, 6) END AS overlap FROM p"""
