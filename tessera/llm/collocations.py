@@ -33,7 +33,7 @@ from tessera.llm.line_dedup import PerfectHash
 from tessera.llm.packed import mixed, planes, shards, slices, texts, unplanes
 
 LEAST, MOST_WORDS, TOP, COVERED = 10, 3, 2000, 50
-SLICE_BYTES, CHUNK, SHARD_BYTES = 16 << 20, 2 << 20, 32 << 20
+SLICE_BYTES, CHUNK, SHARD_BYTES = 16 << 20, 2 << 20, 16 << 20
 #: Bits of a level's bitmap: 64 for each frequent n-gram, as a power of two, at most 2**BITS (32 MB).
 BITS, BLOCK = 28, 15
 #: Parts of a language's phrases that are ranked apart first.
