@@ -253,9 +253,11 @@ def _passes(words: str, repeats: str) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """docs with COUNTS, base_failed, anomaly and kept; and the names that these columns got."""
+    """docs with COUNTS, base_failed, anomaly and kept; and the names that these columns got. Texts are counted once: rows are stored with their counts."""
     names = verdict_names(docs)
-    return with_verdicts(with_counts(docs, text, names), names, fitted(docs, labels, doc_id, text)), names
+    counted = store(with_counts(docs, text, names), "quality-counts")
+    own = counted.select(F.col(f"`{doc_id}`").alias("own_id"), *(F.col(names[x]).alias(x) for x in COUNTS))
+    return with_verdicts(counted, names, fitted_on_counts(own, labels)), names
 
 
 def verdict_names(docs: DataFrame) -> dict[str, str]:
