@@ -28,6 +28,8 @@ from tessera.llm.common import n_words
 #: Permitted sequence lengths, and what a bin of each costs: FIXED_COST + size + size * size / SQUARE.
 SIZES = (512, 1024, 2048, 4096)
 FIXED_COST, SQUARE = 16, 32768
+#: Equal rows that a task makes again at once.
+CHUNK = 4096
 GROUP_ROWS = 20_000
 
 
@@ -91,14 +93,25 @@ def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, fixed: int = FIXED
     return bins, offsets, np.array(sizes)[np.searchsorted(sizes, used)] if len(used) else used
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """sizes (doc_id, words) with copy, which numbers rows of one id and size, null ids too: a hash of the three spreads any id over all groups.
+
+    Equal rows are counted and made again, CHUNK of them in a task at once, so that no task numbers them all.
+    """
+    counted = sizes.groupBy("doc_id", "words").agg(F.count(F.lit(1)).alias("n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))
+    dealt = counted.withColumn("chunk", chunk).repartition("doc_id", "words", "chunk")
+    return dealt.withColumn("copy", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1))).select("doc_id", "words", "copy")
+
+
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset, bin_size: a row for each piece of each document."""
     largest = max(sizes)
-    own = docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("words"))
+    own = numbered(docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("words")))
     rows = docs.count()
     groups = max(1, -(-rows // GROUP_ROWS))
     cut = own.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / largest) - 1, F.lit(0)).cast("long"))))
-    cut = cut.select("doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.col("words") - F.col("piece") * largest, F.lit(largest)).cast("long").alias("length"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("pack_group"))
+    cut = cut.select("doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.col("words") - F.col("piece") * largest, F.lit(largest)).cast("long").alias("length"), F.pmod(F.xxhash64("doc_id", "piece", "words", "copy"), F.lit(groups)).alias("pack_group"))
 
     def run(group: pa.Table) -> pa.Table:
         # The same bins whatever order the shuffle brings the rows in.

@@ -2,7 +2,7 @@
 
 import collections
 
-from tessera.llm import mixing
+from tessera.llm import mixing, packing
 
 
 def rows_of(n):
@@ -38,3 +38,15 @@ def test_mixture_takes_equal_rows_as_often_as_their_copies(spark):
     got = collections.Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in mixed.collect())
     assert got == +want
     assert mixing.mixture(docs.where("false")).collect() == []
+
+
+def test_groups_of_packing_are_even_with_null_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 200)
+    monkeypatch.setattr(packing, "CHUNK", 16)
+    rows = rows_of(3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies_a int").repartition(4)
+    got = packing.packed(docs).collect()
+    assert collections.Counter((r["doc_id"], r["length"]) for r in got) == collections.Counter((i, len((t or "").split())) for i, t, _, _ in rows)
+    groups = collections.Counter(r["bin_id"] >> 32 for r in got if r["bin_id"] is not None)
+    assert len(groups) == 17 and max(groups.values()) < 300
+    assert collections.Counter(packing.packed(docs.repartition(7)).collect()) == collections.Counter(got)
