@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import functions as F
 
@@ -57,15 +58,16 @@ def line_ok(line: str, evidence: list[str], echoes: tuple[str, ...] = ()) -> boo
 
 
 def fit_prompt(evidence: list[str], fixed: int, budget: int, length=len) -> list[str]:
-    """Evidence cut until fixed and all lengths fit the budget: the longest loses a fifth each round, none goes below FLOOR characters."""
+    """Evidence cut until fixed and all lengths fit the budget: the longest loses a fifth each round, until that would leave fewer than FLOOR characters of it."""
     out = list(evidence)
     for _ in range(ROUNDS):
         if fixed + sum(map(length, out)) <= budget or not out:
             break
         k = max(range(len(out)), key=lambda k: len(out[k]))
-        if len(out[k]) <= FLOOR:
+        left = int(len(out[k]) * SHRINK)
+        if left < FLOOR:
             break
-        out[k] = out[k][: max(FLOOR, int(len(out[k]) * SHRINK))]
+        out[k] = out[k][:left]
     return out
 
 
@@ -100,30 +102,30 @@ def guard(tokens: list, cap: int, least: int = 4, times: int = 3) -> tuple[list,
 
 
 def snippet(text: str, words: list[str], window: int = WINDOW, lead: int = LEAD) -> tuple[str, list[tuple[int, int]]]:
-    """The window with the most different words, the first of the best, and where the words stand in it.
+    """The window of the text, white space folded, with the most places of words, the first of the best, and where these stand in it.
 
-    A word that the text does not hold is looked for by its first two letters. The window opens `lead` characters before a hit.
+    A word that the text does not hold is looked for by its first two letters. The window opens `lead` characters before a place, and never so late that it would end after the text.
     """
+    text = " ".join(text.split())
     low = text.lower() if len(text.lower()) == len(text) else text
     found = []
-    for w in dict.fromkeys(x.lower() for x in words if x):
+    for w in (x.lower() for x in words if x):
         for form in (w, w[:2]) if len(w) > 2 else (w,):
-            if spans := [(m.start(), m.end(), w) for m in re.finditer(re.escape(form), low)]:
+            if spans := [(m.start(), m.end()) for m in re.finditer(re.escape(form), low)]:
                 found += spans
                 break
     found.sort()
-    best, start = (0, 0), 0
-    for a, _, _ in found:
-        at = max(0, a - lead)
-        inside = [x for x in found if at <= x[0] and x[1] <= at + window]
-        score = (len({x[2] for x in inside}), len(inside))
-        if score > best:
-            best, start = score, at
+    best, start, last = 0, 0, max(0, len(text) - window)
+    begins, ends = [a for a, b in found if b - a <= window], sorted(b for a, b in found if b - a <= window)
+    for a in begins if last else ():
+        at = min(max(0, a - lead), last)
+        n = bisect_right(ends, at + window) - bisect_left(begins, at)  # those that begin before `at` end before `at + window`
+        if n > best:
+            best, start = n, at
     end = min(len(text), start + window)
-    shown = text[start:end]
     ahead = "…" if start else ""
-    marks = sorted({(a - start + len(ahead), b - start + len(ahead)) for a, b, _ in found if start <= a and b <= end})
-    return ahead + shown + ("…" if end < len(text) else ""), marks
+    marks = [(a - start + len(ahead), b - start + len(ahead)) for a, b in sorted(set(found)) if start <= a and b <= end]
+    return ahead + text[start:end] + ("…" if end < len(text) else ""), marks
 
 
 def expand(query: str, rules: dict[str, list[str]], rejected: set[tuple[str, str]] = frozenset()) -> str:
@@ -166,7 +168,7 @@ def fit_prompts(spark, d):
 @frame()
 def loop_guard(spark, d):
     """Where the words of each document begin to loop."""
-    make = F.udf(lambda t: (lambda w: loop_start(w) if len(w) < 2000 else loop_start(w[-2000:]) + len(w) - 2000)((t or "").split()), "int")
+    make = F.udf(lambda t: loop_start((t or "").split()), "int")
     return _docs(spark, d).select("doc_id", make("text").alias("kept"))
 
 

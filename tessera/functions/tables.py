@@ -11,13 +11,14 @@ _LEADER = re.compile(r"(?:\.{2,}|…+|·{2,}|\s{3,}|\t)\s*\d{1,4}\s*$")
 
 
 def place(cells: list[tuple[int, str, int, int]]) -> list[list[str]]:
-    """Cells (row, text, rows down, columns right) to a grid: text repeats down a vertical merge; of a horizontal one the first column has it."""
+    """Cells (row, text, rows down, columns right) to a grid: text repeats down a vertical merge, to the last row at most; of a horizontal one the first column has it."""
     taken: dict[tuple[int, int], str] = {}
+    rows = max((row for row, *_ in cells), default=-1) + 1
     for row, text, down, right in cells:
         column = 0
         while (row, column) in taken:
             column += 1
-        for r in range(row, row + down):
+        for r in range(row, min(row + down, rows)):
             for c in range(column, column + right):
                 taken[r, c] = text if c == column else ""
     height = max((r for r, _ in taken), default=-1) + 1

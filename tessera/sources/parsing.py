@@ -68,6 +68,10 @@ def detect(content: bytes, extension: str) -> str:
 # HTML
 
 
+#: Fixed values of the HTML standard: larger spans are read as these.
+MOST_DOWN, MOST_RIGHT = 65534, 1000
+
+
 class _Html(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -103,7 +107,7 @@ class _Html(HTMLParser):
             elif tag in ("td", "th"):
                 spans = {k: int(v) for k, v in attrs if k in ("rowspan", "colspan") and v and v.isdigit() and int(v)}
                 table["row"] = max(table["row"], 0)
-                table["open"] = (table["row"], min(spans.get("rowspan", 1), 200), min(spans.get("colspan", 1), 60))
+                table["open"] = (table["row"], min(spans.get("rowspan", 1), MOST_DOWN), min(spans.get("colspan", 1), MOST_RIGHT))
                 self.held = []
             return
         if re.fullmatch("h[1-6]", tag):

@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 
+from tessera import registry
 from tessera.functions import answers, phrases, tables
 from tessera.sources import parsing
 
@@ -133,7 +134,7 @@ def test_answers():
     assert answers.line_ok("The sales were 1200 in 2020.", evidence) and not answers.line_ok("The sales were 1300 in 2020.", evidence) and not answers.line_ok("short 35", evidence)
     cut = answers.fit_prompt(["x" * 1000, "y" * 50], 10, 300)
     assert 10 + sum(map(len, cut)) <= 300 and cut[1] == "y" * 50
-    assert answers.fit_prompt(["x" * 100, "y" * 45], 0, 10) == ["x" * 40, "y" * 40]
+    assert answers.fit_prompt(["x" * 100, "y" * 45], 0, 10) == ["x" * 40, "y" * 45]  # a fifth less of 45 would be under 40
     tokens = list("abcdefgh") + list("wxyz") * 3
     assert answers.loop_start(tokens) == 12 and answers.guard(tokens + list("tail"), 100) == (tokens[:12], "loop")
     assert answers.loop_start(list("abcabc")) == 6 and answers.guard(list("abcdef"), 3) == (list("abc"), "cap")
@@ -145,3 +146,23 @@ def test_answers():
     assert answers.expand("my work paper and pay", rules) == "my work paper and pay labour contract wage"
     assert answers.expand("wage and pay", rules) == "wage and pay" and answers.expand("repay", rules) == "repay"
     assert answers.expand("my pay", rules, {("pay", "wage")}) == "my pay"
+
+
+def test_long_texts_are_read_whole(spark, tmp_path):
+    turn = [f"w{k}" for k in range(700)]
+    texts = [(1, " ".join([*(f"a{k}" for k in range(14)), *turn * 4])), (2, " ".join(turn * 2)), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["kept"] for r in registry.queries()["loop_guard"](spark, str(tmp_path)).collect()}
+    assert got == {1: 714, 2: 1400, 3: 0}
+
+
+def test_snippets_fold_and_end_with_the_text():
+    text = "start " * 40 + "the price\n\tis  here"
+    shown, marks = answers.snippet(text, ["price", "here"])
+    assert shown == "…" + " ".join(text.split())[-answers.WINDOW :] and [shown[a:b] for a, b in marks] == ["price", "here"]
+    assert answers.snippet("a  b\nc", ["b"]) == ("a b c", [(2, 3)])
+
+
+def test_wide_cells_keep_their_width():
+    grid = tables.place([(0, "w", 1, 80), (0, "next", 1, 1), (1, "down", 999, 1)])
+    assert grid[0][80] == "next" and len(grid) == 2 and grid[1][0] == "down"
