@@ -1,4 +1,4 @@
-"""Sections and chunks (inventory C)."""
+"""Chunks (inventory C)."""
 
 from __future__ import annotations
 
@@ -7,47 +7,6 @@ from tessera.registry import sql
 SIZE, OVERLAP, LEAST = 128, 16, 16
 
 
-@sql
-def detect_grammar(d):
-    """The first grammar with three headings: article, markdown, numbered."""
-    lines = d.lines("text")
-    n = lambda p: d.size(d.filter(lines, "l", d.rx_has("l", p)))
-    return f"""SELECT doc_id, CASE WHEN {n('^[ \\t]*[Aa]rticle [0-9]+')} >= 3 THEN 'article' WHEN {n('^[ \\t]*#{1,6}[ \\t]+[^ \\t]')} >= 3 THEN 'markdown'
- WHEN {n('^[ \\t]*[0-9]+([.][0-9]+)*[.]?[ \\t]+[^ \\t]')} >= 3 THEN 'numbered' ELSE 'none' END AS grammar FROM {d.table('documents')}"""
-
-
-@sql
-def split_sections(d):
-    """Lines below a short line belong to its section; what stands before the first is section 0."""
-    return f"""WITH l AS (SELECT doc_id, {d.each_at(d.lines('text'), 'pos', 'line')} FROM {d.table('documents')}),
-s AS (SELECT doc_id, pos, line, sum(CASE WHEN length(line) BETWEEN 1 AND 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
-SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM s GROUP BY doc_id, section"""
-
-
-@sql
-def heading_label(d):
-    return f"""WITH l AS (SELECT doc_id, {d.each_at(d.lines('text'), 'pos', 'line')} FROM {d.table('documents')})
-SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN length(line) <= 40 THEN trim({d.rx_sub('line', '^[ \\t]*#+', '')}) ELSE {d.rx_get('line', '^[0-9.]*', 0)} END AS label FROM l"""
-
-
-@sql
-def table_headers(d):
-    """The first row of a run of table rows heads the rows after it."""
-    return f"""WITH l AS (SELECT doc_id, {d.each_at(d.lines('text'), 'pos', 'line')} FROM {d.table('documents')}),
-t AS (SELECT doc_id, pos, line, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l WHERE contains(line, '|'))
-SELECT doc_id, CAST(pos AS BIGINT) AS pos, md5(first_value(line) OVER (PARTITION BY doc_id, run ORDER BY pos)) AS header_md5 FROM t"""
-
-
-@sql
-def breadcrumbs(d):
-    """The last heading of each level above a line, levels by the length of the line."""
-    last = lambda k: f"max(CASE WHEN level = {k} THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos)"
-    return f"""WITH l AS (SELECT doc_id, {d.each_at(d.lines('text'), 'pos', 'line')} FROM {d.table('documents')}),
-h AS (SELECT doc_id, pos, CASE WHEN length(line) <= 12 THEN 1 WHEN length(line) <= 40 THEN 2 ELSE 9 END AS level FROM l),
-p AS (SELECT doc_id, pos, level, {last(1)} AS one, {last(2)} AS two FROM h)
-SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(one AS BIGINT) AS one, CAST(CASE WHEN two > coalesce(one, -1) THEN two END AS BIGINT) AS two FROM p WHERE level = 9"""
-
-
 @sql
 def chunk_fixed(d):
     """Windows of 128 words, 112 apart, none shorter than 16, a lone one neither; the last reaches the end."""
