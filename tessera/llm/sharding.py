@@ -7,15 +7,17 @@ between groups of equal texts lies within tolerance of the share. Where a single
 doc_ids are probed in the same way, so that a group of any size is split and the others stay whole. Then whole rows move once,
 by the splitters found, and are written as files in a folder for each shard.
 
-Row counts get splitters too: together they cut shards into pieces of bounded bytes and rows, and a piece is numbered by one
-task; slots are the piece's start and the place in it. The query's sizes and checksums are those of the rows in the shards' files.
+A shard is numbered in pieces, each by one task: rows of equal leading bits of the hash, and where these are too many or too large, as in a large group of equal texts, parts of them by a hash
+of the doc_id. Pieces grow in number with the table and stay small; they are rows of a table, counted and summed by Spark, never known to the driver. Slots are the piece's start and the place in it.
+The query's sizes and checksums are those of the rows in the shards' files.
 
-Nulls: a null text is no bytes and lies with the empty texts apart from them by hash; a null doc_id lies before all others. Rows that repeat lie
-side by side, in one piece. An empty table gives an empty result. Extra columns move along.
+Nulls: a null text is no bytes and lies with the empty texts apart from them by hash; a null doc_id lies before all others. Rows equal in text
+and doc_id lie side by side, in one piece. An empty table gives an empty result. Extra columns move along.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -26,15 +28,17 @@ from tessera.llm.common import fresh, shared_dir, store
 SHARDS = 24
 #: Of a shard's share of the bytes.
 TOLERANCE = 0.01
-#: Rows of a piece, which one task numbers; pieces grow in number with the table, up to MOST_PIECES (their splitters are in the plan).
-PIECE_ROWS, MOST_PIECES = 500_000, 4096
+#: Rows and bytes of a piece, about; a single group of rows equal in text and doc_id may be larger.
+PIECE_ROWS, PIECE_BYTES = 500_000, 128 << 20
+#: Pieces up to this number are broadcast (about 40 bytes each), more are joined by shuffle.
+BROADCAST_PIECES = 500_000
 #: Bits probed at once: first, then each round.
 FIRST_BITS, NEXT_BITS = 10, 6
 LOWEST = -(1 << 63)
 
 
 def _prefix(column: str, bits: int):
-    return F.shiftright(F.col(column), 64 - bits)
+    return F.shiftright(F.col(f"`{column}`"), 64 - bits)
 
 
 def _start(prefix: int, bits: int) -> int:
@@ -112,11 +116,13 @@ def splitters(slim: DataFrame, weight, total: float, parts: int, tolerance: floa
 
 
 def _below(keys: list[tuple[int, int]], h, doc_id):
-    """Number of keys that a row's key reaches."""
+    """Number of keys that a row's key reaches, for the splitters of shards: by halves, so that a row compares with few of them."""
     if not keys:
         return F.lit(0)
-    known = F.array(*(F.struct(F.lit(a).cast("long").alias("h"), F.lit(b).cast("long").alias("d")) for a, b in keys))
-    return F.size(F.filter(known, lambda s: (s["h"] < h) | ((s["h"] == h) & (s["d"] <= doc_id))))
+    mid = len(keys) // 2
+    at = F.struct(F.lit(keys[mid][0]).cast("long").alias("h"), F.lit(keys[mid][1]).cast("long").alias("d"))
+    reached = (h > at["h"]) | ((h == at["h"]) & (doc_id >= at["d"]))
+    return F.when(reached, _below(keys[mid + 1 :], h, doc_id) + (mid + 1)).otherwise(_below(keys[:mid], h, doc_id))
 
 
 def _size(text):
@@ -129,24 +135,24 @@ def sharded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     slim = store(docs.select(key.alias("doc_id"), _size(t).alias("size"), h.alias("h")), "sizes")
     rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     by_bytes = splitters(slim, F.col("size"), float(total), shards, tolerance) if rows else []
-    n_pieces = min(MOST_PIECES, -(-rows // PIECE_ROWS))
-    by_rows = splitters(slim, F.lit(1), float(rows), n_pieces, 0.2) if n_pieces > 1 else []
-    pieces = sorted(set(by_bytes) | set(by_rows))
-    piece = _below(pieces, F.col("h"), F.col("doc_id"))
-    counts = {r["piece"]: r["n"] for r in slim.groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards + MOST_PIECES rows
-    shard_of, start_of, shard, start, cut = [], [], 0, 0, 0
-    for k in range(len(pieces) + 1):
-        first = pieces[k - 1] if k else None
-        while cut < len(by_bytes) and first is not None and by_bytes[cut] <= first:
-            cut, shard, start = cut + 1, shard + 1, 0
-        shard_of.append(shard), start_of.append(start)
-        start += counts.get(k, 0)
+    # Bits of the hash that cut the table into twice the pieces it needs, so that few of them need parts.
+    bits = max(1, math.ceil(math.log2(max(2, 2 * rows / PIECE_ROWS, 2 * total / PIECE_BYTES))))
+    of = lambda h, key: {shard_at: _below(by_bytes, F.col(f"`{h}`"), F.col(f"`{key}`")), cut_at: _prefix(h, bits)}
     names = docs.columns
-    shard_at, slot_at, piece_at, h_at, key_at = (fresh(x, names) for x in ("shard", "slot", "piece_no", "text_hash", "order_id"))
-    at = lambda values, kind: F.element_at(F.array(*map(F.lit, values)), F.col(piece_at) + 1).cast(kind)
-    placed = docs.withColumns({h_at: h, key_at: key}).withColumn(piece_at, _below(pieces, F.col(h_at), F.col(key_at))).withColumn(shard_at, at(shard_of, "int"))
-    number = F.row_number().over(Window.partitionBy(shard_at, piece_at).orderBy(h_at, key_at))
-    laid = placed.withColumn(slot_at, at(start_of, "long") + number - 1).select(*(F.col(f"`{x}`") for x in names), slot_at, shard_at)
+    shard_at, slot_at, cut_at, part_at, parts_at, start_at, h_at, key_at = (fresh(x, names) for x in ("shard", "slot", "hash_cut", "hash_part", "hash_parts", "piece_start", "text_hash", "order_id"))
+    keyed = slim.withColumns(of("h", "doc_id"))
+    need = F.ceil(F.greatest(F.count(F.lit(1)) / PIECE_ROWS, F.sum("size") / PIECE_BYTES)).cast("int")
+    parts = store(keyed.groupBy(shard_at, cut_at).agg(need.alias(parts_at)), "parts")
+    n_pieces = parts.count()
+    sized = lambda x: F.broadcast(x) if n_pieces <= BROADCAST_PIECES else x
+    part = lambda h, key: F.when(F.col(parts_at) > 1, F.pmod(F.xxhash64(h, key), F.col(parts_at))).otherwise(0).cast("int")
+    counts = keyed.join(sized(parts), [shard_at, cut_at]).groupBy(shard_at, cut_at, part("h", "doc_id").alias(part_at)).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(shard_at).orderBy(cut_at, part_at)
+    starts = store(counts.select(shard_at, cut_at, part_at, (F.sum("n").over(before) - F.col("n")).alias(start_at)), "pieces")
+    placed = docs.withColumns({h_at: h, key_at: key}).withColumns(of(h_at, key_at)).join(sized(parts), [shard_at, cut_at]).withColumn(part_at, part(h_at, key_at))
+    number = F.row_number().over(Window.partitionBy(shard_at, cut_at, part_at).orderBy(h_at, key_at))
+    laid = placed.withColumn(slot_at, number - 1).join(sized(starts), [shard_at, cut_at, part_at])
+    laid = laid.select(*(F.col(f"`{x}`") for x in names), (F.col(start_at) + F.col(slot_at)).cast("long").alias(slot_at), F.col(shard_at).cast("int").alias(shard_at))
     path = f"{shared_dir(docs.sparkSession)}/tessera/shards-{uuid.uuid4().hex}"
     laid.write.partitionBy(shard_at).parquet(path)
     return docs.sparkSession.read.schema(laid.schema).parquet(path), path
