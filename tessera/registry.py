@@ -31,7 +31,7 @@ def frame(oracle: str | None = None) -> Callable:
 
 def _load() -> None:
     from tessera.functions import answers, metadata, people, phrases, text  # noqa: F401
-    from tessera.operators import chunk_plan, chunking, evaluation, finding, incremental, index, models, passages, retrieval, rewriting, rules, scanning, sections, selection, sequential, vector_table, versions  # noqa: F401
+    from tessera.operators import chunk_plan, chunking, evaluation, finding, incremental, index, models, passages, renormalise, retrieval, rewriting, rules, scanning, sections, selection, sequential, vector_table, versions  # noqa: F401
     from tessera.sources import edges, files, parsing, properties, scanned  # noqa: F401
     from tessera.streaming import history, rescan, windows  # noqa: F401
 
