@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tessera.operators.retrieval import BM25_SQL, bm25_topk, read
+from tessera.operators.retrieval import BM25_SQL, FIRST_K, bm25_topk, bounded, read
 from tessera.registry import frame, sql
 from pyspark.sql import functions as F
 
@@ -25,7 +25,8 @@ def mrr(spark, d):
 def first_good(spark, d):
     """The first rank whose document holds the item's passage."""
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    found = bm25_topk(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(items, "query_id")
+    ranked = bounded(bm25_topk(spark, d), FIRST_K * items.count())  # texts stay where they are read
+    found = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(ranked, "chunk_id").join(items, "query_id")
     return found.groupBy("query_id").agg(F.min(F.when(F.contains("text", "passage"), F.col("rank"))).alias("r"))
 
 

@@ -50,6 +50,13 @@ def shared_path(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-index/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written and read back: what is read in several steps is computed once."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
     """query_id and its distinct terms: those of a whole benchmark item."""
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(words(F.col("text"))).alias("terms"))

@@ -148,3 +148,27 @@ def test_plan_rows(spark):
     got = sorted(((r["doc_id"] or 0, r["chunk_idx"], r["grammar"], r["n_tokens"]) for r in C.plan(docs).collect()))
     assert got == [(0, 0, "none", 2), (3, 0, "markdown", 9)]
     assert C.plan(docs.where(F.lit(False))).count() == 0
+
+
+def test_a_shard_tells_its_best_alone(spark, tmp_path, monkeypatch):
+    """What leaves a shard is k rows a query, however many chunks hold its words; equal texts tie in every shard."""
+    monkeypatch.setattr(index, "SLICE", 200)
+    rows = [(k, f"alpha beta{k % 3} gamma delta") for k in range(300)]
+    path, asked = str(tmp_path / "index"), spark.createDataFrame([(1, ["alpha", "gamma"]), (2, ["beta1", "alpha"])], "query_id long, terms array<string>")
+    index.build(frame(spark, rows), path, "a")
+    said = index.load(spark, path)
+    assert said["shards"] == [6]
+    of, n = index._asked(spark, path, said, asked)
+    told = index._summed_up(spark, path, said, index._held(spark, path, said, of), of, n, None, 4).collect()
+    assert 2 * 4 <= len(told) <= 2 * 4 * 6
+    got = [(r["query_id"], r["chunk_id"]) for r in index.search_top(spark, path, asked, 4).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 1), (2, 4), (2, 7), (2, 10)]
+
+
+def test_cached_terms_are_those_of_words(spark):
+    texts = ["a  b\ta\n", "  x \x1c y\x0b\x0cz ", "", "  \x85 \x85", "é é É"]
+    rows = index._split(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts * 2)], "h string, text string").withColumn("h", F.md5("text"))).collect()
+    want = spark.createDataFrame([(t,) for t in texts], "text string").select(F.md5("text").alias("h"), index.words(F.col("text")).alias("w")).collect()
+    count = lambda w: {x: w.count(x) for x in w}
+    assert len(rows) == len(texts)
+    assert {r["h"]: (r["dl"], dict(zip(r["terms"].split(" "), r["tfs"], strict=False)) if r["tfs"] else {}) for r in rows} == {r["h"]: (len(r["w"]), count(r["w"])) for r in want}
