@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tessera.operators.retrieval import BM25_SQL, FIRST_K, bm25_topk, bounded, read
+from tessera.operators.retrieval import BM25_SQL, FIRST_K, bm25_topk, bounded, kept, read, spread, words
+from tessera.plans.dialect import DUCK
 from tessera.registry import frame, sql
 from pyspark.sql import functions as F
 
@@ -52,14 +53,28 @@ t AS (SELECT fold, x, y, n, {d.each(d.sequence('0', 'CAST(k AS INT)'), 'i')} FRO
 SELECT fold, x, y, round(least(1.0, 2 * sum(exp({fact('n')} - {fact('i')} - {fact('(n - i)')} - n * ln(2.0)))), 6) AS p FROM t GROUP BY fold, x, y, n"""
 
 
-@sql
-def gram_coverage(d):
-    """Share of an item's 8-word groups that any document of the same first eight words holds."""
+def _gram_coverage(d) -> str:
     grams = lambda c: d.distinct(d.map(d.sequence("1", f"greatest({d.size('w')} - 7, 1)"), "k", d.join(d.slice('w', 'CAST(k AS INT)', 8), ' ')))
     return f"""WITH b AS (SELECT item_id, {d.words('text')} AS w FROM {d.table('benchmark')}), g AS (SELECT item_id, {d.each(grams('w'), 'g')} FROM b), x AS (SELECT {d.words('text')} AS w FROM {d.table('documents')}), h AS (SELECT {d.each(grams('w'), 'g')} FROM x), u AS (SELECT DISTINCT g FROM h)
 SELECT item_id, count(*) AS n, round(CAST({d.at_least_count('u.g IS NOT NULL')} AS DOUBLE) / count(*), 6) AS coverage FROM g LEFT JOIN u ON u.g = g.g GROUP BY item_id"""
 
 
+@frame(_gram_coverage(DUCK))
+def gram_coverage(spark, d):
+    """Share of an item's 8-word groups that any document holds; groups that no item has go where they are read."""
+
+    def grams(texts):
+        w = texts.withColumn("w", words(F.col("text"))).where("w IS NOT NULL")
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1)))
+        return w.withColumn("g", F.explode(F.transform(starts, lambda k: F.array_join(F.slice("w", k, F.lit(8)), " ")))).drop("w", "text")
+
+    asked = kept(grams(read(spark, d, "benchmark").select("item_id", "text")).distinct())
+    keys = asked.select("g").distinct()
+    held = grams(spread(read(spark, d, "documents").select("text"))).join(bounded(keys, asked.count()), "g", "left_semi").distinct()
+    found = asked.join(held.withColumn("there", F.lit(1)), "g", "left")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.count("there") / F.count(F.lit(1)), 6).alias("coverage"))
+
+
 @frame("""WITH b AS (SELECT item_id, text, CASE WHEN length(text) < 30 THEN text ELSE substring(text, CAST(floor(length(text) / 2.0) AS INT) - 14, 30) END AS middle FROM benchmark)
 SELECT b.item_id, count(*) FILTER (contains(x.text, b.text)) AS whole, count(*) FILTER (contains(x.text, b.middle)) AS middle FROM b LEFT JOIN documents x ON contains(x.text, b.middle) GROUP BY b.item_id""")
 def ctx_hit(spark, d):
