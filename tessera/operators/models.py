@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.registry import frame
 
+#: Texts that a task has as Python objects at once.
+TEXTS = 256
 #: Texts to hidden states (texts, tokens, dimensions) and the mask of real tokens (texts, tokens).
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -28,7 +30,7 @@ def embedded(texts: DataFrame, make: Callable[[], Encode], prefix: str = "", bat
 
     def run(parts):
         encode = make()
-        for part in parts:
+        for part in (whole.slice(at, TEXTS) for whole in parts for at in range(0, whole.num_rows, TEXTS)):
             ids, rows = part.column("id"), [prefix + (t or "") for t in part.column("text").to_pylist()]
             vectors = [v for k in range(0, len(rows), batch) for v in pooled(*encode(rows[k : k + batch]))]
             yield pa.RecordBatch.from_arrays([ids, pa.array(vectors, pa.list_(pa.float32()))], ["id", "embedding"])
