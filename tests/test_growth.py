@@ -3,7 +3,7 @@
 import time
 
 from tessera import registry
-from tessera.operators import models
+from tessera.operators import models, scanning
 
 
 def plan_of(df, capsys):
@@ -40,3 +40,25 @@ def test_texts_are_encoded_some_at_a_time(spark):
     texts = spark.range(600).selectExpr("id", "concat('w', id) AS text").coalesce(1)
     sizes = texts.select("id", "text").mapInArrow(lambda parts: (b.select(["id"]) for b in parts), "id long").count()
     assert models.embedded(texts, models.hashed_words, batch=1).count() == sizes == 600 and models.TEXTS < sizes
+
+
+def python_rows(df) -> int:
+    """Rows that Python gave to the plan of a collected df."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+        own = node.metrics().get("pythonNumRowsReceived")
+        return (own.get().value() if own.isDefined() else 0) + sum(map(walk, inner))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_of_an_answer_are_counted_where_they_are_read(spark):
+    """What leaves the tasks follows the answers and their sources, not the texts that hold them."""
+    cases = spark.createDataFrame([(k, ["s0", "s1"], ["a|b", "c"]) for k in range(5)], "case_id long, sources array<string>, must array<string>")
+    for n in (300, 3000):
+        docs = spark.range(0, n, 1, 2).selectExpr("concat('s', id % 3) AS source", "id AS doc", "'a b c' AS text")
+        checked = scanning.cases_checked(cases, docs)
+        assert {tuple(r)[1:] for r in checked.collect()} == {(2, 2, 0, 2, "common")}
+        assert 0 < python_rows(checked) <= 2 * 2 * 3
